@@ -75,3 +75,113 @@ SELECT d.source, count(*) AS n_files, CAST(coalesce(sum(c.n_chunks), 0) AS BIGIN
        CAST(coalesce(sum(c.n_words), 0) AS BIGINT) AS n_words,
        round(coalesce(sum(c.n_words) / nullif(sum(c.n_chunks), 0), 0.0), 6) AS avg_words
 FROM documents d LEFT JOIN _cc c ON d.doc_id = c.doc_id GROUP BY d.source"""
+
+# ---------------------------------------------------------------- vectors
+VEC_CTE = """
+vec AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+kw AS (
+  SELECT label AS keyword_id, 'label_' || CAST(label AS VARCHAR) AS keyword, list(x ORDER BY d) AS v
+  FROM (SELECT label, d, avg(x) AS x
+        FROM (SELECT label, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) AS d FROM embeddings)
+        GROUP BY label, d)
+  GROUP BY label)"""
+
+
+def cos(a: str, b: str) -> str:
+    den = f"(sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b})))"
+    return f"(CASE WHEN {den} = 0 THEN 0.0 ELSE list_dot_product({a}, {b}) / {den} END)"
+
+
+def l2(a: str, b: str) -> str:
+    return f"sqrt(list_sum(list_transform(list_zip({a}, {b}), lambda p: (p[1] - p[2]) * (p[1] - p[2]))))"
+
+
+def angle(c: str) -> str:
+    return f"acos(greatest(-1.0, least(1.0, {c})))"
+
+
+SQL["cosine"] = with_(VEC_CTE) + f"""
+SELECT vec.id, round({cos('vec.v', 'kw.v')}, 6) AS cosine FROM vec JOIN kw ON vec.label = kw.keyword_id"""
+SQL["angle"] = with_(VEC_CTE) + f"""
+SELECT vec.id, round({angle(cos('vec.v', 'kw.v'))}, 6) AS angle FROM vec JOIN kw ON vec.label = kw.keyword_id"""
+SQL["l2"] = with_(VEC_CTE) + f"""
+SELECT vec.id, round({l2('vec.v', 'kw.v')}, 6) AS l2 FROM vec JOIN kw ON vec.label = kw.keyword_id"""
+SQL["rbf"] = with_(VEC_CTE) + f"""
+SELECT vec.id, round(exp(-1.0 * pow({l2('vec.v', 'kw.v')}, 2)), 6) AS rbf FROM vec JOIN kw ON vec.label = kw.keyword_id"""
+
+
+def topk_sql(q: str, c: str, qid: str, cid: str, score: str, k: int | None, desc: bool = True,
+             exclude_self: bool = False) -> str:
+    """Brute-force top-k (the oracle may cross join; the Spark side never does)."""
+    cond = f"WHERE {q}.{qid} <> {c}.{cid}" if exclude_self else ""
+    order = "DESC" if desc else "ASC"
+    lim = f"WHERE rank <= {k}" if k is not None else ""
+    return f"""
+SELECT * FROM (
+  SELECT qid, cid, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) {order}, cid) AS INTEGER) AS rank
+  FROM (SELECT {q}.{qid} AS qid, {c}.{cid} AS cid, {score} AS score FROM {q}, {c} {cond})) {lim}"""
+
+
+SQL["retrieve_topk"] = with_(VEC_CTE) + f"""
+SELECT qid AS query_id, rank, cid AS id, round(score, 6) AS score FROM ({topk_sql('kw', 'vec', 'keyword_id', 'id', cos('kw.v', 'vec.v'), 10)})"""
+
+SQL["knn_graph"] = with_(VEC_CTE) + f"""
+SELECT qid AS src, rank, cid AS dst, round({angle('score')}, 6) AS angle
+FROM ({topk_sql('vec', 'vec2', 'id', 'id', cos('vec.v', 'vec2.v'), 5, exclude_self=True).replace('FROM vec, vec2', 'FROM vec, vec AS vec2')})"""
+
+SQL["kw_text_similarity"] = with_(VEC_CTE) + f"""
+SELECT kw.keyword_id, vec.id, round({cos('kw.v', 'vec.v')}, 6) AS score FROM kw, vec"""
+
+SQL["closest"] = with_(VEC_CTE) + f"""
+SELECT qid AS keyword_id, rank, cid AS id, round(score, 6) AS score FROM ({topk_sql('kw', 'vec', 'keyword_id', 'id', cos('kw.v', 'vec.v'), 5)})"""
+
+SQL["farthest"] = with_(VEC_CTE) + f"""
+SELECT qid AS keyword_id, rank, cid AS id, round(score, 6) AS score FROM ({topk_sql('kw', 'vec', 'keyword_id', 'id', cos('kw.v', 'vec.v'), 5, desc=False)})"""
+
+SQL["nearest_to_center"] = with_(VEC_CTE) + f"""
+SELECT qid AS cluster, rank, cid AS id, round(score, 6) AS dist FROM ({topk_sql('kw', 'vec', 'keyword_id', 'id', l2('kw.v', 'vec.v'), 5, desc=False)})"""
+
+
+# ---------------------------------------------------------------- hashed embedding
+def hashed(name: str, src: str, id_col: str, text_col: str, dim: int = 64) -> str:
+    """CTEs {name}_s (id, b, x) normalised non-zero buckets and {name}_v (id, v)
+    dense, with idf from the chunks CTE (which must be defined)."""
+    return f"""
+_voc AS (SELECT token, count(*) AS df FROM (SELECT DISTINCT chunk_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS token FROM chunks) GROUP BY token),
+_nn AS (SELECT count(*) AS n FROM chunks),
+{name}_w AS (
+  SELECT o.id, CAST(('0x' || substr(md5(o.token), 1, 8))::BIGINT % {dim} AS INTEGER) AS b,
+         ln((_nn.n + 1.0) / (coalesce(v.df, 0) + 1.0)) AS x
+  FROM (SELECT {id_col} AS id, unnest(regexp_extract_all(lower({text_col}), '[\\p{{L}}\\p{{N}}]+')) AS token FROM {src}) o
+  LEFT JOIN _voc v ON o.token = v.token, _nn),
+{name}_r AS (SELECT id, b, sum(x) AS x FROM {name}_w GROUP BY id, b),
+{name}_n AS (SELECT id, sqrt(sum(x * x)) AS n FROM {name}_r GROUP BY id),
+{name}_s AS (SELECT r.id, r.b, CASE WHEN n.n = 0 THEN 0.0 ELSE r.x / n.n END AS x FROM {name}_r r JOIN {name}_n n USING (id)),
+{name}_v AS (
+  SELECT i.id, list(coalesce(s.x, 0.0) ORDER BY i.b) AS v
+  FROM (SELECT {id_col} AS id, unnest(range({dim})) AS b FROM {src}) i
+  LEFT JOIN {name}_s s ON i.id = s.id AND i.b = s.b GROUP BY i.id)"""
+
+
+QUESTIONS_CTE = f"""
+questions AS (SELECT item_id AS question_id, regexp_replace(text, '^{WS}+|{WS}+$', '', 'g') AS question FROM benchmark)"""
+
+SQL["embed_text"] = with_(chunks_cte(), hashed("ce", "chunks", "chunk_id", "text")) + """
+SELECT id, b AS bucket, round(x, 6) AS value FROM ce_s WHERE x <> 0"""
+
+ANSWERS = with_(chunks_cte(), QUESTIONS_CTE, hashed("ce", "chunks", "chunk_id", "text"),
+                hashed("qe", "questions", "question_id", "question").replace("_voc AS", "_voc2 AS").replace("_nn AS", "_nn2 AS")
+                .replace("_voc v", "_voc2 v").replace(", _nn)", ", _nn2 AS _nn)"),
+                f"""_top AS ({topk_sql('qe_v', 'ce_v', 'id', 'id', cos('qe_v.v', 'ce_v.v'), 10)})""",
+                """answers AS (
+  SELECT t.qid AS question_id, q.question, t.rank, t.cid AS chunk_id, c.filename, c.page, t.score
+  FROM _top t JOIN chunks c ON t.cid = c.chunk_id JOIN questions q ON t.qid = q.question_id)""")
+
+SQL["answer_questions"] = ANSWERS + """
+SELECT question_id, question, rank, chunk_id, filename, page, round(score, 6) AS score FROM answers"""
+
+SQL["answer_report"] = ANSWERS + """
+SELECT question_id, 'question: ' || question || chr(10)
+       || string_agg(CAST(rank - 1 AS VARCHAR) || '.' || filename || ' page: ' || CAST(page AS VARCHAR) || chr(10), '' ORDER BY rank)
+       || repeat('=', 37) || chr(10) || chr(10) AS report
+FROM answers GROUP BY question_id, question"""

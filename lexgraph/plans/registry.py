@@ -40,3 +40,95 @@ def q_split_sentences(spark, sf_dir):
 @register("chunk_stats")
 def q_chunk_stats(spark, sf_dir):
     return C.chunk_stats(chunks_of(spark, sf_dir), T.table(spark, sf_dir, "documents"), by="source")
+
+
+# ------------------------------------------------------------------ vectors
+from lexgraph.functions import vector as V  # noqa: E402
+from lexgraph.operators import embed as EM  # noqa: E402
+from lexgraph.operators import search as S  # noqa: E402
+
+
+def r6(c):
+    return F.round(c, 6)
+
+
+def _vec_vs_center(spark, sf_dir):
+    e = T.text_vectors(spark, sf_dir)
+    kw = T.label_keywords(spark, sf_dir).select(F.col("keyword_id").alias("label"), F.col("embedding").alias("c"))
+    return e.join(kw, "label")
+
+
+@register("cosine")
+def q_cosine(spark, sf_dir):
+    return _vec_vs_center(spark, sf_dir).select("id", r6(V.cosine("embedding", "c")).alias("cosine"))
+
+
+@register("angle")
+def q_angle(spark, sf_dir):
+    return _vec_vs_center(spark, sf_dir).select("id", r6(V.angle(V.cosine("embedding", "c"))).alias("angle"))
+
+
+@register("l2")
+def q_l2(spark, sf_dir):
+    return _vec_vs_center(spark, sf_dir).select("id", r6(V.l2("embedding", "c")).alias("l2"))
+
+
+@register("rbf")
+def q_rbf(spark, sf_dir):
+    return _vec_vs_center(spark, sf_dir).select("id", r6(V.rbf("embedding", "c", 1.0)).alias("rbf"))
+
+
+@register("retrieve_topk")
+def q_retrieve_topk(spark, sf_dir):
+    r = S.retrieve_topk(T.label_keywords(spark, sf_dir), T.text_vectors(spark, sf_dir), k=10, q_id="keyword_id")
+    return r.withColumn("score", r6("score"))
+
+
+@register("knn_graph")
+def q_knn_graph(spark, sf_dir):
+    r = S.knn_graph(T.text_vectors(spark, sf_dir), k=5)
+    return r.withColumn("angle", r6("angle"))
+
+
+@register("kw_text_similarity")
+def q_kw_text_similarity(spark, sf_dir):
+    r = S.kw_text_similarity(T.label_keywords(spark, sf_dir), T.text_vectors(spark, sf_dir))
+    return r.withColumn("score", r6("score"))
+
+
+@register("closest")
+def q_closest(spark, sf_dir):
+    return S.closest(T.label_keywords(spark, sf_dir), T.text_vectors(spark, sf_dir), 5).withColumn("score", r6("score"))
+
+
+@register("farthest")
+def q_farthest(spark, sf_dir):
+    return S.farthest(T.label_keywords(spark, sf_dir), T.text_vectors(spark, sf_dir), 5).withColumn("score", r6("score"))
+
+
+@register("nearest_to_center")
+def q_nearest_to_center(spark, sf_dir):
+    centers = T.label_keywords(spark, sf_dir).select(F.col("keyword_id").alias("cluster"), F.col("embedding").alias("center"))
+    r = S.nearest_to_center(T.text_vectors(spark, sf_dir), centers, blocks=5)
+    return r.withColumn("dist", r6("dist"))
+
+
+@register("embed_text")
+def q_embed_text(spark, sf_dir):
+    e = EM.embed_text(chunks_of(spark, sf_dir), id_col="chunk_id", dim=64)
+    return (e.select("id", F.posexplode("embedding").alias("bucket", "value"))
+            .filter(F.col("value") != 0).withColumn("value", r6("value")))
+
+
+def _answers(spark, sf_dir):
+    return S.answer_questions(T.questions(spark, sf_dir), chunks_of(spark, sf_dir), k=10, dim=64)
+
+
+@register("answer_questions")
+def q_answer_questions(spark, sf_dir):
+    return _answers(spark, sf_dir).withColumn("score", r6("score"))
+
+
+@register("answer_report")
+def q_answer_report(spark, sf_dir):
+    return S.answer_report(_answers(spark, sf_dir))
