@@ -185,3 +185,74 @@ SELECT question_id, 'question: ' || question || chr(10)
        || string_agg(CAST(rank - 1 AS VARCHAR) || '.' || filename || ' page: ' || CAST(page AS VARCHAR) || chr(10), '' ORDER BY rank)
        || repeat('=', 37) || chr(10) || chr(10) AS report
 FROM answers GROUP BY question_id, question"""
+
+# ---------------------------------------------------------------- text graph
+KNN_CTE = f"""
+knn AS (
+  SELECT qid AS src, rank, cid AS dst, {angle('score')} AS angle
+  FROM ({topk_sql('vec', 'vec2', 'id', 'id', cos('vec.v', 'vec2.v'), 5, exclude_self=True).replace('FROM vec, vec2', 'FROM vec, vec AS vec2')})),
+tau AS (SELECT src AS id, sqrt(angle) AS tau FROM knn WHERE rank = 5),
+ew AS (
+  SELECT k.src, k.dst, CASE WHEN round(k.angle, 6) = 0 THEN 1.0 WHEN coalesce(a.tau * b.tau, 0.0) = 0 THEN 0.0
+                            ELSE exp(-(k.angle * k.angle) / (a.tau * b.tau)) END AS w
+  FROM knn k LEFT JOIN tau a ON k.src = a.id LEFT JOIN tau b ON k.dst = b.id),
+sym AS (SELECT src, dst, sum(w) / 2 AS w FROM (SELECT src, dst, w FROM ew UNION ALL SELECT dst, src, w FROM ew) GROUP BY src, dst)"""
+
+GRAPH = with_(VEC_CTE, KNN_CTE)
+
+SQL["local_scale"] = GRAPH + "\nSELECT id, round(tau, 6) AS tau FROM tau"
+SQL["edge_weights"] = GRAPH + "\nSELECT src, dst, round(w, 6) AS w FROM ew"
+SQL["text_graph"] = GRAPH + "\nSELECT src, dst, round(w, 6) AS w FROM sym"
+SQL["avg_degree"] = GRAPH + """
+SELECT count(*) AS n_nodes, CAST(sum(d) / 2 AS BIGINT) AS n_edges, avg(d) AS avg_degree
+FROM (SELECT src, count(DISTINCT dst) AS d FROM sym WHERE src <> dst GROUP BY src)"""
+
+BFS_CTE = """
+ue AS (SELECT DISTINCT src, dst FROM sym WHERE src <> dst),
+bfs(s, v, d) USING KEY (s, v) AS (
+  SELECT DISTINCT src, src, 0 FROM ue
+  UNION
+  SELECT b.s, ue.dst, min(b.d + 1) FROM bfs b JOIN ue ON b.v = ue.src
+  WHERE NOT EXISTS (SELECT 1 FROM recurring.bfs r WHERE r.s = b.s AND r.v = ue.dst)
+  GROUP BY b.s, ue.dst)"""
+
+SQL["components"] = "WITH RECURSIVE " + with_(VEC_CTE, KNN_CTE, BFS_CTE)[5:] + """
+SELECT v AS id, min(s) AS component FROM bfs GROUP BY v"""
+
+SQL["diameter"] = "WITH RECURSIVE " + with_(VEC_CTE, KNN_CTE, BFS_CTE)[5:] + """,
+comp AS (SELECT v, min(s) AS c FROM bfs GROUP BY v)
+SELECT (SELECT count(*) FROM comp) AS n_nodes, (SELECT count(DISTINCT c) FROM comp) AS n_components,
+       CASE WHEN (SELECT count(DISTINCT c) FROM comp) = 1 THEN CAST((SELECT max(d) FROM bfs) AS INTEGER) END AS diameter"""
+
+
+# ---------------------------------------------------------------- keyword graph
+def propagation_ctes(iters: int = 5, n1: int = 5, n2: int = 5) -> str:
+    parts = [f"""
+_close AS ({topk_sql('kw', 'vec', 'keyword_id', 'id', cos('kw.v', 'vec.v'), n1)}),
+_far AS ({topk_sql('kw', 'vec', 'keyword_id', 'id', cos('kw.v', 'vec.v'), n2, desc=False)}),
+seeds AS (SELECT keyword_id, id, min(seed) AS seed FROM (
+  SELECT qid AS keyword_id, cid AS id, 1 AS seed FROM _close UNION ALL SELECT qid, cid, 0 FROM _far) GROUP BY keyword_id, id),
+p0 AS (SELECT keyword_id, id, CAST(1 - seed AS DOUBLE) AS f0, CAST(seed AS DOUBLE) AS f1 FROM seeds)"""]
+    for i in range(1, iters + 1):
+        parts.append(f"""
+m{i} AS (SELECT f.keyword_id, e.src AS id, sum(e.w * f.f0) AS a0, sum(e.w * f.f1) AS a1
+        FROM sym e JOIN p{i - 1} f ON e.dst = f.id GROUP BY f.keyword_id, e.src),
+n{i} AS (SELECT keyword_id, id, CASE WHEN a0 + a1 = 0 THEN 0.0 ELSE a0 / (a0 + a1) END AS f0,
+               CASE WHEN a0 + a1 = 0 THEN 0.0 ELSE a1 / (a0 + a1) END AS f1 FROM m{i}),
+p{i} AS (SELECT * FROM n{i} WHERE (f0 <> 0 OR f1 <> 0)
+         AND NOT EXISTS (SELECT 1 FROM seeds s WHERE s.keyword_id = n{i}.keyword_id AND s.id = n{i}.id)
+        UNION ALL SELECT keyword_id, id, CAST(1 - seed AS DOUBLE), CAST(seed AS DOUBLE) FROM seeds)""")
+    parts.append(f"""
+scores AS (SELECT * FROM p{iters}),
+labels AS (SELECT keyword_id, id, CASE WHEN f1 > f0 THEN 1 ELSE 0 END AS label FROM scores)""")
+    return ",".join(parts)
+
+
+KWG = with_(VEC_CTE, KNN_CTE, propagation_ctes())
+SQL["seed_labels"] = KWG + "\nSELECT keyword_id, id, seed FROM seeds"
+SQL["propagate"] = KWG + "\nSELECT keyword_id, id, round(f0, 6) AS f0, round(f1, 6) AS f1 FROM scores"
+SQL["harden"] = KWG + "\nSELECT keyword_id, id, label FROM labels"
+SQL["keyword_graph"] = KWG + """
+SELECT a.keyword_id AS kw_a, b.keyword_id AS kw_b, count(*) AS w
+FROM labels a JOIN labels b ON a.id = b.id AND a.keyword_id <> b.keyword_id
+WHERE a.label = 1 AND b.label = 1 GROUP BY a.keyword_id, b.keyword_id"""

@@ -132,3 +132,74 @@ def q_answer_questions(spark, sf_dir):
 @register("answer_report")
 def q_answer_report(spark, sf_dir):
     return S.answer_report(_answers(spark, sf_dir))
+
+
+# ------------------------------------------------------------------ graphs
+from lexgraph.operators import textgraph as G  # noqa: E402
+from lexgraph.operators import kwgraph as H  # noqa: E402
+
+
+def _knn(spark, sf_dir, k=5):
+    return S.knn_graph(T.text_vectors(spark, sf_dir), k=k)
+
+
+def graph_of(spark, sf_dir, k=5):
+    return G.symmetrize(G.edge_weights(_knn(spark, sf_dir, k), k))
+
+
+@register("local_scale")
+def q_local_scale(spark, sf_dir):
+    return G.local_scale(_knn(spark, sf_dir), 5).withColumn("tau", r6("tau"))
+
+
+@register("edge_weights")
+def q_edge_weights(spark, sf_dir):
+    return G.edge_weights(_knn(spark, sf_dir), 5).withColumn("w", r6("w"))
+
+
+@register("text_graph")
+def q_text_graph(spark, sf_dir):
+    return G.text_graph(T.text_vectors(spark, sf_dir), k=5).withColumn("w", r6("w"))
+
+
+@register("avg_degree")
+def q_avg_degree(spark, sf_dir):
+    return G.avg_degree(graph_of(spark, sf_dir))
+
+
+@register("components")
+def q_components(spark, sf_dir):
+    return G.components(graph_of(spark, sf_dir))
+
+
+@register("diameter")
+def q_diameter(spark, sf_dir):
+    return G.diameter(graph_of(spark, sf_dir))
+
+
+def _kw_pipeline(spark, sf_dir, iters=5, n=5):
+    kw = T.label_keywords(spark, sf_dir)
+    emb = T.text_vectors(spark, sf_dir)
+    return H.build_keyword_graph(kw, emb, graph_of(spark, sf_dir), n1=n, n2=n, iters=iters)
+
+
+@register("seed_labels")
+def q_seed_labels(spark, sf_dir):
+    kw, emb = T.label_keywords(spark, sf_dir), T.text_vectors(spark, sf_dir)
+    return H.seed_labels(S.closest(kw, emb, 5), S.farthest(kw, emb, 5))
+
+
+@register("propagate")
+def q_propagate(spark, sf_dir):
+    s = _kw_pipeline(spark, sf_dir)["scores"]
+    return s.select("keyword_id", "id", r6("f0").alias("f0"), r6("f1").alias("f1"))
+
+
+@register("harden")
+def q_harden(spark, sf_dir):
+    return _kw_pipeline(spark, sf_dir)["labels"]
+
+
+@register("keyword_graph")
+def q_keyword_graph(spark, sf_dir):
+    return _kw_pipeline(spark, sf_dir)["Wk"]
