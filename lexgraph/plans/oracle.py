@@ -256,3 +256,131 @@ SQL["keyword_graph"] = KWG + """
 SELECT a.keyword_id AS kw_a, b.keyword_id AS kw_b, count(*) AS w
 FROM labels a JOIN labels b ON a.id = b.id AND a.keyword_id <> b.keyword_id
 WHERE a.label = 1 AND b.label = 1 GROUP BY a.keyword_id, b.keyword_id"""
+
+# ---------------------------------------------------------------- clusters
+ASSIGN_CTE = f"""
+assign AS (SELECT qid AS id, cid AS cluster, score AS dist FROM ({topk_sql('vec', 'kw', 'id', 'keyword_id', l2('vec.v', 'kw.v'), 1, desc=False)}))"""
+
+
+def sample_ctes(assign: str, seed: int = 42, blocks: int = 5, name: str = "sampled") -> str:
+    return f"""
+_sz AS (SELECT cluster, count(*) AS n FROM {assign} GROUP BY cluster),
+_ak AS (SELECT a.cluster, a.id, s.n, md5('{seed}:' || CAST(a.id AS VARCHAR)) AS key FROM {assign} a JOIN _sz s USING (cluster)),
+_big AS (SELECT cluster, rank, id FROM (
+  SELECT cluster, id, CAST(row_number() OVER (PARTITION BY cluster ORDER BY key, id) AS INTEGER) AS rank FROM _ak WHERE n > {blocks})
+  WHERE rank <= {blocks}),
+_small AS (SELECT cluster, id, row_number() OVER (PARTITION BY cluster ORDER BY key, id) - 1 AS pos FROM _ak WHERE n <= {blocks}),
+_slots AS (SELECT cluster, n, CAST(unnest(range(1, {blocks + 1})) AS INTEGER) AS rank FROM _sz WHERE n <= {blocks}),
+{name} AS (
+  SELECT cluster, rank, id FROM _big
+  UNION ALL
+  SELECT s.cluster, s.rank, m.id FROM _slots s JOIN _small m ON s.cluster = m.cluster
+    AND m.pos = ('0x' || substr(md5('{seed}:' || CAST(s.cluster AS VARCHAR) || ':' || CAST(s.rank AS VARCHAR)), 1, 8))::BIGINT % s.n)"""
+
+
+SQL["assign_clusters"] = with_(VEC_CTE, ASSIGN_CTE) + "\nSELECT id, cluster, round(dist, 6) AS dist FROM assign"
+SQL["cluster_sizes"] = with_(VEC_CTE, ASSIGN_CTE) + "\nSELECT cluster, count(*) AS n FROM assign GROUP BY cluster"
+SQL["sample_members"] = with_(VEC_CTE, ASSIGN_CTE, sample_ctes("assign")) + "\nSELECT cluster, rank, id FROM sampled"
+
+
+# ---------------------------------------------------------------- keywords
+def _kw_consts():
+    from lexgraph.operators.keywords import PROMPT, token_budget
+    head = PROMPT.replace("{topic}", "energy poverty").replace("{l1}", "10").replace("{l2}", "3").replace("{avoid}", "")
+    pre, post = head.split("{texts}")
+    return token_budget(pre + post), pre, post
+
+
+SRC_CTES = f"""
+_cl AS (SELECT c.chunk_id AS id, d.source, v.v FROM chunks c JOIN documents d ON c.doc_id = d.doc_id JOIN ce_v v ON v.id = c.chunk_id),
+_cent AS (SELECT source, list(x ORDER BY i) AS v FROM (
+  SELECT source, i, avg(x) AS x FROM (SELECT source, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM _cl) GROUP BY source, i)
+  GROUP BY source),
+cent AS (SELECT CAST(dense_rank() OVER (ORDER BY source) - 1 AS INTEGER) AS cluster, v FROM _cent),
+_center AS ({topk_sql('cent', 'ce_v', 'cluster', 'id', l2('cent.v', 'ce_v.v'), 5, desc=False)}),
+_assign AS (SELECT qid AS id, cid AS cluster FROM ({topk_sql('ce_v', 'cent', 'id', 'cluster', l2('ce_v.v', 'cent.v'), 1, desc=False)})),
+{sample_ctes('_assign', name='_random').strip()},
+members AS (
+  SELECT 'source' AS algo, qid AS cluster, 'center' AS kind, rank, cid AS id FROM _center
+  UNION ALL SELECT 'source', cluster, 'random', rank, id FROM _random),
+bundles AS (
+  SELECT m.set_id, m.pos, m.id, c.text FROM (
+    SELECT algo || ':' || CAST(cluster AS VARCHAR) AS set_id, id,
+           CAST(row_number() OVER (PARTITION BY algo || ':' || CAST(cluster AS VARCHAR)
+                ORDER BY CASE WHEN kind = 'center' THEN 0 ELSE 1 END, rank) AS INTEGER) AS pos
+    FROM members) m JOIN chunks c ON m.id = c.chunk_id),
+_tok AS (SELECT *, CAST(len(list_filter(regexp_split_to_array(text, '{WS}+'), lambda x: x <> '')) AS INTEGER) AS tokens,
+                md5('42:' || set_id || ':' || CAST(pos AS VARCHAR)) AS key FROM bundles),
+_run AS (SELECT *, CAST(row_number() OVER (PARTITION BY set_id ORDER BY key) AS INTEGER) AS "order",
+                sum(tokens) OVER (PARTITION BY set_id ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running
+         FROM _tok),
+selected AS (SELECT set_id, "order", id, text, tokens FROM _run WHERE running <= BUDGET_)"""
+
+
+def kw_chain() -> str:
+    budget, _, _ = _kw_consts()
+    return with_(chunks_cte(), hashed("ce", "chunks", "chunk_id", "text"), SRC_CTES.replace("BUDGET_", str(budget)))
+
+
+TOPIC_CTE = """
+_t AS (SELECT set_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS t FROM selected),
+_g AS (SELECT set_id, unnest(list_transform(range(1, len(t) - n + 2), lambda i: array_to_string(t[i : i + n - 1], ' '))) AS keyword
+       FROM _t, (VALUES (1), (2), (3)) AS ns(n) WHERE len(t) >= n),
+_tf AS (SELECT set_id, keyword, count(*) AS tf FROM _g GROUP BY set_id, keyword),
+_df AS (SELECT keyword, count(*) AS df FROM _tf GROUP BY keyword),
+_ns AS (SELECT count(DISTINCT set_id) AS s FROM selected),
+topic AS (SELECT set_id, rank, keyword, score FROM (
+  SELECT t.set_id, t.keyword, t.tf * ln((_ns.s + 1.0) / (d.df + 1.0)) AS score,
+         CAST(row_number() OVER (PARTITION BY t.set_id ORDER BY round(t.tf * ln((_ns.s + 1.0) / (d.df + 1.0)), 6) DESC, t.keyword) AS INTEGER) AS rank
+  FROM _tf t JOIN _df d USING (keyword), _ns) WHERE rank <= 10)"""
+
+SQL["cluster_bundles"] = kw_chain() + "\nSELECT set_id, pos, id, text FROM bundles"
+SQL["select_chunks"] = kw_chain() + "\nSELECT set_id, \"order\", id, text, tokens FROM selected"
+_b, _pre, _post = _kw_consts()
+SQL["render_prompts"] = kw_chain() + f"""
+SELECT set_id, {"'" + _pre.replace("'", "''") + "'"} || string_agg(text, ' * ' ORDER BY "order") || {"'" + _post.replace("'", "''") + "'"} AS prompt
+FROM selected GROUP BY set_id"""
+SQL["topic_keywords"] = with_(kw_chain()[5:], TOPIC_CTE) + "\nSELECT set_id, rank, keyword, round(score, 6) AS score FROM topic"
+
+PARSED = """
+parsed AS (SELECT DISTINCT unnest(string_split(text, ',')) AS keyword FROM conversations WHERE role = 'assistant')"""
+SQL["parse_keywords"] = with_(PARSED) + "\nSELECT keyword FROM parsed"
+SQL["avoid_list"] = with_(PARSED) + "\nSELECT keyword FROM parsed ORDER BY md5('42:' || keyword), keyword LIMIT 300"
+SQL["clean_keywords"] = with_(PARSED) + f"\nSELECT regexp_replace(lower(keyword), '^{WS}+', '') AS keyword FROM parsed"
+
+TOK = "regexp_extract_all(lower(keyword), '[\\p{L}\\p{N}]+')"
+DEDUP_CTE = f"""
+dedup AS (SELECT keyword FROM (
+  SELECT keyword, row_number() OVER (PARTITION BY k ORDER BY n DESC, keyword) AS r FROM (
+    SELECT keyword, count(*) AS n, array_to_string(list_sort(list_distinct({TOK})), ' ') AS k FROM parsed GROUP BY keyword)
+  WHERE k <> '') WHERE r = 1)"""
+
+
+def split_cte(src: str, name: str) -> str:
+    return f"""
+{name}_k AS (SELECT keyword, list_distinct({TOK}) AS t FROM {src}),
+{name}_single AS (SELECT DISTINCT t[1] AS w FROM {name}_k WHERE len(t) = 1),
+{name}_cov AS (SELECT keyword FROM (SELECT keyword, len(t) AS n, unnest(t) AS w FROM {name}_k WHERE len(t) > 1) p
+               JOIN {name}_single USING (w) GROUP BY keyword, n HAVING count(*) = n),
+{name} AS (SELECT DISTINCT keyword FROM {src} WHERE keyword NOT IN (SELECT keyword FROM {name}_cov))"""
+
+
+def broad_cte(src: str, name: str) -> str:
+    return f"""
+{name}_k AS (SELECT keyword, list_distinct({TOK}) AS t FROM {src} WHERE len({TOK}) > 0 AND lower(keyword) NOT IN ('things', 'stuff', 'technology')),
+{name}_kt AS (SELECT keyword, len(t) AS m, unnest(t) AS token FROM {name}_k),
+{name}_ct AS (SELECT DISTINCT chunk_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS token FROM chunks),
+{name}_df AS (SELECT keyword, count(*) AS df FROM (
+  SELECT kt.keyword, kt.m, ct.chunk_id, count(*) AS h FROM {name}_kt kt JOIN {name}_ct ct USING (token) GROUP BY kt.keyword, kt.m, ct.chunk_id)
+  WHERE h = m GROUP BY keyword),
+{name} AS (SELECT keyword FROM {name}_k WHERE keyword NOT IN (
+  SELECT keyword FROM {name}_df WHERE df > 0.5 * (SELECT count(*) FROM chunks)))"""
+
+
+SQL["dedup_keywords"] = with_(PARSED, DEDUP_CTE) + "\nSELECT keyword FROM dedup"
+SQL["split_keywords"] = with_(PARSED, split_cte("parsed", "splitted")) + "\nSELECT keyword FROM splitted"
+SQL["drop_broad"] = with_(chunks_cte(), PARSED, broad_cte("parsed", "kept")) + "\nSELECT keyword FROM kept"
+SQL["cleanup_keywords"] = with_(chunks_cte(), PARSED, DEDUP_CTE, split_cte("dedup", "splitted"), broad_cte("splitted", "kept")) + f"""
+SELECT regexp_replace(lower(keyword), '^{WS}+', '') AS keyword FROM kept"""
+SQL["flag_pattern"] = """
+SELECT conv_id, turn, regexp_matches(text, '[Tt]he [a-z]+tion') AS flagged FROM conversations WHERE role = 'assistant'"""

@@ -203,3 +203,146 @@ def q_harden(spark, sf_dir):
 @register("keyword_graph")
 def q_keyword_graph(spark, sf_dir):
     return _kw_pipeline(spark, sf_dir)["Wk"]
+
+
+# ------------------------------------------------------------------ clusters
+from lexgraph.operators import cluster as CL  # noqa: E402
+from lexgraph.operators import keywords as KW  # noqa: E402
+
+
+def _label_centers(spark, sf_dir):
+    return T.label_keywords(spark, sf_dir).select(F.col("keyword_id").alias("cluster"), F.col("embedding").alias("center"))
+
+
+def _assign(spark, sf_dir):
+    return CL.assign_clusters(T.text_vectors(spark, sf_dir), _label_centers(spark, sf_dir))
+
+
+@register("assign_clusters")
+def q_assign_clusters(spark, sf_dir):
+    return _assign(spark, sf_dir).withColumn("dist", r6("dist"))
+
+
+@register("cluster_sizes")
+def q_cluster_sizes(spark, sf_dir):
+    return CL.cluster_sizes(_assign(spark, sf_dir))
+
+
+@register("sample_members")
+def q_sample_members(spark, sf_dir):
+    return CL.sample_members(_assign(spark, sf_dir).select("id", "cluster"), blocks=5, seed=42)
+
+
+@register("kmeans")
+def q_kmeans(spark, sf_dir):
+    assign, _, _ = CL.kmeans(T.text_vectors(spark, sf_dir), k=20, n_init=5, seed=42)
+    return assign
+
+
+@register("extract_clusters")
+def q_extract_clusters(spark, sf_dir):
+    return CL.extract_clusters(T.text_vectors(spark, sf_dir), k=20, blocks=5, seed=42, algos=("kmeans",))
+
+
+# ------------------------------------------------------------------ keywords
+TOPIC = "energy poverty"
+
+
+def source_members(spark, sf_dir, blocks=5, seed=42):
+    """Deterministic clusters for the keyword chain: one per document source,
+    centre = mean chunk vector of the source; members = centre-nearest chunks
+    and seeded random chunks of the nearest-centre assignment."""
+    chunks = chunks_of(spark, sf_dir)
+    ce = EM.embed_text(chunks, id_col="chunk_id", dim=64)
+    docs = T.table(spark, sf_dir, "documents").select("doc_id", "source")
+    x = (ce.join(chunks.select(F.col("chunk_id").alias("id"), "doc_id"), "id").join(docs, "doc_id")
+         .select("source", F.posexplode("embedding").alias("d", "x")))
+    m = x.groupBy("source", "d").agg(F.avg("x").alias("x"))
+    cent = (m.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("d", "x"))).alias("v"))
+            .select("source", F.transform("v", lambda s: s["x"]).alias("center")))
+    from pyspark.sql import Window
+    cent = cent.withColumn("cluster", (F.dense_rank().over(Window.orderBy("source")) - 1).cast("int")).select("cluster", "center")
+    center = S.nearest_to_center(ce, cent, blocks).select("cluster", "rank", "id")
+    assign = CL.assign_clusters(ce, cent).select("id", "cluster")
+    rand = CL.sample_members(assign, blocks, seed)
+    members = (center.withColumn("kind", F.lit("center")).unionByName(rand.withColumn("kind", F.lit("random")))
+               .withColumn("algo", F.lit("source")).select("algo", "cluster", "kind", "rank", "id"))
+    return members, chunks
+
+
+def _header():
+    h = KW.PROMPT.replace("{topic}", TOPIC).replace("{l1}", "10").replace("{l2}", "3").replace("{avoid}", "")
+    return h.replace("{texts}", "")
+
+
+def _selected(spark, sf_dir):
+    members, chunks = source_members(spark, sf_dir)
+    b = KW.cluster_bundles(members, chunks)
+    return KW.select_chunks(b, KW.token_budget(_header()), seed=42)
+
+
+@register("cluster_bundles")
+def q_cluster_bundles(spark, sf_dir):
+    members, chunks = source_members(spark, sf_dir)
+    return KW.cluster_bundles(members, chunks)
+
+
+@register("select_chunks")
+def q_select_chunks(spark, sf_dir):
+    return _selected(spark, sf_dir)
+
+
+@register("render_prompts")
+def q_render_prompts(spark, sf_dir):
+    return KW.render_prompts(_selected(spark, sf_dir), TOPIC, 10, 3)
+
+
+@register("topic_keywords")
+def q_topic_keywords(spark, sf_dir):
+    return KW.topic_keywords(_selected(spark, sf_dir), 10, 3).withColumn("score", r6("score"))
+
+
+def _parsed(spark, sf_dir):
+    conv = T.table(spark, sf_dir, "conversations").filter(F.col("role") == "assistant")
+    return KW.parse_keywords(conv, col="text")
+
+
+@register("parse_keywords")
+def q_parse_keywords(spark, sf_dir):
+    return _parsed(spark, sf_dir)
+
+
+@register("avoid_list")
+def q_avoid_list(spark, sf_dir):
+    return KW.avoid_list(_parsed(spark, sf_dir), 300, seed=42)
+
+
+@register("clean_keywords")
+def q_clean_keywords(spark, sf_dir):
+    return KW.clean_keywords(_parsed(spark, sf_dir))
+
+
+@register("dedup_keywords")
+def q_dedup_keywords(spark, sf_dir):
+    return KW.dedup_keywords(_parsed(spark, sf_dir))
+
+
+@register("split_keywords")
+def q_split_keywords(spark, sf_dir):
+    return KW.split_keywords(_parsed(spark, sf_dir))
+
+
+@register("drop_broad")
+def q_drop_broad(spark, sf_dir):
+    return KW.drop_broad(_parsed(spark, sf_dir), chunks_of(spark, sf_dir), 0.5)
+
+
+@register("cleanup_keywords")
+def q_cleanup_keywords(spark, sf_dir):
+    return KW.cleanup_keywords(_parsed(spark, sf_dir), chunks_of(spark, sf_dir), 0.5)
+
+
+@register("flag_pattern")
+def q_flag_pattern(spark, sf_dir):
+    conv = T.table(spark, sf_dir, "conversations").filter(F.col("role") == "assistant")
+    return KW.flag_pattern(conv, "[Tt]he [a-z]+tion", col="text").select("conv_id", "turn", "flagged")
