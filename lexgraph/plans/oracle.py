@@ -384,3 +384,65 @@ SQL["cleanup_keywords"] = with_(chunks_cte(), PARSED, DEDUP_CTE, split_cte("dedu
 SELECT regexp_replace(lower(keyword), '^{WS}+', '') AS keyword FROM kept"""
 SQL["flag_pattern"] = """
 SELECT conv_id, turn, regexp_matches(text, '[Tt]he [a-z]+tion') AS flagged FROM conversations WHERE role = 'assistant'"""
+
+# ---------------------------------------------------------------- html
+_ENT = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "),
+        ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
+
+
+def unesc(x: str) -> str:
+    for a, b in _ENT:
+        x = f"replace({x}, '{a}', '{b.replace(chr(39), chr(39) * 2)}')"
+    return x
+
+
+def attr_sql(tag: str, name: str) -> str:
+    pat = f"""(?i)\\s{name}\\s*=\\s*("[^"]*"|'[^']*'|[^\\s>]+)""".replace("'", "''")
+    val = f"regexp_replace(regexp_extract({tag}, '{pat}', 1), '^[\"'']|[\"'']$', '', 'g')"
+    return f"CASE WHEN regexp_matches({tag}, '{pat}') THEN {unesc(val)} END"
+
+
+ANCHORS_CTE = f"""
+_tags AS (SELECT page_id, unnest(regexp_extract_all(html, '<a(\\s[^>]*)?>', 0)) AS tag,
+                 unnest(range(len(regexp_extract_all(html, '<a(\\s[^>]*)?>', 0)))) AS pos FROM pages),
+anchors AS (SELECT page_id, CAST(pos AS INTEGER) AS pos, {attr_sql('tag', 'href')} AS href, {attr_sql('tag', 'class')} AS class FROM _tags),
+links AS (SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS INTEGER) AS pos, href, class
+          FROM anchors WHERE href IS NOT NULL)"""
+
+SQL["extract_links"] = with_(ANCHORS_CTE) + "\nSELECT page_id, pos, href, class FROM links"
+SQL["filter_links"] = with_(ANCHORS_CTE) + "\nSELECT page_id, pos, href, class FROM links WHERE starts_with(href, '/t')"
+SQL["page_title"] = f"""
+SELECT page_id, replace({unesc("regexp_replace(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g')")}, ' ', '_') AS title
+FROM pages"""
+
+_DL_PAT = """<a\\s[^>]*class\\s*=\\s*["''](?:[^"'']*\\s)?detail__header__button(?:\\s[^"'']*)?["''][^>]*>"""
+_BOX_PAT = """(?s)<div[^>]*class\\s*=\\s*["''][^"'']*detail__header__column[^>]*>.*?<h1[^>]*>(.*?)</h1>"""
+RECORDS_CTE = f"""
+_pg AS (SELECT page_id, html,
+               CASE WHEN regexp_matches(html, '{_DL_PAT}') THEN regexp_extract(html, '{_DL_PAT}', 0) END AS dl,
+               regexp_extract(html, '{_BOX_PAT}', 1) AS box,
+               CASE WHEN regexp_matches(html, '(?s)<h1[^>]*>.*?</h1>') THEN regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1) END AS h1
+        FROM pages),
+_trs AS (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<tr[^>]*>(.*?)</tr>', 1)) AS tr,
+                unnest(range(len(regexp_extract_all(html, '(?s)<tr[^>]*>(.*?)</tr>', 1)))) AS row FROM pages),
+_cells AS (SELECT page_id, row, regexp_extract_all(tr, '(?s)<td[^>]*>(.*?)</td>', 1) AS c FROM _trs),
+_lv AS (SELECT page_id, row,
+               regexp_replace({unesc("regexp_replace(c[1], '<[^>]*>', '', 'g')")}, '^{WS}+|{WS}+$', '', 'g') AS label,
+               regexp_replace({unesc("regexp_replace(c[2], '<[^>]*>', '', 'g')")}, '^{WS}+|{WS}+$', '', 'g') AS value
+        FROM _cells WHERE len(c) >= 2),
+_attrs AS (SELECT page_id, max_by(value, row) FILTER (WHERE label = 'Organisatie') AS organisatie,
+                  max_by(value, row) FILTER (WHERE label = 'Opleiding') AS opleiding FROM _lv GROUP BY page_id),
+records AS (
+  SELECT p.page_id, 'https://example.org' || ({attr_sql('p.dl', 'href')}) AS download_url,
+         replace({unesc("regexp_replace(CASE WHEN p.box <> '' THEN p.box ELSE p.h1 END, '<[^>]*>', '', 'g')")}, ' ', '_') AS title,
+         a.organisatie, a.opleiding
+  FROM _pg p LEFT JOIN _attrs a ON p.page_id = a.page_id),
+paths AS (
+  SELECT *, CASE WHEN title IS NOT NULL THEN concat_ws('/', replace(organisatie, ' ', '_'), replace(opleiding, ' ', '_'),
+            (CASE WHEN regexp_matches(title, '^[^.].*\\.[^.]*$') OR regexp_matches(title, '^\\..*\\.[^.]*$')
+                  THEN regexp_extract(title, '^(.*)\\.[^.]*$', 1) ELSE title END) || '.pdf') END AS path
+  FROM records)"""
+
+SQL["page_records"] = with_(RECORDS_CTE) + "\nSELECT page_id, download_url, title, organisatie, opleiding FROM records"
+SQL["target_path"] = with_(RECORDS_CTE) + "\nSELECT page_id, path FROM paths"
+SQL["limit_records"] = with_(RECORDS_CTE) + "\nSELECT page_id, title, path FROM paths ORDER BY page_id LIMIT 1000"

@@ -346,3 +346,37 @@ def q_cleanup_keywords(spark, sf_dir):
 def q_flag_pattern(spark, sf_dir):
     conv = T.table(spark, sf_dir, "conversations").filter(F.col("role") == "assistant")
     return KW.flag_pattern(conv, "[Tt]he [a-z]+tion", col="text").select("conv_id", "turn", "flagged")
+
+
+# ------------------------------------------------------------------ html
+from lexgraph.operators import html as HT  # noqa: E402
+
+
+@register("extract_links")
+def q_extract_links(spark, sf_dir):
+    return HT.extract_links(T.table(spark, sf_dir, "pages"))
+
+
+@register("filter_links")
+def q_filter_links(spark, sf_dir):
+    return HT.filter_links(HT.extract_links(T.table(spark, sf_dir, "pages")), "/t")
+
+
+@register("page_title")
+def q_page_title(spark, sf_dir):
+    return T.table(spark, sf_dir, "pages").select("page_id", HT.page_title().alias("title"))
+
+
+@register("page_records")
+def q_page_records(spark, sf_dir):
+    return HT.page_records(T.table(spark, sf_dir, "pages"), base="https://example.org")
+
+
+@register("target_path")
+def q_target_path(spark, sf_dir):
+    return HT.target_path(HT.page_records(T.table(spark, sf_dir, "pages"))).select("page_id", "path")
+
+
+@register("limit_records")
+def q_limit_records(spark, sf_dir):
+    return HT.limit_records(HT.target_path(HT.page_records(T.table(spark, sf_dir, "pages"))), 1000).select("page_id", "title", "path")
