@@ -18,8 +18,17 @@ def register(name):
     return deco
 
 
-def chunks_of(spark, sf_dir, length=250):
-    return C.chunk_documents(T.corpus(spark, sf_dir), length=length)
+def chunks_of(spark, sf_dir, length=250, persist=False):
+    c = C.chunk_documents(T.corpus(spark, sf_dir), length=length)
+    if persist:   # reused several times below: compute once
+        from lexgraph.session import persist_step
+        c = persist_step(c)
+    return c
+
+
+def chunk_emb_of(spark, sf_dir, chunks, dim=64):
+    from lexgraph.session import persist_step
+    return persist_step(EM.embed_text(chunks, id_col="chunk_id", dim=dim))
 
 
 @register("chunk_documents")
@@ -115,13 +124,15 @@ def q_nearest_to_center(spark, sf_dir):
 
 @register("embed_text")
 def q_embed_text(spark, sf_dir):
-    e = EM.embed_text(chunks_of(spark, sf_dir), id_col="chunk_id", dim=64)
+    e = EM.embed_text(chunks_of(spark, sf_dir, persist=True), id_col="chunk_id", dim=64)
     return (e.select("id", F.posexplode("embedding").alias("bucket", "value"))
             .filter(F.col("value") != 0).withColumn("value", r6("value")))
 
 
 def _answers(spark, sf_dir):
-    return S.answer_questions(T.questions(spark, sf_dir), chunks_of(spark, sf_dir), k=10, dim=64)
+    chunks = chunks_of(spark, sf_dir, persist=True)
+    return S.answer_questions(T.questions(spark, sf_dir), chunks, chunk_emb=chunk_emb_of(spark, sf_dir, chunks),
+                              k=10, dim=64)
 
 
 @register("answer_questions")
@@ -252,8 +263,8 @@ def source_members(spark, sf_dir, blocks=5, seed=42):
     """Deterministic clusters for the keyword chain: one per document source,
     centre = mean chunk vector of the source; members = centre-nearest chunks
     and seeded random chunks of the nearest-centre assignment."""
-    chunks = chunks_of(spark, sf_dir)
-    ce = EM.embed_text(chunks, id_col="chunk_id", dim=64)
+    chunks = chunks_of(spark, sf_dir, persist=True)
+    ce = chunk_emb_of(spark, sf_dir, chunks)
     docs = T.table(spark, sf_dir, "documents").select("doc_id", "source")
     x = (ce.join(chunks.select(F.col("chunk_id").alias("id"), "doc_id"), "id").join(docs, "doc_id")
          .select("source", F.posexplode("embedding").alias("d", "x")))
@@ -262,6 +273,8 @@ def source_members(spark, sf_dir, blocks=5, seed=42):
             .select("source", F.transform("v", lambda s: s["x"]).alias("center")))
     from pyspark.sql import Window
     cent = cent.withColumn("cluster", (F.dense_rank().over(Window.orderBy("source")) - 1).cast("int")).select("cluster", "center")
+    from lexgraph.session import persist_step
+    cent = persist_step(cent)
     center = S.nearest_to_center(ce, cent, blocks).select("cluster", "rank", "id")
     assign = CL.assign_clusters(ce, cent).select("id", "cluster")
     rand = CL.sample_members(assign, blocks, seed)
@@ -278,7 +291,8 @@ def _header():
 def _selected(spark, sf_dir):
     members, chunks = source_members(spark, sf_dir)
     b = KW.cluster_bundles(members, chunks)
-    return KW.select_chunks(b, KW.token_budget(_header()), seed=42)
+    from lexgraph.session import persist_step
+    return persist_step(KW.select_chunks(b, KW.token_budget(_header()), seed=42))
 
 
 @register("cluster_bundles")
@@ -334,12 +348,12 @@ def q_split_keywords(spark, sf_dir):
 
 @register("drop_broad")
 def q_drop_broad(spark, sf_dir):
-    return KW.drop_broad(_parsed(spark, sf_dir), chunks_of(spark, sf_dir), 0.5)
+    return KW.drop_broad(_parsed(spark, sf_dir), chunks_of(spark, sf_dir, persist=True), 0.5)
 
 
 @register("cleanup_keywords")
 def q_cleanup_keywords(spark, sf_dir):
-    return KW.cleanup_keywords(_parsed(spark, sf_dir), chunks_of(spark, sf_dir), 0.5)
+    return KW.cleanup_keywords(_parsed(spark, sf_dir), chunks_of(spark, sf_dir, persist=True), 0.5)
 
 
 @register("flag_pattern")

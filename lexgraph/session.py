@@ -18,6 +18,7 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.maxBytesPerBatch": str(64 * 1024 * 1024),
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 
@@ -71,3 +72,20 @@ def cut_lineage(df, every: int = 1, step: int = 0):
         checkpoint_dir(df.sparkSession)
         return df.checkpoint(eager=True)
     return df
+
+
+def spread(df, min_partitions: int | None = None):
+    """Round-robin rows over the cluster when the input has fewer partitions
+    than cores (e.g. one small file holding one row group).  On a cluster with
+    many input splits this is a no-op, so the corpus is not shuffled there."""
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
+def persist_step(df):
+    """Cut lineage at a reused intermediate: a reliable checkpoint written to
+    the shared checkpoint folder (survives executor loss)."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

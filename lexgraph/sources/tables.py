@@ -8,8 +8,15 @@ from pyspark.sql import functions as F
 TABLES = ("documents", "embeddings", "benchmark", "pages", "conversations", "labels")
 
 
+TEXT_TABLES = ("documents", "pages", "conversations")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if name in TEXT_TABLES:   # per-row text work: use every core even for one input split
+        from lexgraph.session import spread
+        df = spread(df)
+    return df
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
