@@ -13,8 +13,11 @@ partitions ("the") AQE splits.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexgraph.functions.rand import hash_bucket
 from lexgraph.functions.text import tokens
@@ -51,20 +54,39 @@ def embed_text(df: DataFrame, id_col: str = "chunk_id", text_col: str = "text",
         vocab = corpus_vocab(corpus, text_col=ctext, max_seq_len=max_seq_len)
     if n_docs is None:
         n_docs = corpus.count()
+    # bucket and idf once per distinct token (vocabulary side), not per occurrence
+    lnN = F.lit(float(n_docs)) + 1.0
+    vw = vocab.select("token", hash_bucket("token", dim).alias("vb"), F.log(lnN / (F.col("df") + 1.0)).alias("idf"))
     occ = df.select(F.col(id_col).alias("id"), F.explode_outer(_toks(text_col, max_seq_len)).alias("token"))
-    w = (occ.join(vocab, "token", "left")
+    w = (occ.join(vw, "token", "left")
          .select("id",
-                 F.coalesce(hash_bucket("token", dim), F.lit(0)).alias("b"),
+                 F.coalesce(F.col("vb"), hash_bucket("token", dim), F.lit(0)).alias("b"),
                  F.when(F.col("token").isNull(), F.lit(0.0))
-                  .otherwise(F.log((F.lit(float(n_docs)) + 1.0) / (F.coalesce(F.col("df"), F.lit(0)) + 1.0)))
-                  .alias("x")))
+                  .otherwise(F.coalesce(F.col("idf"), F.log(lnN / F.lit(1.0)))).alias("x")))
     s = w.groupBy("id", "b").agg(F.sum("x").alias("x"))
-    m = s.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("b", "x"))).alias("m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(int(dim) - 1)),
-                        lambda i: F.coalesce(F.try_element_at(F.col("m"), i), F.lit(0.0)))
-    v = m.select("id", dense.alias("v"))
-    nrm = F.sqrt(F.aggregate(F.col("v"), F.lit(0.0), lambda a, x: a + x * x))
-    return v.select(F.col("id"), F.transform("v", lambda x: F.coalesce(F.try_divide(x, nrm), F.lit(0.0))).alias("embedding"))
+    m = s.groupBy("id").agg(F.collect_list("b").alias("bs"), F.collect_list("x").alias("xs"))
+    return m.select("id", _scatter_unit(dim)(F.col("bs"), F.col("xs")).alias("embedding"))
+
+
+def _scatter_unit(dim: int):
+    """(bucket list, value list) -> unit-length dense array<double>.
+
+    One numpy scatter per Arrow batch; Spark has no scatter-into-array
+    expression (a map lookup per position would scan the list ``dim`` times)."""
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def scatter(bs: pa.Array, xs: pa.Array) -> pa.Array:
+        n = len(bs)
+        lens = bs.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        b = bs.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        x = xs.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        rows = np.repeat(np.arange(n), lens)
+        M = np.zeros((n, dim))
+        np.add.at(M, (rows, b), x)
+        nrm = np.sqrt(np.einsum("ij,ij->i", M, M))
+        M = np.divide(M, nrm[:, None], out=np.zeros_like(M), where=nrm[:, None] > 0)
+        offsets = pa.array(np.arange(n + 1, dtype=np.int32) * dim)
+        return pa.ListArray.from_arrays(offsets, pa.array(M.ravel()))
+    return scatter
 
 
 def embed_missing(chunks: DataFrame, existing: DataFrame, dim: int = 64, id_col: str = "chunk_id",
