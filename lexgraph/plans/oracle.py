@@ -446,3 +446,32 @@ paths AS (
 SQL["page_records"] = with_(RECORDS_CTE) + "\nSELECT page_id, download_url, title, organisatie, opleiding FROM records"
 SQL["target_path"] = with_(RECORDS_CTE) + "\nSELECT page_id, path FROM paths"
 SQL["limit_records"] = with_(RECORDS_CTE) + "\nSELECT page_id, title, path FROM paths ORDER BY page_id LIMIT 1000"
+
+# ---------------------------------------------------------------- more coverage
+SQL["chunk_documents_lang"] = with_(chunks_cte()) + """
+SELECT c.* FROM chunks c JOIN documents d ON c.doc_id = d.doc_id WHERE d.lang = 'fr'"""
+SQL["token_count"] = with_(chunks_cte()) + f"""
+SELECT chunk_id, CAST(len(list_filter(regexp_split_to_array(text, '{WS}+'), lambda x: x <> '')) AS INTEGER) AS tokens FROM chunks"""
+SQL["embed_missing"] = with_(chunks_cte(), hashed("ce", "chunks", "chunk_id", "text")) + """
+SELECT s.id, s.b AS bucket, round(s.x, 6) AS value FROM ce_s s
+WHERE s.x <> 0 AND s.id NOT IN (SELECT c.chunk_id FROM chunks c JOIN documents d ON c.doc_id = d.doc_id WHERE d.lang = 'en')"""
+SQL["embed_keywords"] = with_(chunks_cte(), PARSED, hashed("ke", "parsed", "keyword", "keyword")) + """
+SELECT id AS keyword, b AS bucket, round(x, 6) AS value FROM ke_s WHERE x <> 0"""
+SQL["check_dim"] = "SELECT vec_id AS id, CAST(len(embedding) AS INTEGER) AS dim FROM embeddings"
+SQL["all_embeddings"] = with_(chunks_cte()) + "\nSELECT chunk_id AS id, 64 AS dim FROM chunks"
+SQL["get_by_ids"] = ANSWERS + """
+SELECT chunk_id, doc_id, chunk_no, page FROM chunks WHERE chunk_id IN (SELECT chunk_id FROM answers)"""
+SQL["label_keywords"] = with_(VEC_CTE) + """
+SELECT keyword_id, keyword, CAST(generate_subscripts(v, 1) - 1 AS INTEGER) AS d, round(unnest(v), 6) AS value FROM kw"""
+SQL["answers"] = with_(kw_chain()[5:], TOPIC_CTE) + """
+SELECT set_id, string_agg(keyword, ',' ORDER BY rank) AS answer FROM topic GROUP BY set_id"""
+SQL["next_page"] = with_(ANCHORS_CTE) + """,
+_arrows AS (SELECT page_id, href, class, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS n FROM anchors
+            WHERE list_contains(regexp_split_to_array(coalesce(class, ''), '\\s+'), 'search__body__pagination__arrow'))
+SELECT p.page_id, CASE WHEN list_contains(regexp_split_to_array(coalesce(a.class, ''), '\\s+'), 'is-disabled') THEN NULL ELSE a.href END AS next_href
+FROM pages p LEFT JOIN (SELECT * FROM _arrows WHERE n = 2) a ON p.page_id = a.page_id"""
+SQL["table_attributes"] = with_(RECORDS_CTE) + """
+SELECT p.page_id, a.organisatie, a.opleiding FROM pages p LEFT JOIN _attrs a ON p.page_id = a.page_id"""
+SQL["pending_downloads"] = with_(RECORDS_CTE) + """
+SELECT p.page_id, p.path FROM paths p
+WHERE p.path NOT IN (SELECT q.path FROM paths q JOIN pages g ON q.page_id = g.page_id WHERE contains(g.url, '/fr/') AND q.path IS NOT NULL)"""

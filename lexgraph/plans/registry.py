@@ -394,3 +394,105 @@ def q_target_path(spark, sf_dir):
 @register("limit_records")
 def q_limit_records(spark, sf_dir):
     return HT.limit_records(HT.target_path(HT.page_records(T.table(spark, sf_dir, "pages"))), 1000).select("page_id", "title", "path")
+
+
+# ------------------------------------------------------------------ more coverage
+from lexgraph.operators import spectral as SP  # noqa: E402
+
+
+def _long(e, id_name="id"):
+    return (e.select(F.col("id").alias(id_name), F.posexplode("embedding").alias("bucket", "value"))
+            .filter(F.col("value") != 0).withColumn("value", r6("value")))
+
+
+@register("chunk_documents_lang")
+def q_chunk_documents_lang(spark, sf_dir):
+    return C.chunk_documents(T.corpus(spark, sf_dir), length=250, language="fr")
+
+
+@register("token_count")
+def q_token_count(spark, sf_dir):
+    return chunks_of(spark, sf_dir).select("chunk_id", KW.token_count("text").alias("tokens"))
+
+
+@register("embed_missing")
+def q_embed_missing(spark, sf_dir):
+    """Chunks of English documents already have vectors; embed the rest."""
+    chunks = chunks_of(spark, sf_dir, persist=True)
+    en = T.table(spark, sf_dir, "documents").filter(F.col("lang") == "en").select("doc_id")
+    have = EM.embed_text(chunks.join(en, "doc_id", "left_semi"), id_col="chunk_id", dim=64, corpus=chunks)
+    return _long(EM.embed_missing(chunks, have, dim=64))
+
+
+@register("embed_keywords")
+def q_embed_keywords(spark, sf_dir):
+    kw = _parsed(spark, sf_dir)
+    chunks = chunks_of(spark, sf_dir, persist=True)
+    e = EM.embed_keywords(kw, chunks, dim=64, id_col="keyword", text_col="keyword")
+    return _long(e, "keyword")
+
+
+@register("check_dim")
+def q_check_dim(spark, sf_dir):
+    e = EM.check_dim(T.text_vectors(spark, sf_dir), 64)
+    return e.select("id", F.size("embedding").alias("dim"))
+
+
+@register("all_embeddings")
+def q_all_embeddings(spark, sf_dir):
+    chunks = chunks_of(spark, sf_dir, persist=True)
+    e = EM.all_embeddings(chunks, chunk_emb_of(spark, sf_dir, chunks), dim=64)
+    return e.select("id", F.size("embedding").alias("dim"))
+
+
+@register("get_by_ids")
+def q_get_by_ids(spark, sf_dir):
+    from lexgraph.sources.store import get_by_ids
+    a = _answers(spark, sf_dir)
+    chunks = chunks_of(spark, sf_dir, persist=True)
+    return get_by_ids(chunks, a.select("chunk_id")).select("chunk_id", "doc_id", "chunk_no", "page")
+
+
+@register("label_keywords")
+def q_label_keywords(spark, sf_dir):
+    kw = T.label_keywords(spark, sf_dir)
+    return kw.select("keyword_id", "keyword", F.posexplode("embedding").alias("d", "value")).withColumn("value", r6("value"))
+
+
+@register("answers")
+def q_answers(spark, sf_dir):
+    return KW.answers_from_keywords(KW.topic_keywords(_selected(spark, sf_dir), 10, 3))
+
+
+@register("next_page")
+def q_next_page(spark, sf_dir):
+    return HT.next_page(T.table(spark, sf_dir, "pages"))
+
+
+@register("table_attributes")
+def q_table_attributes(spark, sf_dir):
+    return HT.table_attributes(T.table(spark, sf_dir, "pages"))
+
+
+@register("pending_downloads")
+def q_pending_downloads(spark, sf_dir):
+    """Pages under /fr/ are already downloaded; the rest are pending."""
+    pages = T.table(spark, sf_dir, "pages")
+    rec = HT.target_path(HT.page_records(pages))
+    have = rec.join(pages.filter(F.col("url").contains("/fr/")).select("page_id"), "page_id", "left_semi").select("path")
+    return HT.pending_downloads(rec, have).select("page_id", "path")
+
+
+@register("spectral_embedding")
+def q_spectral_embedding(spark, sf_dir):
+    return SP.spectral_embedding(T.text_vectors(spark, sf_dir), n_components=25, gamma=1.0, seed=42)
+
+
+@register("spectral_clusters")
+def q_spectral_clusters(spark, sf_dir):
+    return CL.extract_clusters(T.text_vectors(spark, sf_dir), k=20, blocks=5, seed=42, algos=("spectral",))
+
+
+@register("graph_clusters")
+def q_graph_clusters(spark, sf_dir):
+    return SP.graph_clusters(graph_of(spark, sf_dir), k=10)

@@ -67,10 +67,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df, every: int = 1, step: int = 0):
-    """Reliable checkpoint (never a local one) every ``every`` steps."""
+    """Cut the lineage of an iterative state every ``every`` steps with a
+    table written to the shared checkpoint folder (never a local checkpoint)."""
     if every and step % every == 0:
-        checkpoint_dir(df.sparkSession)
-        return df.checkpoint(eager=True)
+        return persist_step(df)
     return df
 
 
@@ -85,7 +85,11 @@ def spread(df, min_partitions: int | None = None):
 
 
 def persist_step(df):
-    """Cut lineage at a reused intermediate: a reliable checkpoint written to
-    the shared checkpoint folder (survives executor loss)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut lineage at a reused intermediate: write it as a parquet table in the
+    shared checkpoint folder and read it back (survives executor loss; one
+    computation, unlike an uncached RDD checkpoint which computes twice)."""
+    import uuid
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -52,7 +52,8 @@ def write_chunks(chunks: DataFrame, root: str, tag: str) -> DataFrame:
     spark = chunks.sparkSession
     have = open_store(spark, root, tag, "chunks").select("chunk_id")
     new = chunks.join(have, "chunk_id", "left_anti")
-    new = new.checkpoint(eager=True)  # the anti join must not see its own output
+    from lexgraph.session import persist_step
+    new = persist_step(new)  # the anti join must not see its own output
     save_store(new, root, tag, "chunks")
     return new
 

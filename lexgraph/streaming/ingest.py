@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from lexgraph.operators.chunk import chunk_documents
 from lexgraph.operators.embed import corpus_vocab, embed_text
+from lexgraph.session import persist_step
 from lexgraph.sources import store as ST
 from lexgraph.sources.corpus import BINARY_SCHEMA, files_as_documents, route_files, to_text, with_filename
 
@@ -31,7 +32,7 @@ def _process(spark: SparkSession, batch: DataFrame, root: str, tag: str, length:
         return
     old = ST.open_store(spark, root, tag, "vocab").select("token", "df")
     vocab = (old.unionByName(corpus_vocab(new)).groupBy("token").agg(F.sum("df").cast("long").alias("df")))
-    vocab = vocab.checkpoint(eager=True)   # read and overwrite the same table safely
+    vocab = persist_step(vocab)   # read and overwrite the same table safely
     ST.save_store(vocab, root, tag, "vocab", mode="overwrite")
     n_docs = ST.open_store(spark, root, tag, "chunks").count()
     have = ST.open_store(spark, root, tag, "embeddings").select("id")
