@@ -14,6 +14,7 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 * 1024 * 1024),
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.arrow.maxBytesPerBatch": str(64 * 1024 * 1024),
     "spark.sql.session.timeZone": "UTC",
@@ -74,13 +75,15 @@ def cut_lineage(df, every: int = 1, step: int = 0):
     return df
 
 
-def spread(df, min_partitions: int | None = None):
-    """Round-robin rows over the cluster when the input has fewer partitions
-    than cores (e.g. one small file holding one row group).  On a cluster with
-    many input splits this is a no-op, so the corpus is not shuffled there."""
+def spread(df, key: str | None = None, min_partitions: int | None = None):
+    """Hash-partition rows on ``key`` (default: the first column, the id in
+    the driver tables) when the input has fewer partitions than cores (e.g.
+    one small file holding one row group).  Hashing a key avoids the sort a
+    deterministic round-robin needs.  On a cluster with many input splits this
+    is a no-op, so the corpus is not shuffled there."""
     target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
+        return df.repartition(target, key or df.columns[0])
     return df
 
 
