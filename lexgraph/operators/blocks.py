@@ -102,8 +102,8 @@ def block_topk(queries: DataFrame, corpus: DataFrame, k: int | None, metric: str
                largest: bool = True, exclude_self: bool = False, q_id: str = "id", c_id: str = "id",
                q_vec: str = "embedding", c_vec: str = "embedding", block_rows: int = 2048,
                n_queries: int | None = None, n_corpus: int | None = None) -> DataFrame:
-    """(qid, cid, score, rank): the ``k`` best corpus rows per query row
-    (all rows when ``k`` is None).  Ranking: score rounded to 6 digits
+    """(qid, cid, score, rank): the ``k`` best corpus rows per query row;
+    with ``k`` None every pair as (qid, cid, score), unranked.  Ranking: score rounded to 6 digits
     (descending when ``largest``), then corpus id ascending.
     """
     nq = queries.count() if n_queries is None else n_queries
@@ -121,7 +121,8 @@ def block_topk(queries: DataFrame, corpus: DataFrame, k: int | None, metric: str
     ct = corpus.schema[c_id].dataType.simpleString()
     cand = pairs.select("qids", "qvec", "cids", "cvec").mapInArrow(
         _kernel(k, metric, largest, exclude_self), f"qid {qt}, cid {ct}, score double")
+    if k is None:      # the full matrix: no ranking, so no per-query group is sorted
+        return cand
     order = F.round("score", 6).desc() if largest else F.round("score", 6).asc()
     w = Window.partitionBy("qid").orderBy(order, F.col("cid").asc())
-    ranked = cand.withColumn("rank", F.row_number().over(w))
-    return ranked.filter(F.col("rank") <= k) if k is not None else ranked
+    return cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

@@ -169,16 +169,34 @@ def split_keywords(kw: DataFrame) -> DataFrame:
 
 
 def drop_broad(kw: DataFrame, chunks: DataFrame, max_df: float = 0.5, stop=BROAD_WORDS) -> DataFrame:
-    """Drop stop-list keywords and keywords whose tokens all occur in more
-    than ``max_df`` of the chunks.  Chunk frequency by an equi-join on token."""
+    """Drop stop-list keywords and keywords whose tokens all occur together
+    in more than ``max_df`` of the chunks.
+
+    Skew-safe plan: a keyword can only be broad when each of its tokens is
+    broad (df > max_df * N).  Broad tokens are few by construction -- at most
+    (distinct tokens per chunk) / max_df of them -- so single-token keywords
+    read df from the aggregated vocabulary, keywords with any non-broad token
+    are kept without counting, and only keywords made of broad tokens are
+    counted exactly, on chunk postings restricted to the broad tokens."""
+    from lexgraph.operators.embed import corpus_vocab
     n = chunks.count()
+    thr = F.lit(float(max_df) * n)
     k = kw.select("keyword", F.array_distinct(tokens("keyword")).alias("t")).filter(F.size("t") > 0)
     k = k.filter(~F.lower(F.col("keyword")).isin(list(stop)))
+    vocab = corpus_vocab(chunks, text_col="text")
+    broad_tok = vocab.filter(F.col("df") > thr).select("token")
     kt = k.select("keyword", F.size("t").alias("m"), F.explode("t").alias("token"))
-    ct = chunks.select("chunk_id", F.explode(F.array_distinct(tokens("text"))).alias("token"))
-    j = kt.join(ct, "token").groupBy("keyword", "m", "chunk_id").agg(F.count(F.lit(1)).alias("h"))
-    dfc = j.filter(F.col("h") == F.col("m")).groupBy("keyword").agg(F.count(F.lit(1)).alias("df"))
-    broad = dfc.filter(F.col("df") > F.lit(float(max_df) * n)).select("keyword")
+    # keywords all of whose tokens are broad: the only ones that can be broad
+    nb = kt.join(broad_tok, "token", "left_semi").groupBy("keyword", "m").agg(F.count(F.lit(1)).alias("nb"))
+    cand = nb.filter(F.col("nb") == F.col("m")).select("keyword", "m")
+    single = cand.filter(F.col("m") == 1).select("keyword")      # df(keyword) = df(token) > thr
+    multi = kt.join(cand.filter(F.col("m") > 1).select("keyword"), "keyword", "left_semi")
+    ct = (chunks.select("chunk_id", F.explode(F.array_distinct(tokens("text"))).alias("token"))
+          .join(broad_tok, "token", "left_semi"))
+    j = multi.join(ct, "token").groupBy("keyword", "m", "chunk_id").agg(F.count(F.lit(1)).alias("h"))
+    multi_broad = (j.filter(F.col("h") == F.col("m")).groupBy("keyword").agg(F.count(F.lit(1)).alias("df"))
+                   .filter(F.col("df") > thr).select("keyword"))
+    broad = single.unionByName(multi_broad)
     return k.select("keyword").join(broad, "keyword", "left_anti")
 
 

@@ -228,3 +228,11 @@ def test_link_without_href(spark):
 def test_dotted_title(spark):
     r = HT.target_path(HT.page_records(page(spark, "<h1>Plan v1.2 final</h1>"))).first()
     assert r.path == "Plan_v1.pdf"
+
+
+def test_drop_broad_rules(spark):
+    ch = spark.createDataFrame([(f"c{i}", t) for i, t in enumerate(
+        ["the cat of", "the dog of", "the of", "a bird", "the of x"])], "chunk_id string, text string")
+    kw = spark.createDataFrame([(k,) for k in ["the", "the cat", "the of", "Things", "bird"]], "keyword string")
+    kept = {r.keyword for r in KW.drop_broad(kw, ch, 0.5).collect()}
+    assert kept == {"the cat", "bird"}
