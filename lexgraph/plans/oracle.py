@@ -475,3 +475,34 @@ SELECT p.page_id, a.organisatie, a.opleiding FROM pages p LEFT JOIN _attrs a ON
 SQL["pending_downloads"] = with_(RECORDS_CTE) + """
 SELECT p.page_id, p.path FROM paths p
 WHERE p.path NOT IN (SELECT q.path FROM paths q JOIN pages g ON q.page_id = g.page_id WHERE contains(g.url, '/fr/') AND q.path IS NOT NULL)"""
+
+
+def rows_propagation_ctes(iters: int = 5, gamma: float = 20.0) -> str:
+    parts = [f"""
+_nodes AS (SELECT src AS id FROM sym UNION SELECT dst FROM sym),
+_sq AS (SELECT src AS id, sum(w * w) AS s FROM sym GROUP BY src),
+_dp AS (SELECT a.src AS i, b.src AS j, sum(a.w * b.w) AS d FROM sym a JOIN sym b ON a.dst = b.dst GROUP BY a.src, b.src),
+_kern AS (
+  SELECT n1.id AS i, n2.id AS j,
+         exp(-{gamma} * greatest(coalesce(s1.s, 0) + coalesce(s2.s, 0) - 2 * coalesce(dp.d, 0), 0)) AS k
+  FROM _nodes n1 CROSS JOIN _nodes n2
+  LEFT JOIN _sq s1 ON s1.id = n1.id LEFT JOIN _sq s2 ON s2.id = n2.id
+  LEFT JOIN _dp dp ON dp.i = n1.id AND dp.j = n2.id),
+r0 AS (
+  SELECT kk.keyword_id, n.id, CASE WHEN s.seed IS NULL THEN 0.0 ELSE CAST(1 - s.seed AS DOUBLE) END AS f0,
+         CASE WHEN s.seed IS NULL THEN 0.0 ELSE CAST(s.seed AS DOUBLE) END AS f1
+  FROM _nodes n CROSS JOIN (SELECT DISTINCT keyword_id FROM seeds) kk
+  LEFT JOIN seeds s ON s.keyword_id = kk.keyword_id AND s.id = n.id)"""]
+    for i in range(1, iters + 1):
+        parts.append(f"""
+rm{i} AS (SELECT r.keyword_id, k.i AS id, sum(k.k * r.f0) AS a0, sum(k.k * r.f1) AS a1
+          FROM _kern k JOIN r{i - 1} r ON k.j = r.id GROUP BY r.keyword_id, k.i),
+r{i} AS (SELECT m.keyword_id, m.id,
+                CASE WHEN s.seed IS NOT NULL THEN CAST(1 - s.seed AS DOUBLE) WHEN m.a0 + m.a1 = 0 THEN 0.0 ELSE m.a0 / (m.a0 + m.a1) END AS f0,
+                CASE WHEN s.seed IS NOT NULL THEN CAST(s.seed AS DOUBLE) WHEN m.a0 + m.a1 = 0 THEN 0.0 ELSE m.a1 / (m.a0 + m.a1) END AS f1
+         FROM rm{i} m LEFT JOIN seeds s ON s.keyword_id = m.keyword_id AND s.id = m.id)""")
+    return ",".join(parts)
+
+
+SQL["propagate_rows"] = with_(VEC_CTE, KNN_CTE, propagation_ctes(iters=0), rows_propagation_ctes()) + """
+SELECT keyword_id, id, round(f0, 6) AS f0, round(f1, 6) AS f1 FROM r5"""

@@ -496,3 +496,11 @@ def q_spectral_clusters(spark, sf_dir):
 @register("graph_clusters")
 def q_graph_clusters(spark, sf_dir):
     return SP.graph_clusters(graph_of(spark, sf_dir), k=10)
+
+
+@register("propagate_rows")
+def q_propagate_rows(spark, sf_dir):
+    kw, emb = T.label_keywords(spark, sf_dir), T.text_vectors(spark, sf_dir)
+    seeds = H.seed_labels(S.closest(kw, emb, 5), S.farthest(kw, emb, 5))
+    s = H.propagate_rows(graph_of(spark, sf_dir), seeds, gamma=20.0, iters=5, tol=None)
+    return s.select("keyword_id", "id", r6("f0").alias("f0"), r6("f1").alias("f1"))

@@ -68,3 +68,32 @@ def test_spectral_matches_numpy(spark):
     for k in range(2):
         ref[:, k] *= np.sign(ref[np.argmax(np.abs(ref[:, k])), k])
     assert np.abs(np.array([got[i] for i in range(len(X))]) - ref).max() < 1e-8
+
+
+def test_literal_propagation_matches_numpy(spark):
+    from lexgraph.operators.kwgraph import propagate_rows
+    rng = np.random.default_rng(3)
+    n = 24
+    W = np.zeros((n, n))
+    for i in range(n):
+        for j in rng.choice(n, 4, replace=False):
+            if i != j:
+                W[i, j] = W[j, i] = rng.random()
+    e = spark.createDataFrame([(i, j, float(W[i, j])) for i in range(n) for j in range(n) if W[i, j] > 0],
+                              "src long, dst long, w double")
+    seeds = {0: 1, 5: 0, 9: 1}
+    sdf = spark.createDataFrame([(7, k, v) for k, v in seeds.items()], "keyword_id int, id long, seed int")
+    got = {r.id: (r.f0, r.f1) for r in propagate_rows(e, sdf, gamma=20.0, iters=3, tol=None, block_rows=10).collect()}
+    K = np.exp(-20 * ((W[:, None, :] - W[None, :, :]) ** 2).sum(-1))
+    Fm = np.zeros((n, 2))
+    for k, v in seeds.items():
+        Fm[k, v] = 1
+    for _ in range(3):
+        Fn = K @ Fm
+        s = Fn.sum(1, keepdims=True)
+        Fn = np.divide(Fn, s, out=np.zeros_like(Fn), where=s > 0)
+        for k, v in seeds.items():
+            Fn[k] = 0
+            Fn[k, v] = 1
+        Fm = Fn
+    assert max(abs(got[i][0] - Fm[i, 0]) + abs(got[i][1] - Fm[i, 1]) for i in range(n)) < 1e-9
