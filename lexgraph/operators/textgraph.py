@@ -80,16 +80,59 @@ def components(edges: DataFrame, max_iter: int = 1000, checkpoint_every: int = 1
     return lab.withColumnRenamed("c", "component")
 
 
-def diameter(edges: DataFrame, words: int = 8, max_iter: int = 100000, checkpoint_every: int = 1) -> DataFrame:
+def _bfs_bits(e: DataFrame, nodes: DataFrame, sources: list[int] | None, base: int, words: int,
+              max_iter: int, checkpoint_every: int):
+    """Multi-source BFS over bitsets from the nodes whose ``ix`` is in
+    [base, base + 64*words) (or in ``sources`` when given).  Returns (steps
+    with a change = the largest eccentricity of the sources, the ids reached
+    in the last changing step)."""
+    bits = 64 * words
+    ms = [f"m{i}" for i in range(words)]
+    if sources is not None:
+        slot = F.array_position(F.array(*[F.lit(int(x)) for x in sources]), F.col("ix")) - 1
+    else:
+        slot = F.col("ix") - F.lit(base)
+    inb = (slot >= 0) & (slot < bits)
+    init = [F.when(inb & (F.floor(slot / 64) == i), F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int")))
+             .otherwise(F.lit(0).cast("long")).alias(m) for i, m in enumerate(ms)]
+    state = nodes.select("id", *init)
+    frontier = state.filter(inb)
+    last = frontier.select("id")
+    steps = 0
+    for it in range(max_iter):
+        msg = (e.join(frontier.withColumnRenamed("id", "src"), "src")
+               .groupBy(F.col("dst").alias("id")).agg(*[F.bit_or(m).alias(m) for m in ms]))
+        j = state.join(msg.select("id", *[F.col(m).alias("n_" + m) for m in ms]), "id", "left")
+        new_cols = [F.col(m).bitwiseOR(F.coalesce(F.col("n_" + m), F.lit(0).cast("long"))).alias(m) for m in ms]
+        grew = F.lit(False)
+        for m in ms:
+            grew = grew | (F.col(m).bitwiseOR(F.coalesce(F.col("n_" + m), F.lit(0).cast("long"))) != F.col(m))
+        nxt = j.select("id", *new_cols, grew.alias("grew"))
+        nxt = cut_lineage(nxt, checkpoint_every, it + 1) if checkpoint_every else nxt
+        frontier = nxt.filter("grew").select("id", *ms)
+        if frontier.limit(1).count() == 0:
+            break
+        steps += 1
+        last = frontier.select("id")
+        state = nxt.select("id", *ms)
+    return steps, last
+
+
+def diameter(edges: DataFrame, words: int = 8, max_iter: int = 100000, checkpoint_every: int = 1,
+             exact: bool = True) -> DataFrame:
     """(n_nodes, n_components, diameter) in hops; diameter NULL when the graph
     is not connected.
 
     Exact, by multi-source BFS over bitsets: each node keeps ``64 * words``
     bits, one per source of the current batch, and a step ORs the bits of the
     nodes that changed into their neighbours (``bit_or`` per node).  No
-    (source, node) pair is ever a row; a step costs |E| + N rows.  The eccentricity
-    of the batch is the number of steps with a change; the diameter is the
-    largest over all batches.
+    (source, node) pair is ever a row; a step costs |E| + N rows.  The
+    eccentricity of the batch is the number of steps with a change; the
+    diameter is the largest over all batches (N / (64 * words) batches).
+
+    ``exact=False`` is the double-sweep lower bound for very large graphs: BFS
+    from the smallest node id, then from the smallest id reached last; the
+    second eccentricity (two BFS runs in total).
     """
     spark = edges.sparkSession
     e = _undirected(edges).cache()
@@ -102,32 +145,15 @@ def diameter(edges: DataFrame, words: int = 8, max_iter: int = 100000, checkpoin
     # dense node numbers without a single-partition window
     nodes = spark.createDataFrame(comp.select("id").rdd.map(lambda r: r[0]).zipWithIndex(), "id long, ix long")
     nodes = cut_lineage(nodes, 1, 0)
-    bits = 64 * words
-    ms = [f"m{i}" for i in range(words)]
-    best = 0
-    for base in range(0, n_nodes, bits):
-        local = F.col("ix") - F.lit(base)
-        inb = (local >= 0) & (local < bits)
-        init = [F.when(inb & (F.floor(local / 64) == i), F.call_function("shiftleft", F.lit(1).cast("long"), (local % 64).cast("int")))
-                 .otherwise(F.lit(0).cast("long")).alias(m) for i, m in enumerate(ms)]
-        state = nodes.select("id", *init)
-        frontier = state.filter(inb)
-        steps = 0
-        for it in range(max_iter):
-            msg = (e.join(frontier.withColumnRenamed("id", "src"), "src")
-                   .groupBy(F.col("dst").alias("id")).agg(*[F.bit_or(m).alias(m) for m in ms]))
-            j = state.join(msg.select("id", *[F.col(m).alias("n_" + m) for m in ms]), "id", "left")
-            new_cols = [F.col(m).bitwiseOR(F.coalesce(F.col("n_" + m), F.lit(0).cast("long"))).alias(m) for m in ms]
-            grew = F.lit(False)
-            for m in ms:
-                grew = grew | (F.col(m).bitwiseOR(F.coalesce(F.col("n_" + m), F.lit(0).cast("long"))) != F.col(m))
-            nxt = j.select("id", *new_cols, grew.alias("grew"))
-            nxt = cut_lineage(nxt, checkpoint_every, it + 1) if checkpoint_every else nxt
-            frontier = nxt.filter("grew").select("id", *ms)
-            if frontier.limit(1).count() == 0:
-                break
-            steps += 1
-            state = nxt.select("id", *ms)
-        best = max(best, steps)
+    if exact:
+        best = 0
+        for base in range(0, n_nodes, 64 * words):
+            steps, _ = _bfs_bits(e, nodes, None, base, words, max_iter, checkpoint_every)
+            best = max(best, steps)
+    else:
+        start = nodes.orderBy("id").select("ix").first()[0]
+        _, last = _bfs_bits(e, nodes, [start], 0, 1, max_iter, checkpoint_every)
+        far = last.join(nodes, "id").orderBy("id").select("ix").first()[0]
+        best, _ = _bfs_bits(e, nodes, [far], 0, 1, max_iter, checkpoint_every)
     e.unpersist()
     return spark.createDataFrame([(n_nodes, n_comp, best)], "n_nodes long, n_components long, diameter int")

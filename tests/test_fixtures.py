@@ -236,3 +236,8 @@ def test_drop_broad_rules(spark):
     kw = spark.createDataFrame([(k,) for k in ["the", "the cat", "the of", "Things", "bird"]], "keyword string")
     kept = {r.keyword for r in KW.drop_broad(kw, ch, 0.5).collect()}
     assert kept == {"the cat", "bird"}
+
+
+def test_diameter_double_sweep(spark):
+    e = edges(spark, [(1, 2), (2, 3), (3, 4), (2, 5)])
+    assert G.diameter(e, exact=False).first().diameter == 3
