@@ -4,7 +4,7 @@ value(bucket) = sum over token occurrences in the bucket of ln((N+1)/(df+1)),
 then L2-normalised.  ``df`` and ``N`` always come from the corpus, so queries
 and keywords are embedded in the corpus' space (unseen token: df = 0).
 
-Plan: explode tokens -> join the vocabulary (token, df) -> two groupBys.  The
+Plan: explode tokens -> join the vocabulary (token, df) -> one groupBy per chunk.  The
 vocabulary is an aggregate with map-side combine; AQE turns the join into a
 broadcast only when the runtime size of the vocabulary is below the
 broadcast threshold, and otherwise keeps a shuffle join whose skewed token
@@ -63,8 +63,9 @@ def embed_text(df: DataFrame, id_col: str = "chunk_id", text_col: str = "text",
                  F.coalesce(F.col("vb"), hash_bucket("token", dim), F.lit(0)).alias("b"),
                  F.when(F.col("token").isNull(), F.lit(0.0))
                   .otherwise(F.coalesce(F.col("idf"), F.log(lnN / F.lit(1.0)))).alias("x")))
-    s = w.groupBy("id", "b").agg(F.sum("x").alias("x"))
-    m = s.groupBy("id").agg(F.collect_list("b").alias("bs"), F.collect_list("x").alias("xs"))
+    # one aggregation per chunk: the scatter sums repeated buckets (np.add.at);
+    # the partial collect runs map-side, where all tokens of a chunk already are
+    m = w.groupBy("id").agg(F.collect_list("b").alias("bs"), F.collect_list("x").alias("xs"))
     return m.select("id", _scatter_unit(dim)(F.col("bs"), F.col("xs")).alias("embedding"))
 
 
