@@ -42,6 +42,7 @@ def get_session(master: str | None = None, app: str = "lexgraph", shuffle_partit
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -96,3 +97,29 @@ def persist_step(df):
     path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark) -> None:
+    """Make ``lexgraph`` importable on the executors' Python workers (the
+    kernels and UDFs are pickled by reference): zip the package once per
+    SparkContext and ``addPyFile`` it -- what ``--py-files`` does."""
+    import zipfile
+
+    import lexgraph
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(lexgraph.__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="lexgraph-pkg-"), "lexgraph.zip")
+    with zipfile.ZipFile(out, "w") as z:
+        for dirpath, _, files in os.walk(root):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(out)
+    _SHIPPED.add(key)
