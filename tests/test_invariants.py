@@ -111,3 +111,12 @@ def test_kmeans_and_extract(spark, sf):
     kinds = {(r.cluster, r.kind) for r in m}
     assert len(kinds) == 8
     assert all(sum(1 for r in m if (r.cluster, r.kind) == ck) == 3 for ck in kinds)
+
+
+def test_keyword_graph_column_block_path(spark):
+    rng = np.random.default_rng(2)
+    lab = [(int(k), int(i), 1) for k in range(9) for i in rng.choice(30, 10, replace=False)]
+    df = spark.createDataFrame(lab, "keyword_id int, id long, label int")
+    dense = sorted(tuple(r) for r in H.keyword_graph(df).collect())
+    blocked = sorted(tuple(r) for r in H.keyword_graph(df, {"dense_max": 2, "col_block": 4, "block": 7}).collect())
+    assert dense == blocked and len(dense) > 0
