@@ -115,7 +115,9 @@ def _bfs_bits(e: DataFrame, nodes: DataFrame, sources: list[int] | None, base: i
         steps += 1
         last = frontier.select("id")
         state = nxt.select("id", *ms)
-    return steps, last
+    else:
+        return steps, last, state
+    return steps, last, nxt.select("id", *ms)
 
 
 def diameter(edges: DataFrame, words: int = 8, max_iter: int = 100000, checkpoint_every: int = 1,
@@ -131,29 +133,44 @@ def diameter(edges: DataFrame, words: int = 8, max_iter: int = 100000, checkpoin
     diameter is the largest over all batches (N / (64 * words) batches).
 
     ``exact=False`` is the double-sweep lower bound for very large graphs: BFS
-    from the smallest node id, then from the smallest id reached last; the
-    second eccentricity (two BFS runs in total).
+    from node number 0, then from the smallest id reached last; the second
+    eccentricity (two BFS runs in total).  Connectivity comes from the first
+    BFS (did source 0 reach every node?); components are counted only for a
+    disconnected graph.
     """
     spark = edges.sparkSession
     e = _undirected(edges).cache()
-    comp = components(e)
-    stats = comp.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("component").alias("c")).first()
-    n_nodes, n_comp = int(stats["n"]), int(stats["c"])
-    if n_nodes == 0 or n_comp != 1:
-        e.unpersist()
-        return spark.createDataFrame([(n_nodes, n_comp, None)], "n_nodes long, n_components long, diameter int")
     # dense node numbers without a single-partition window
-    nodes = spark.createDataFrame(comp.select("id").rdd.map(lambda r: r[0]).zipWithIndex(), "id long, ix long")
-    nodes = cut_lineage(nodes, 1, 0)
+    ids = e.select(F.col("src").alias("id")).distinct()
+    nodes = cut_lineage(spark.createDataFrame(ids.rdd.map(lambda r: r[0]).zipWithIndex(), "id long, ix long"), 1, 0)
+    n_nodes = nodes.count()
+    if n_nodes == 0:
+        e.unpersist()
+        return spark.createDataFrame([(0, 0, None)], "n_nodes long, n_components long, diameter int")
+
+    def disconnected(state, bit_col: str):
+        # the graph is connected iff the first source reached every node
+        return state.filter((F.col(bit_col).bitwiseAND(F.lit(1).cast("long"))) == 0).limit(1).count() > 0
+
+    def not_connected():
+        n_comp = components(e).agg(F.countDistinct("component")).first()[0]
+        e.unpersist()
+        return spark.createDataFrame([(n_nodes, int(n_comp), None)], "n_nodes long, n_components long, diameter int")
+
     if exact:
         best = 0
         for base in range(0, n_nodes, 64 * words):
-            steps, _ = _bfs_bits(e, nodes, None, base, words, max_iter, checkpoint_every)
+            steps, _, state = _bfs_bits(e, nodes, None, base, words, max_iter, checkpoint_every)
+            if base == 0 and disconnected(state, "m0"):
+                return not_connected()
             best = max(best, steps)
     else:
-        start = nodes.orderBy("id").select("ix").first()[0]
-        _, last = _bfs_bits(e, nodes, [start], 0, 1, max_iter, checkpoint_every)
+        start = nodes.orderBy("ix").select("ix").first()[0]
+        _, last, state = _bfs_bits(e, nodes, [start], 0, 1, max_iter, checkpoint_every)
+        if disconnected(state, "m0"):
+            return not_connected()
         far = last.join(nodes, "id").orderBy("id").select("ix").first()[0]
-        best, _ = _bfs_bits(e, nodes, [far], 0, 1, max_iter, checkpoint_every)
+        best, _, _ = _bfs_bits(e, nodes, [far], 0, 1, max_iter, checkpoint_every)
+    n_comp = 1
     e.unpersist()
     return spark.createDataFrame([(n_nodes, n_comp, best)], "n_nodes long, n_components long, diameter int")
