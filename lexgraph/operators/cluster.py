@@ -22,7 +22,7 @@ def kmeans(emb: DataFrame, k: int, n_init: int = 5, seed: int = 0, max_iter: int
            id_col: str = "id", vec_col: str = "embedding"):
     """(assignments (id, cluster), centers (cluster, center array<double>), cost)."""
     from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.functions import array_to_vector
     x = emb.select(F.col(id_col).alias("id"), array_to_vector(F.col(vec_col).cast("array<double>")).alias("features"))
     best = None
     for i in range(max(1, n_init)):
