@@ -41,3 +41,15 @@ def chunks_of(batches, max_rows: int, size=None, max_size: int = 0):
             cuts.append(b.num_rows)
         for lo, hi in zip(cuts, cuts[1:]):
             yield b.slice(lo, hi - lo)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Cut lineage: write ``df`` as a table in the shared checkpoint folder and
+    read it back, so that a lost executor re-reads files instead of recomputing."""
+    import uuid
+
+    from lexgraph.session import checkpoint_dir
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from lexgraph.llm import decontaminate, line_dedup
+from lexgraph.llm import decontaminate, html_text, line_dedup, packing
 
 QUERIES = {
+    "op1_html_text": html_text.query,
+    "op3_packing": packing.query,
     "op5_line_dedup": line_dedup.query,
     "op8_decontaminate": decontaminate.query,
 }
