@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from lexgraph.llm import decontaminate, html_text, line_dedup, packing
+from lexgraph.llm import decontaminate, html_text, line_dedup, packing, toxicity
 
 QUERIES = {
     "op1_html_text": html_text.query,
     "op3_packing": packing.query,
     "op5_line_dedup": line_dedup.query,
     "op8_decontaminate": decontaminate.query,
+    "op9_toxicity": toxicity.query,
 }
 
 ORACLES = {
