@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from lexgraph.llm import decontaminate, html_text, line_dedup, packing, toxicity
+from lexgraph.llm import (decontaminate, html_text, line_dedup, one_bit_search, packing, preferences, toxicity,
+                          trie_counts)
 
 QUERIES = {
     "op1_html_text": html_text.query,
+    "op2_one_bit_search": one_bit_search.query,
     "op3_packing": packing.query,
     "op5_line_dedup": line_dedup.query,
+    "op7_preferences": preferences.query,
     "op8_decontaminate": decontaminate.query,
     "op9_toxicity": toxicity.query,
+    "op10_trie_counts": trie_counts.query,
 }
 
 ORACLES = {
     "op5_line_dedup": line_dedup.SQL,
+    "op7_preferences": preferences.SQL,
     "op8_decontaminate": decontaminate.SQL,
 }
