@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexgraph.llm.common import BLANKS, ascii_lower, read
+from lexgraph.llm.common import BLANKS, ascii_lower, read, stored
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -59,7 +59,8 @@ def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def dropped_positions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                       min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """(__id, __t, dropped array<int>) of the documents that lose lines."""
-    occ = occurrences(docs, id_col, text_col, min_chars)
+    # the hashes are written once: choosing the ranges and the two uses of the runs read them, not the texts
+    occ = stored(occurrences(docs, id_col, text_col, min_chars))
     by = [F.col("h1"), F.col("h2"), F.col("__id").desc(), F.col("__t")]
     runs = occ.repartitionByRange(*by).sortWithinPartitions(*by, "pos") \
         .groupBy("h1", "h2", "__id", "__t").agg(F.collect_set("pos").alias("at"))
