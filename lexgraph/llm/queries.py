@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from lexgraph.llm import (decontaminate, html_text, line_dedup, one_bit_search, packing, preferences, toxicity,
+from lexgraph.llm import (decontaminate, html_text, line_dedup, near_dedup, one_bit_search, packing, preferences, toxicity,
                           trie_counts)
 
 QUERIES = {
     "op1_html_text": html_text.query,
     "op2_one_bit_search": one_bit_search.query,
     "op3_packing": packing.query,
+    "op4_near_dedup": near_dedup.query,
     "op5_line_dedup": line_dedup.query,
     "op7_preferences": preferences.query,
     "op8_decontaminate": decontaminate.query,
