@@ -10,7 +10,7 @@ BLANKS = " \t\n\x0b\x0c\r"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table, whole, in the partitions Spark's reader makes."""
+    """A given table, whole."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 

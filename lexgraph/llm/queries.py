@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lexgraph.llm import (decontaminate, html_text, line_dedup, near_dedup, one_bit_search, packing, preferences, toxicity,
-                          trie_counts)
+from lexgraph.llm import (decontaminate, html_text, line_dedup, near_dedup, ngram_lm, one_bit_search, packing, preferences,
+                          toxicity, trie_counts)
 
 QUERIES = {
     "op1_html_text": html_text.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op3_packing": packing.query,
     "op4_near_dedup": near_dedup.query,
     "op5_line_dedup": line_dedup.query,
+    "op6_ngram_lm": ngram_lm.query,
     "op7_preferences": preferences.query,
     "op8_decontaminate": decontaminate.query,
     "op9_toxicity": toxicity.query,
