@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexgraph.llm.common import ascii_lower, read
+from lexgraph.llm.common import ascii_lower, read, stored
 
 WINDOW = 10
 GRAM = 3
@@ -70,37 +70,38 @@ def _matched(w: Column, p: Column, iw: Column, a: Column, first: Column, last: C
     return F.aggregate(places, start, merge)["n"]
 
 
-def spans(docs: DataFrame, bench: DataFrame, text_col: str = "text", window: int = WINDOW, gram: int = GRAM,
-          item_id: str = "item_id", item_text: str = "text", max_broadcast: int = MAX_BROADCAST,
-          carry: tuple[str, ...] = ()) -> DataFrame:
-    """(__row, carry..., n_words, spans array<(lo, hi)>, items array): one row
-    per document row; ``hi`` is exclusive."""
+def spans(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
+          gram: int = GRAM, item_id: str = "item_id", item_text: str = "text",
+          max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+    """(row, doc, t, n_words, spans array<(lo, hi)>, items array): one row per
+    document row; ``hi`` is exclusive, ``t`` the xxhash64 of the text."""
     found = anchors(bench, item_id, item_text, window, gram)
     sizes = {r["g"]: r["count"] for r in found.groupBy("g").count().collect()}  # at most ``gram`` rows
-    # documents without words still need their row: position -1 stands for the document itself
     lengths = sorted(sizes) or [gram]
-    words = docs.select(F.monotonically_increasing_id().alias("__row"), *carry, words_of(F.col(text_col)).alias("w"))
+    words = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc"),
+                        F.xxhash64(F.col(text_col)).alias("t"), words_of(F.col(text_col)).alias("w"))
 
     def keys(g):
         at = F.when(F.size("w") >= g, F.sequence(F.lit(0), F.size("w") - g)).otherwise(F.array().cast("array<int>"))
         return F.transform(at, lambda i: F.struct(i.alias("p"), gram_hash(F.col("w"), i, g).alias("key")))
 
+    # place -1 stands for the document itself, so that clean documents stay in the result
     own = F.array(F.struct(F.lit(-1).alias("p"), F.lit(None).cast("long").alias("key")))
-    scan = words.select("__row", *carry, "w", F.inline(F.concat(own, *[keys(g) for g in lengths])))
+    scan = words.select("row", "doc", "t", "w", F.inline(F.concat(own, *[keys(g) for g in lengths])))
     hashed = F.coalesce(*[F.when(F.col("g") == g, gram_hash(F.col("iw"), F.col("a"), g)) for g in lengths])
     table = found.select("item", "iw", "a", "need", hashed.alias("key"))
     if sum(sizes.values()) <= max_broadcast:
         table = F.broadcast(table)
-    hits = scan.join(table, "key", "left").filter((F.col("p") < 0) | F.col("item").isNotNull())
+    hits = scan.join(table, "key", "left").filter((F.col("p") < 0) | F.col("iw").isNotNull())
     step = window - gram + 1
     w, p, iw, a = F.col("w"), F.col("p"), F.col("iw"), F.col("a")
     left = _matched(w, p, iw, a, a - 1, F.greatest(a - step + 1, F.lit(0)), -1)
     right = _matched(w, p, iw, a, a, F.least(a + window - 1, F.size(iw) - 1), 1)
-    spanned = hits.select("__row", *carry, F.when(p < 0, F.size(w)).alias("n_words"), "item", p, "need",
+    spanned = hits.select("row", "doc", "t", F.when(p < 0, F.size(w)).alias("n_words"), "item", p, "need",
                           F.when(p >= 0, left).alias("l"), F.when(p >= 0, right).alias("r"))
-    real = (F.col("l") + F.col("r") >= F.col("need"))
+    real = F.col("l") + F.col("r") >= F.col("need")
     span = F.when(real, F.struct((F.col("p") - F.col("l")).alias("lo"), (F.col("p") + F.col("r")).alias("hi")))
-    return spanned.groupBy("__row", *carry).agg(
+    return spanned.groupBy("row", "doc", "t").agg(
         F.max("n_words").alias("n_words"), F.collect_set(span).alias("spans"),
         F.collect_set(F.when(real, F.col("item"))).alias("items"))
 
@@ -112,28 +113,37 @@ def covered(spans_col: Column) -> Column:
 
 def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """(id, n_words, n_hit, n_items, items, contaminated), one row per document row."""
-    s = spans(docs, bench, carry=(id_col,), **options)
-    return s.select(id_col, F.col("n_words").cast("long").alias("n_words"),
+    s = spans(docs, bench, id_col, **options)
+    return s.select(F.col("doc").alias(id_col), F.col("n_words").cast("long").alias("n_words"),
                     F.size(covered(F.col("spans"))).cast("long").alias("n_hit"),
                     F.size("items").cast("long").alias("n_items"), "items",
                     (F.size("spans") > 0).alias("contaminated"))
 
 
-def decontaminate(docs: DataFrame, bench: DataFrame, remove: str = "documents", text_col: str = "text",
-                  **options) -> DataFrame:
+def decontaminate(docs: DataFrame, bench: DataFrame, remove: str = "documents", id_col: str = "doc_id",
+                  text_col: str = "text", max_broadcast: int = MAX_BROADCAST, **options) -> DataFrame:
     """``docs`` without its contaminated documents, or (``remove="spans"``)
     with the hit words cut out: the words that stay, lower-cased and joined by
-    one space; clean texts stay as they are."""
+    one space; clean texts stay as they are.  The hit documents are written
+    first; texts are only streamed past them while they are few enough."""
     if remove not in ("documents", "spans"):
         raise ValueError("remove is 'documents' or 'spans'")
-    s = spans(docs, bench, text_col=text_col, carry=tuple(docs.columns), **options)
-    clean = F.size("spans") == 0
+    s = spans(docs, bench, id_col, text_col, max_broadcast=max_broadcast, **options)
+    hit = stored(s.filter(F.size("spans") > 0).select("doc", "t", "spans").dropDuplicates(["doc", "t"]))
+    few = hit.count() <= max_broadcast
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"))
+    text = F.col("whole").getField(text_col)
+    same = whole["whole"].getField(id_col).eqNullSafe(hit["doc"]) & (F.xxhash64(text) == hit["t"])
     if remove == "documents":
-        return s.filter(clean).select(*docs.columns)
-    words = words_of(F.col(text_col))
+        only = hit.select("doc", "t")
+        same = whole["whole"].getField(id_col).eqNullSafe(only["doc"]) & (F.xxhash64(text) == only["t"])
+        return whole.join(F.broadcast(only) if few else only, same, "left_anti").select("whole.*")
+    joined = whole.join(F.broadcast(hit) if few else hit, same, "left")
+    words = words_of(text)
     stay = F.array_except(F.sequence(F.lit(0), F.size(words) - 1), covered(F.col("spans")))
     cut = F.array_join(F.transform(stay, lambda i: F.get(words, i)), " ")
-    return s.withColumn(text_col, F.when(clean, F.col(text_col)).otherwise(cut)).select(*docs.columns)
+    new = F.when(F.col("spans").isNull(), text).otherwise(cut)
+    return joined.select(F.col("whole").withField(text_col, new).alias("whole")).select("whole.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

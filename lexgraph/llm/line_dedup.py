@@ -86,12 +86,14 @@ def pack_bits(n: Column, dropped: Column) -> Column:
 
 def with_dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """``docs`` with ``__lines`` and ``__dropped`` (NULL: none) added.  The few
-    losing documents are the build side of the join; texts are only streamed."""
+    """(whole, text, lines, dropped): every row of ``docs`` as a struct, its
+    text and lines, and the positions it loses (NULL: none).  The losing
+    documents are the build side of the join; texts are only streamed."""
     drops = dropped_positions(docs, id_col, text_col, min_chars, min_docs)
-    keyed = docs.withColumns({"__id": F.col(id_col), "__t": F.xxhash64(F.col(text_col))})
-    return keyed.join(drops.withColumnRenamed("dropped", "__dropped").hint("shuffle_hash"), ["__id", "__t"], "left") \
-        .withColumn("__lines", lines_of(F.col(text_col))).drop("__id", "__t")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), *_doc_key(id_col, text_col))
+    return keyed.join(drops.hint("shuffle_hash"), ["__id", "__t"], "left").select(
+        "whole", F.col("whole").getField(text_col).alias("text"),
+        lines_of(F.col("whole").getField(text_col)).alias("lines"), "dropped")
 
 
 def kept_text(lines: Column, dropped: Column, text: Column) -> Column:
@@ -101,23 +103,22 @@ def kept_text(lines: Column, dropped: Column, text: Column) -> Column:
 
 
 def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
-    """(id, n_lines, n_dropped, keep_bitmap, kept_sha256), one row per document,
+    """(id, n_lines, n_dropped, kept_sha256, keep_bitmap), one row per document,
     without its text; the hash tells a reader that it applied the bitmap right."""
-    d = with_dropped(docs.select(F.col(id_col), F.col(text_col)), id_col, text_col, **limits)
-    n, lost = F.size("__lines"), F.coalesce(F.size("__dropped"), F.lit(0))
-    return d.select(F.col(id_col), n.cast("long").alias("n_lines"),
-                    F.when(F.col("__dropped").isNull(), 0).otherwise(lost).cast("long").alias("n_dropped"),
-                    F.sha2(kept_text(F.col("__lines"), F.col("__dropped"), F.col(text_col)), 256).alias("kept_sha256"),
-                    F.when(F.col("__dropped").isNotNull(), pack_bits(n, F.col("__dropped"))).alias("keep_bitmap"))
+    d = with_dropped(docs.select(id_col, text_col), id_col, text_col, **limits)
+    n, dropped = F.size("lines"), F.col("dropped")
+    return d.select(F.col("whole").getField(id_col).alias(id_col), n.cast("long").alias("n_lines"),
+                    F.when(dropped.isNull(), 0).otherwise(F.size("dropped")).cast("long").alias("n_dropped"),
+                    F.sha2(kept_text(F.col("lines"), dropped, F.col("text")), 256).alias("kept_sha256"),
+                    F.when(dropped.isNotNull(), pack_bits(n, dropped)).alias("keep_bitmap"))
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
     """``docs`` with the losing lines cut out of the text; texts that lose
     nothing stay as they are (NULL stays NULL)."""
     d = with_dropped(docs, id_col, text_col, **limits)
-    new = F.when(F.col("__dropped").isNull(), F.col(text_col)) \
-        .otherwise(kept_text(F.col("__lines"), F.col("__dropped"), F.col(text_col)))
-    return d.withColumn(text_col, new).select(*docs.columns)
+    new = F.when(F.col("dropped").isNull(), F.col("text")).otherwise(kept_text(F.col("lines"), F.col("dropped"), F.col("text")))
+    return d.select(F.col("whole").withField(text_col, new).alias("whole")).select("whole.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

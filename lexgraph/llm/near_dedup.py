@@ -291,11 +291,14 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     groups = stored(near_groups(docs, id_col, text_col, **options))
     lost = groups.filter(F.col(id_col) != F.col("group_id")).select(F.col(id_col).alias("__id"), F.col("t").alias("__t")).distinct()
     n_lost = lost.count()
-    keyed = docs.withColumns({"__id": F.col(id_col), "__t": F.xxhash64(F.col(text_col))})
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), F.col(id_col).alias("__id"),
+                        F.xxhash64(F.col(text_col)).alias("__t"))
     kept = keyed.join(F.broadcast(lost) if n_lost <= MAX_BROADCAST else lost, ["__id", "__t"], "left_anti")
-    if not groups.groupBy(id_col).count().filter("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["__id", "__t"])  # repeated rows, or one id with texts of equal words
-    return kept.select(*docs.columns)
+    repeated = groups.filter(F.col(id_col).isNotNull()).groupBy(id_col).count().filter("count > 1")
+    if not repeated.isEmpty():  # repeated rows: one of each stays; rows without an id are told apart by nothing else
+        kept = kept.filter(F.col("__id").isNull()).unionByName(
+            kept.filter(F.col("__id").isNotNull()).dropDuplicates(["__id", "__t"]))
+    return kept.select("whole.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
