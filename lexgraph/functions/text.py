@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 # Fixed values (the pinned text model):
 #   whitespace  = tab, newline, vertical tab, form feed, carriage return, space
-#   sentence    = a run of non-terminators followed by any terminators . ! ?
+#   sentence    = up to a run of terminators . ! ? before whitespace or the end
+#                 (with that whitespace), or the rest of the text
 #   token       = a run of letters or digits, after lower-casing
 WS = r"[\t\n\x0B\f\r ]"
-SENTENCE_RE = r"[^.!?]+[.!?]*"
+SENTENCE_RE = r"(?s).+?[.!?]+(?:[\t\n\x0B\f\r ]+|\z)|.+\z"
 TOKEN_RE = r"[\p{L}\p{N}]+"
 
 

@@ -21,6 +21,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+RANK_DIGITS = 12
+
 
 def _pack(df: DataFrame, id_col: str, vec_col: str, n_blocks: int) -> DataFrame:
     b = df.select(F.pmod(F.xxhash64(F.col(id_col)), F.lit(int(n_blocks))).cast("int").alias("blk"),
@@ -54,7 +56,7 @@ def _kernel(k, metric, largest, exclude_self):
     import pyarrow as pa
 
     def select(S, qids, cids):
-        key = np.round(S, 6)
+        key = np.round(S, RANK_DIGITS)
         key = -key if largest else key
         if exclude_self:
             key = np.where(qids[:, None] == cids[None, :], np.inf, key)
@@ -92,8 +94,11 @@ def _kernel(k, metric, largest, exclude_self):
                 rows, cols = select(S, qids, cids)
                 if len(rows) == 0:
                     continue
+                kept = S[rows, cols]
+                if metric == "l2":   # q^2 + c^2 - 2qc cancels for long vectors; it only shortlists
+                    kept = np.sqrt(np.square(Q[rows] - C[cols]).sum(axis=1))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(qids[rows]), pa.array(cids[cols]), pa.array(S[rows, cols], type=pa.float64())],
+                    [pa.array(qids[rows]), pa.array(cids[cols]), pa.array(kept, type=pa.float64())],
                     names=["qid", "cid", "score"])
     return run
 
@@ -103,8 +108,10 @@ def block_topk(queries: DataFrame, corpus: DataFrame, k: int | None, metric: str
                q_vec: str = "embedding", c_vec: str = "embedding", block_rows: int = 2048,
                n_queries: int | None = None, n_corpus: int | None = None) -> DataFrame:
     """(qid, cid, score, rank): the ``k`` best corpus rows per query row;
-    with ``k`` None every pair as (qid, cid, score), unranked.  Ranking: score rounded to 6 digits
-    (descending when ``largest``), then corpus id ascending.
+    with ``k`` None every pair as (qid, cid, score), unranked.  Ranking: score
+    (descending when ``largest``), compared to ``RANK_DIGITS`` digits so that the
+    last bits of a sum, which depend on its order, do not decide, then corpus
+    id ascending.  l2 scores of the kept rows are direct differences.
     """
     nq = queries.count() if n_queries is None else n_queries
     nc = corpus.count() if n_corpus is None else n_corpus
@@ -123,6 +130,6 @@ def block_topk(queries: DataFrame, corpus: DataFrame, k: int | None, metric: str
         _kernel(k, metric, largest, exclude_self), f"qid {qt}, cid {ct}, score double")
     if k is None:      # the full matrix: no ranking, so no per-query group is sorted
         return cand
-    order = F.round("score", 6).desc() if largest else F.round("score", 6).asc()
+    order = F.round("score", RANK_DIGITS).desc() if largest else F.round("score", RANK_DIGITS).asc()
     w = Window.partitionBy("qid").orderBy(order, F.col("cid").asc())
     return cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

@@ -39,8 +39,10 @@ def split_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def chunk_documents(docs: DataFrame, length: int = 250, language: str | None = None,
                     id_col: str = "doc_id", text_col: str = "text", filename_col: str = "filename") -> DataFrame:
-    if language is not None:
-        docs = docs.filter(F.col("lang") == F.lit(language))
+    """``language`` selects the sentence rule and never filters; the one rule
+    here serves every language whose sentences end in . ! or ?"""
+    if language not in (None, "en", "de", "fr", "es", "nl", "it", "pt"):
+        raise ValueError(f"no sentence rule for language {language!r}")
     if filename_col not in docs.columns:
         docs = docs.withColumn(filename_col, F.lit(None).cast("string"))
     L = F.lit(int(length))

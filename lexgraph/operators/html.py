@@ -1,13 +1,16 @@
 """Tabular extraction from fetched HTML pages (the parsing half of a scraper).
 
 Regex-based so it tolerates unclosed tags; every pattern is RE2-compatible
-(no look-around, no back-references).  All steps are per-page expressions:
-a whole page record is one narrow projection, no join.
+(no look-around, no back-references) and blind to the case of tags.  All facts
+of a page lie in its row: anchors and table rows are arrays, and a whole page
+record is one narrow projection without an exchange.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from html.entities import html5
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexgraph.functions.text import strip_ws
@@ -19,23 +22,40 @@ DISABLED_CLASS = "is-disabled"
 DOWNLOAD_CLASS = "detail__header__button"
 HEADER_CLASS = "detail__header__column"
 TABLE_LABELS = ("Organisatie", "Opleiding")
-# entity -> character; '&amp;' last so '&amp;lt;' stays '&lt;'
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "),
-            ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
 
-ANCHOR_RE = r"<a(\s[^>]*)?>"
+ANCHOR_RE = r"(?i)<a(\s[^>]*)?>"
 ATTR_RE = r"""(?i)\s{name}\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)"""
+ROW_RE, CELL_RE = r"(?is)<tr\b[^>]*>(.*?)</tr>", r"(?is)<td\b[^>]*>(.*?)</td>"
+H1_RE = r"(?is)<h1\b[^>]*>(.*?)</h1>"
 
 
 def _c(c):
     return F.col(c) if isinstance(c, str) else c
 
 
+def _named() -> dict[str, str]:
+    """Every named character of the HTML standard, from the standard library."""
+    return {name[:-1]: char for name, char in html5.items() if name.endswith(";")}
+
+
 def unescape(col):
+    """Character references decoded, each once and in one pass: the text is cut
+    at its references and every piece is looked at by itself."""
     c = _c(col)
-    for a, b in ENTITIES:
-        c = F.replace(c, F.lit(a), F.lit(b))
-    return c
+    refs = F.regexp_extract_all(c, F.lit(r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]*);"), 1)
+    between = F.split(c, r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]*);", -1)
+    table = F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in _named().items())), F.lit("\x01"), F.lit("\x02"))
+
+    def decoded(r):
+        code = F.when(r.rlike("^#[xX]"), F.conv(F.substr(r, F.lit(3)), 16, 10)).when(r.startswith("#"), F.substr(r, F.lit(2))).cast("long")
+        valid = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+        number = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        name = F.try_element_at(table, r)
+        return F.when(valid, number).when(code.isNotNull(), F.lit("\ufffd")).otherwise(F.coalesce(name, F.concat(F.lit("&"), r, F.lit(";"))))
+
+    chars = F.concat(F.transform(refs, decoded), F.array(F.lit("")))
+    # a text without a reference, nearly all of them, is left alone
+    return F.when(F.size(refs) > 0, F.array_join(F.zip_with(between, chars, lambda x, y: F.concat(x, y)), "")).otherwise(c)
 
 
 def text_of(col):
@@ -50,97 +70,92 @@ def attr(tag, name: str):
     return F.when(_c(tag).rlike(ATTR_RE.format(name=name)), unescape(val))
 
 
-def extract_anchors(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """(page_id, pos, href, class) for every anchor, pos from 0."""
-    a = pages.select("page_id", F.posexplode(F.regexp_extract_all(F.col(html_col), F.lit(ANCHOR_RE), 0)).alias("pos", "tag"))
-    return a.select("page_id", "pos", attr("tag", "href").alias("href"), attr("tag", "class").alias("class"))
+def anchors(html_col: str = "html"):
+    """Array of (href, class) of a page's anchors, in page order."""
+    tags = F.regexp_extract_all(F.col(html_col), F.lit(ANCHOR_RE), 0)
+    return F.transform(tags, lambda t: F.struct(attr(t, "href").alias("href"), attr(t, "class").alias("class")))
+
+
+def _of_class(cls: str):
+    return lambda a: F.array_contains(F.split(F.coalesce(a["class"], F.lit("")), r"\s+"), cls)
 
 
 def extract_links(pages: DataFrame) -> DataFrame:
-    """Anchors that carry an href (I1); pos counts these only, from 0."""
-    a = extract_anchors(pages).filter(F.col("href").isNotNull())
-    w = Window.partitionBy("page_id").orderBy("pos")
-    return a.withColumn("pos", (F.row_number().over(w) - 1).cast("int"))
+    """(page_id, pos, href, class) of the anchors that carry an href (I1), pos from 0."""
+    linked = F.filter(anchors(), lambda a: a["href"].isNotNull())
+    return pages.select("page_id", F.posexplode(linked).alias("pos", "a")).select("page_id", "pos", "a.href", "a.class")
 
 
 def filter_links(links: DataFrame, prefix: str = DETAIL_PREFIX) -> DataFrame:
     return links.filter(F.col("href").startswith(prefix))
 
 
-def _has_class(cls: str):
-    return F.array_contains(F.split(F.coalesce(F.col("class"), F.lit("")), r"\s+"), cls)
-
-
 def next_page(pages: DataFrame, cls: str = PAGINATION_CLASS) -> DataFrame:
     """(page_id, next_href): the second anchor of ``cls``; NULL when it is
     disabled, missing, or has no href."""
-    a = extract_anchors(pages).filter(_has_class(cls))
-    w = Window.partitionBy("page_id").orderBy("pos")
-    second = a.withColumn("n", F.row_number().over(w)).filter(F.col("n") == 2)
-    nxt = second.select("page_id", F.when(_has_class(DISABLED_CLASS), F.lit(None)).otherwise(F.col("href")).alias("next_href"))
-    return pages.select("page_id").join(nxt, "page_id", "left")
-
-
-def _first_tag_of_class(html, cls: str):
-    """The first anchor tag whose class list holds ``cls`` (NULL if none)."""
-    pat = r"""<a\s[^>]*class\s*=\s*["'](?:[^"']*\s)?""" + cls + r"""(?:\s[^"']*)?["'][^>]*>"""
-    return F.when(html.rlike(pat), F.regexp_extract(html, pat, 0))
+    second = F.get(F.filter(anchors(), _of_class(cls)), F.lit(1))
+    row = pages.select("page_id", second.alias("a"))
+    return row.select("page_id", F.when(~_of_class(DISABLED_CLASS)(F.col("a")), F.col("a.href")).alias("next_href"))
 
 
 def download_link(html_col: str = "html", cls: str = DOWNLOAD_CLASS, base: str = ""):
-    tag = _first_tag_of_class(F.col(html_col), cls)
-    return F.concat(F.lit(base), attr(tag, "href"))
+    """Absolute address of the first anchor of ``cls``, NULL when there is none or it has no href."""
+    return F.concat(F.lit(base), F.get(F.filter(anchors(html_col), _of_class(cls)), F.lit(0))["href"])
 
 
 def page_title(html_col: str = "html", container: str = HEADER_CLASS):
-    """h1 text inside the header container, else the first h1; spaces -> _."""
+    """h1 text inside the header container -- NULL when that holds none -- or
+    the first h1 of a page without such a container; spaces -> _."""
     h = F.col(html_col)
-    in_box = F.regexp_extract(h, r"""(?s)<div[^>]*class\s*=\s*["'][^"']*""" + container + r"""[^>]*>.*?<h1[^>]*>(.*?)</h1>""", 1)
-    first = F.regexp_extract(h, r"(?s)<h1[^>]*>(.*?)</h1>", 1)
-    raw = F.when(in_box != "", in_box).when(h.rlike(r"(?s)<h1[^>]*>.*?</h1>"), first)
+    box = r"""(?is)<div\b[^>]*class\s*=\s*["']?[^"'>]*""" + container + r"""[^>]*>(.*?)</div>"""
+    place = F.when(h.rlike(box), F.regexp_extract(h, box, 1)).otherwise(h)
+    raw = F.when(place.rlike(H1_RE), F.regexp_extract(place, H1_RE, 1))
     return F.replace(text_of(raw), F.lit(" "), F.lit("_"))
 
 
-def table_rows(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """(page_id, row, label, value) for table rows with at least two cells;
-    both cells as stripped text."""
-    r = pages.select("page_id", F.posexplode(F.regexp_extract_all(F.col(html_col), F.lit(r"(?s)<tr[^>]*>(.*?)</tr>"), 1)).alias("row", "tr"))
-    r = r.withColumn("cells", F.regexp_extract_all("tr", F.lit(r"(?s)<td[^>]*>(.*?)</td>"), 1))
-    return (r.filter(F.size("cells") >= 2)
-            .select("page_id", "row", strip_ws(text_of(F.col("cells")[0])).alias("label"),
-                    strip_ws(text_of(F.col("cells")[1])).alias("value")))
+def table_rows(html_col: str = "html"):
+    """Array of (label, value), the first two cells of each table row that has
+    as many, as stripped text."""
+    rows = F.transform(F.regexp_extract_all(F.col(html_col), F.lit(ROW_RE), 1), lambda r: F.regexp_extract_all(r, F.lit(CELL_RE), 1))
+    return F.transform(F.filter(rows, lambda c: F.size(c) >= 2),
+                       lambda c: F.struct(strip_ws(text_of(c[0])).alias("label"), strip_ws(text_of(c[1])).alias("value")))
+
+
+def attributes(labels=TABLE_LABELS, html_col: str = "html"):
+    """One column per label: the value of the last row that carries it."""
+    rows = table_rows(html_col)
+
+    def last(label):
+        return F.try_element_at(F.filter(rows, lambda r: r["label"] == label), F.lit(-1))["value"].alias(label.lower())
+
+    return [last(label) for label in labels]
 
 
 def table_attributes(pages: DataFrame, labels=TABLE_LABELS) -> DataFrame:
-    """(page_id, <label lower-cased>...): value of the last row per label."""
-    rows = table_rows(pages).filter(F.col("label").isin(list(labels)))
-    last = rows.groupBy("page_id").pivot("label", list(labels)).agg(F.max_by("value", "row"))
-    for lab in labels:
-        last = last.withColumnRenamed(lab, lab.lower())
-    return pages.select("page_id").join(last, "page_id", "left").select("page_id", *[lab.lower() for lab in labels])
+    """(page_id, <label lower-cased>...)."""
+    return pages.select("page_id", *attributes(labels))
 
 
 def page_records(pages: DataFrame, base: str = "", labels=TABLE_LABELS) -> DataFrame:
     """(page_id, download_url, title, organisatie, opleiding)."""
-    head = pages.select("page_id", download_link(base=base).alias("download_url"), page_title().alias("title"))
-    return head.join(table_attributes(pages, labels), "page_id", "left")
+    return pages.select("page_id", download_link(base=base).alias("download_url"), page_title().alias("title"), *attributes(labels))
 
 
 def target_path(records: DataFrame) -> DataFrame:
-    """+ path: ``organisatie/opleiding/<title>.pdf``, spaces -> _; a missing
-    part gives no sub-directory.  The file name replaces the text after the
-    title's last dot (a name starting with its only dot keeps it)."""
+    """+ path: ``organisatie/opleiding/<title>.pdf``, spaces -> _; without
+    either part there is no sub-directory.  The file name replaces the text after
+    the title's last dot (a name starting with its only dot keeps it)."""
     t = F.col("title")
     stem = F.when(t.rlike(r"^[^.].*\.[^.]*$") | t.rlike(r"^\..*\.[^.]*$"), F.regexp_extract(t, r"^(.*)\.[^.]*$", 1)).otherwise(t)
-    name = F.concat(stem, F.lit(".pdf"))
-    parts = F.concat_ws("/", F.replace(F.col("organisatie"), F.lit(" "), F.lit("_")),
-                        F.replace(F.col("opleiding"), F.lit(" "), F.lit("_")), name)
-    return records.withColumn("path", F.when(t.isNotNull(), parts))
+    folder = F.concat(F.replace(F.col("organisatie"), F.lit(" "), F.lit("_")), F.lit("/"),
+                      F.replace(F.col("opleiding"), F.lit(" "), F.lit("_")), F.lit("/"))
+    return records.withColumn("path", F.concat(F.coalesce(folder, F.lit("")), stem, F.lit(".pdf")))
 
 
 def pending_downloads(records: DataFrame, existing: DataFrame) -> DataFrame:
-    """Records whose target path is not yet present (anti join)."""
-    return records.join(existing.select("path"), "path", "left_anti")
+    """Records whose target path is not yet present (anti join); a record
+    without a path has nothing to download."""
+    return records.filter(F.col("path").isNotNull()).join(existing.select("path"), "path", "left_anti")
 
 
 def limit_records(records: DataFrame, n: int = 1000) -> DataFrame:

@@ -8,11 +8,14 @@ with tau_i tau_j = 0 gives w = 0.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexgraph.session import cut_lineage
+from lexgraph.operators.numbering import number_nodes
 from lexgraph.operators.search import knn_graph
+from lexgraph.session import cut_lineage, persist_step
 
 
 def local_scale(knn: DataFrame, k: int) -> DataFrame:
@@ -47,7 +50,8 @@ def symmetrize(edges: DataFrame) -> DataFrame:
 
 def text_graph(emb: DataFrame, k: int = 5, **kw) -> DataFrame:
     """Whole job: kNN -> weights -> symmetric (src, dst, w)."""
-    return symmetrize(edge_weights(knn_graph(emb, k=k, **kw), k))
+    # the neighbours are read twice (both ends' scales): written once, so the kernel runs once
+    return symmetrize(edge_weights(persist_step(knn_graph(emb, k=k, **kw)), k))
 
 
 def avg_degree(edges: DataFrame) -> DataFrame:
@@ -64,24 +68,26 @@ def _undirected(edges: DataFrame) -> DataFrame:
     return e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 
 
-def components(edges: DataFrame, max_iter: int = 1000, checkpoint_every: int = 1) -> DataFrame:
-    """(id, component) by min-label propagation; component = least id."""
-    e = _undirected(edges).cache()
-    lab = e.select(F.col("src").alias("id")).distinct().withColumn("c", F.col("id"))
-    for it in range(max_iter):
+def components(edges: DataFrame) -> DataFrame:
+    """(id, component), component = least id, to the fixed point: each round
+    hooks every node to the least label around it and then follows labels of
+    labels, so the rounds grow with the logarithm of a path's length."""
+    e = persist_step(_undirected(edges))
+    lab = persist_step(e.select(F.col("src").alias("id")).distinct().withColumn("c", F.col("id")))
+    while True:
         msg = e.join(lab.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("c").alias("m"))
-        new = lab.join(msg, "id", "left").select("id", F.least("c", F.coalesce("m", "c")).alias("c"))
-        new = cut_lineage(new, checkpoint_every, it + 1) if checkpoint_every else new
-        changed = new.join(lab.withColumnRenamed("c", "c0"), "id").filter(F.col("c") != F.col("c0")).limit(1).count()
-        lab = new
-        if changed == 0:
-            break
-    e.unpersist()
-    return lab.withColumnRenamed("c", "component")
+        hooked = lab.join(msg, "id", "left").select("id", "c", F.least("c", F.coalesce("m", "c")).alias("c1"))
+        # the label of a node learns of the least label that any of its members met
+        roots = hooked.groupBy(F.col("c").alias("r")).agg(F.min("c1").alias("best"))
+        jump = hooked.join(roots.select(F.col("r").alias("c1"), F.col("best").alias("far")), "c1", "left")
+        new = persist_step(jump.select("id", "c", F.least("c1", F.coalesce("far", "c1")).alias("c1")))
+        if new.filter(F.col("c") != F.col("c1")).isEmpty():
+            return lab.withColumnRenamed("c", "component")
+        lab = new.select("id", F.col("c1").alias("c"))
 
 
 def _bfs_bits(e: DataFrame, nodes: DataFrame, sources: list[int] | None, base: int, words: int,
-              max_iter: int, checkpoint_every: int):
+              checkpoint_every: int):
     """Multi-source BFS over bitsets from the nodes whose ``ix`` is in
     [base, base + 64*words) (or in ``sources`` when given).  Returns (steps
     with a change = the largest eccentricity of the sources, the ids reached
@@ -99,7 +105,7 @@ def _bfs_bits(e: DataFrame, nodes: DataFrame, sources: list[int] | None, base: i
     frontier = state.filter(inb)
     last = frontier.select("id")
     steps = 0
-    for it in range(max_iter):
+    for it in itertools.count():
         msg = (e.join(frontier.withColumnRenamed("id", "src"), "src")
                .groupBy(F.col("dst").alias("id")).agg(*[F.bit_or(m).alias(m) for m in ms]))
         j = state.join(msg.select("id", *[F.col(m).alias("n_" + m) for m in ms]), "id", "left")
@@ -115,12 +121,10 @@ def _bfs_bits(e: DataFrame, nodes: DataFrame, sources: list[int] | None, base: i
         steps += 1
         last = frontier.select("id")
         state = nxt.select("id", *ms)
-    else:
-        return steps, last, state
     return steps, last, nxt.select("id", *ms)
 
 
-def diameter(edges: DataFrame, words: int = 8, max_iter: int = 100000, checkpoint_every: int = 1,
+def diameter(edges: DataFrame, words: int = 8, checkpoint_every: int = 1,
              exact: bool = True) -> DataFrame:
     """(n_nodes, n_components, diameter) in hops; diameter NULL when the graph
     is not connected.
@@ -139,13 +143,10 @@ def diameter(edges: DataFrame, words: int = 8, max_iter: int = 100000, checkpoin
     disconnected graph.
     """
     spark = edges.sparkSession
-    e = _undirected(edges).cache()
-    # dense node numbers without a single-partition window
-    ids = e.select(F.col("src").alias("id")).distinct()
-    nodes = cut_lineage(spark.createDataFrame(ids.rdd.map(lambda r: r[0]).zipWithIndex(), "id long, ix long"), 1, 0)
+    e = persist_step(_undirected(edges))
+    nodes = number_nodes(e.select(F.col("src").alias("id")).distinct())
     n_nodes = nodes.count()
     if n_nodes == 0:
-        e.unpersist()
         return spark.createDataFrame([(0, 0, None)], "n_nodes long, n_components long, diameter int")
 
     def disconnected(state, bit_col: str):
@@ -154,23 +155,21 @@ def diameter(edges: DataFrame, words: int = 8, max_iter: int = 100000, checkpoin
 
     def not_connected():
         n_comp = components(e).agg(F.countDistinct("component")).first()[0]
-        e.unpersist()
         return spark.createDataFrame([(n_nodes, int(n_comp), None)], "n_nodes long, n_components long, diameter int")
 
     if exact:
         best = 0
         for base in range(0, n_nodes, 64 * words):
-            steps, _, state = _bfs_bits(e, nodes, None, base, words, max_iter, checkpoint_every)
+            steps, _, state = _bfs_bits(e, nodes, None, base, words, checkpoint_every)
             if base == 0 and disconnected(state, "m0"):
                 return not_connected()
             best = max(best, steps)
     else:
         start = nodes.orderBy("ix").select("ix").first()[0]
-        _, last, state = _bfs_bits(e, nodes, [start], 0, 1, max_iter, checkpoint_every)
+        _, last, state = _bfs_bits(e, nodes, [start], 0, 1, checkpoint_every)
         if disconnected(state, "m0"):
             return not_connected()
         far = last.join(nodes, "id").orderBy("id").select("ix").first()[0]
-        best, _, _ = _bfs_bits(e, nodes, [far], 0, 1, max_iter, checkpoint_every)
+        best, _, _ = _bfs_bits(e, nodes, [far], 0, 1, checkpoint_every)
     n_comp = 1
-    e.unpersist()
     return spark.createDataFrame([(n_nodes, n_comp, best)], "n_nodes long, n_components long, diameter int")

@@ -12,7 +12,7 @@ WS = r"[\t\n\x0B\f\r ]"
 CHUNKS_CTE = r"""
 _d AS (
   SELECT doc_id, source || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS filename,
-    list_transform(regexp_extract_all(text, '[^.!?]+[.!?]*'), lambda r, i: {
+    list_transform(regexp_extract_all(text, '(?s).+?[.!?]+(?:[\t\n\x0B\f\r ]+|\z)|.+\z'), lambda r, i: {
       'i': CAST(i AS INTEGER),
       's': regexp_replace(r, '^WS+|WS+$', '', 'g'),
       'w': CAST(len(list_filter(regexp_split_to_array(r, 'WS+'), lambda x: x <> '')) AS INTEGER),
@@ -62,10 +62,10 @@ SQL["word_count"] = f"""
 SELECT doc_id, CAST(len(list_filter(regexp_split_to_array(text, '{WS}+'), lambda x: x <> '')) AS INTEGER) AS n_words
 FROM documents"""
 
-SQL["split_sentences"] = f"""
+SQL["split_sentences"] = rf"""
 SELECT doc_id, CAST(sent_no AS INTEGER) AS sent_no, sentence FROM (
   SELECT doc_id, generate_subscripts(s, 1) - 1 AS sent_no, unnest(s) AS sentence FROM (
-    SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '[^.!?]+[.!?]*'),
+    SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '(?s).+?[.!?]+(?:[\t\n\x0B\f\r ]+|\z)|.+\z'),
              lambda r: regexp_replace(r, '^{WS}+|{WS}+$', '', 'g')), lambda x: x <> '') AS s
     FROM documents))"""
 
@@ -118,7 +118,7 @@ def topk_sql(q: str, c: str, qid: str, cid: str, score: str, k: int | None, desc
     lim = f"WHERE rank <= {k}" if k is not None else ""
     return f"""
 SELECT * FROM (
-  SELECT qid, cid, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) {order}, cid) AS INTEGER) AS rank
+  SELECT qid, cid, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) {order}, cid) AS INTEGER) AS rank
   FROM (SELECT {q}.{qid} AS qid, {c}.{cid} AS cid, {score} AS score FROM {q}, {c} {cond})) {lim}"""
 
 
@@ -248,9 +248,22 @@ labels AS (SELECT keyword_id, id, CASE WHEN f1 > f0 THEN 1 ELSE 0 END AS label F
     return ",".join(parts)
 
 
-KWG = with_(VEC_CTE, KNN_CTE, propagation_ctes())
+# The plain iteration, far beyond the step at which nothing moves any more.
+CONVERGED_CTE = """
+deg_free AS (SELECT src, dst, w FROM sym WHERE src <> dst AND w > 0),
+scores(keyword_id, id, i, f0, f1) USING KEY (keyword_id, id) AS (
+  SELECT keyword_id, id, 0, CAST(1 - seed AS DOUBLE), CAST(seed AS DOUBLE) FROM seeds
+  UNION
+  SELECT m.keyword_id, m.id, m.i, coalesce(CAST(1 - s.seed AS DOUBLE), a0 / (a0 + a1)), coalesce(CAST(s.seed AS DOUBLE), a1 / (a0 + a1))
+  FROM (SELECT f.keyword_id, e.src AS id, max(f.i) + 1 AS i, sum(e.w * f.f0) AS a0, sum(e.w * f.f1) AS a1
+        FROM scores f JOIN deg_free e ON e.dst = f.id GROUP BY f.keyword_id, e.src) m
+  LEFT JOIN seeds s ON s.keyword_id = m.keyword_id AND s.id = m.id
+  WHERE m.i <= 2500 AND a0 + a1 > 0),
+labels AS (SELECT keyword_id, id, CASE WHEN f1 > f0 THEN 1 ELSE 0 END AS label FROM scores)"""
+_START = propagation_ctes(iters=0).split(",\nscores AS")[0].rstrip().rstrip(",")
+KWG = "WITH RECURSIVE " + with_(VEC_CTE, KNN_CTE, _START, CONVERGED_CTE)[5:]
 SQL["seed_labels"] = KWG + "\nSELECT keyword_id, id, seed FROM seeds"
-SQL["propagate"] = KWG + "\nSELECT keyword_id, id, round(f0, 6) AS f0, round(f1, 6) AS f1 FROM scores"
+SQL["propagate"] = KWG + "\nSELECT keyword_id, id, round(f0, 4) AS f0, round(f1, 4) AS f1 FROM scores"
 SQL["harden"] = KWG + "\nSELECT keyword_id, id, label FROM labels"
 SQL["keyword_graph"] = KWG + """
 SELECT a.keyword_id AS kw_a, b.keyword_id AS kw_b, count(*) AS w
@@ -403,8 +416,8 @@ def attr_sql(tag: str, name: str) -> str:
 
 
 ANCHORS_CTE = f"""
-_tags AS (SELECT page_id, unnest(regexp_extract_all(html, '<a(\\s[^>]*)?>', 0)) AS tag,
-                 unnest(range(len(regexp_extract_all(html, '<a(\\s[^>]*)?>', 0)))) AS pos FROM pages),
+_tags AS (SELECT page_id, unnest(regexp_extract_all(html, '(?i)<a(\\s[^>]*)?>', 0)) AS tag,
+                 unnest(range(len(regexp_extract_all(html, '(?i)<a(\\s[^>]*)?>', 0)))) AS pos FROM pages),
 anchors AS (SELECT page_id, CAST(pos AS INTEGER) AS pos, {attr_sql('tag', 'href')} AS href, {attr_sql('tag', 'class')} AS class FROM _tags),
 links AS (SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS INTEGER) AS pos, href, class
           FROM anchors WHERE href IS NOT NULL)"""
@@ -412,20 +425,19 @@ links AS (SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY
 SQL["extract_links"] = with_(ANCHORS_CTE) + "\nSELECT page_id, pos, href, class FROM links"
 SQL["filter_links"] = with_(ANCHORS_CTE) + "\nSELECT page_id, pos, href, class FROM links WHERE starts_with(href, '/t')"
 SQL["page_title"] = f"""
-SELECT page_id, replace({unesc("regexp_replace(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g')")}, ' ', '_') AS title
+SELECT page_id, replace({unesc("regexp_replace(regexp_extract(html, '(?is)<h1\\b[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g')")}, ' ', '_') AS title
 FROM pages"""
 
 _DL_PAT = """<a\\s[^>]*class\\s*=\\s*["''](?:[^"'']*\\s)?detail__header__button(?:\\s[^"'']*)?["''][^>]*>"""
-_BOX_PAT = """(?s)<div[^>]*class\\s*=\\s*["''][^"'']*detail__header__column[^>]*>.*?<h1[^>]*>(.*?)</h1>"""
+_BOX_PAT = """(?is)<div\\b[^>]*class\\s*=\\s*["'']?[^"''>]*detail__header__column[^>]*>(.*?)</div>"""
 RECORDS_CTE = f"""
 _pg AS (SELECT page_id, html,
                CASE WHEN regexp_matches(html, '{_DL_PAT}') THEN regexp_extract(html, '{_DL_PAT}', 0) END AS dl,
-               regexp_extract(html, '{_BOX_PAT}', 1) AS box,
-               CASE WHEN regexp_matches(html, '(?s)<h1[^>]*>.*?</h1>') THEN regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1) END AS h1
-        FROM pages),
-_trs AS (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<tr[^>]*>(.*?)</tr>', 1)) AS tr,
-                unnest(range(len(regexp_extract_all(html, '(?s)<tr[^>]*>(.*?)</tr>', 1)))) AS row FROM pages),
-_cells AS (SELECT page_id, row, regexp_extract_all(tr, '(?s)<td[^>]*>(.*?)</td>', 1) AS c FROM _trs),
+               CASE WHEN regexp_matches(place, '(?is)<h1\\b[^>]*>.*?</h1>') THEN regexp_extract(place, '(?is)<h1\\b[^>]*>(.*?)</h1>', 1) END AS h1
+        FROM (SELECT *, CASE WHEN regexp_matches(html, '{_BOX_PAT}') THEN regexp_extract(html, '{_BOX_PAT}', 1) ELSE html END AS place FROM pages)),
+_trs AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<tr\\b[^>]*>(.*?)</tr>', 1)) AS tr,
+                unnest(range(len(regexp_extract_all(html, '(?is)<tr\\b[^>]*>(.*?)</tr>', 1)))) AS row FROM pages),
+_cells AS (SELECT page_id, row, regexp_extract_all(tr, '(?is)<td\\b[^>]*>(.*?)</td>', 1) AS c FROM _trs),
 _lv AS (SELECT page_id, row,
                regexp_replace({unesc("regexp_replace(c[1], '<[^>]*>', '', 'g')")}, '^{WS}+|{WS}+$', '', 'g') AS label,
                regexp_replace({unesc("regexp_replace(c[2], '<[^>]*>', '', 'g')")}, '^{WS}+|{WS}+$', '', 'g') AS value
@@ -434,11 +446,11 @@ _attrs AS (SELECT page_id, max_by(value, row) FILTER (WHERE label = 'Organisatie
                   max_by(value, row) FILTER (WHERE label = 'Opleiding') AS opleiding FROM _lv GROUP BY page_id),
 records AS (
   SELECT p.page_id, 'https://example.org' || ({attr_sql('p.dl', 'href')}) AS download_url,
-         replace({unesc("regexp_replace(CASE WHEN p.box <> '' THEN p.box ELSE p.h1 END, '<[^>]*>', '', 'g')")}, ' ', '_') AS title,
+         replace({unesc("regexp_replace(p.h1, '<[^>]*>', '', 'g')")}, ' ', '_') AS title,
          a.organisatie, a.opleiding
   FROM _pg p LEFT JOIN _attrs a ON p.page_id = a.page_id),
 paths AS (
-  SELECT *, CASE WHEN title IS NOT NULL THEN concat_ws('/', replace(organisatie, ' ', '_'), replace(opleiding, ' ', '_'),
+  SELECT *, CASE WHEN title IS NOT NULL THEN concat(coalesce(replace(organisatie, ' ', '_') || '/' || replace(opleiding, ' ', '_') || '/', ''),
             (CASE WHEN regexp_matches(title, '^[^.].*\\.[^.]*$') OR regexp_matches(title, '^\\..*\\.[^.]*$')
                   THEN regexp_extract(title, '^(.*)\\.[^.]*$', 1) ELSE title END) || '.pdf') END AS path
   FROM records)"""
@@ -449,7 +461,7 @@ SQL["limit_records"] = with_(RECORDS_CTE) + "\nSELECT page_id, title, path FROM
 
 # ---------------------------------------------------------------- more coverage
 SQL["chunk_documents_lang"] = with_(chunks_cte()) + """
-SELECT c.* FROM chunks c JOIN documents d ON c.doc_id = d.doc_id WHERE d.lang = 'fr'"""
+SELECT * FROM chunks"""
 SQL["token_count"] = with_(chunks_cte()) + f"""
 SELECT chunk_id, CAST(len(list_filter(regexp_split_to_array(text, '{WS}+'), lambda x: x <> '')) AS INTEGER) AS tokens FROM chunks"""
 SQL["embed_missing"] = with_(chunks_cte(), hashed("ce", "chunks", "chunk_id", "text")) + """
@@ -474,7 +486,7 @@ SQL["table_attributes"] = with_(RECORDS_CTE) + """
 SELECT p.page_id, a.organisatie, a.opleiding FROM pages p LEFT JOIN _attrs a ON p.page_id = a.page_id"""
 SQL["pending_downloads"] = with_(RECORDS_CTE) + """
 SELECT p.page_id, p.path FROM paths p
-WHERE p.path NOT IN (SELECT q.path FROM paths q JOIN pages g ON q.page_id = g.page_id WHERE contains(g.url, '/fr/') AND q.path IS NOT NULL)"""
+WHERE p.path IS NOT NULL AND p.path NOT IN (SELECT q.path FROM paths q JOIN pages g ON q.page_id = g.page_id WHERE contains(g.url, '/fr/') AND q.path IS NOT NULL)"""
 
 
 def rows_propagation_ctes(iters: int = 5, gamma: float = 20.0) -> str:

@@ -45,10 +45,12 @@ def strip_markdown(col):
 
 def to_text(df: DataFrame, converters: dict | None = None) -> tuple[DataFrame, DataFrame]:
     """(documents, quarantine).  Text and markdown are decoded as UTF-8 on the
-    JVM; other types need a converter hook (K4); anything left without text
-    goes to quarantine."""
-    d = df.withColumn("text", F.when(F.col("file_type") == "text", F.decode("content", "UTF-8"))
-                      .when(F.col("file_type") == "markdown", strip_markdown(F.decode("content", "UTF-8"))))
+    JVM; other types need a converter hook (K4); anything left without text,
+    files that are not valid UTF-8 among them, goes to quarantine."""
+    # NULL where the bytes are not UTF-8: one bad file must not stop the job
+    plain = F.try_validate_utf8(F.col("content").cast("string"))
+    d = df.withColumn("text", F.when(F.col("file_type") == "text", plain)
+                      .when(F.col("file_type") == "markdown", strip_markdown(plain)))
     if converters:
         from lexgraph.functions.hooks import convert_files
         d = convert_files(d, converters)

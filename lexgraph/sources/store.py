@@ -14,6 +14,8 @@ SCHEMAS = {
     "chunks": "chunk_id string, doc_id long, chunk_no int, text string, filename string, page int, n_words int, tag string",
     "embeddings": "id string, embedding array<double>, tag string",
     "vocab": "token string, df long, tag string",
+    "counted": "chunk_id string, tag string",
+    "quarantine": "path string, filename string, file_type string, tag string",
 }
 
 
@@ -51,7 +53,7 @@ def write_chunks(chunks: DataFrame, root: str, tag: str) -> DataFrame:
     Returns the appended rows (a rerun appends none)."""
     spark = chunks.sparkSession
     have = open_store(spark, root, tag, "chunks").select("chunk_id")
-    new = chunks.join(have, "chunk_id", "left_anti")
+    new = chunks.dropDuplicates(["chunk_id"]).join(have, "chunk_id", "left_anti")
     from lexgraph.session import persist_step
     new = persist_step(new)  # the anti join must not see its own output
     save_store(new, root, tag, "chunks")

@@ -4,10 +4,13 @@ chunks (J2).
 ``readStream.format("binaryFile")`` lists the folder; the file source's
 checkpoint remembers which files were seen, so a rerun reads only new ones.
 Each micro-batch routes, decodes and chunks its files, then upserts chunks by
-``chunk_id`` -- so a retried batch appends nothing twice.  With ``embed``
-the vocabulary (token, df) is maintained incrementally from the newly stored
-chunks only, and the new chunks are embedded against it (existing
-embeddings are left as they are, like ``update_existing_embeddings=False``).
+``chunk_id`` -- so a retried batch appends nothing twice.  Files that give no
+text are kept in the ``quarantine`` table.  With ``embed`` the vocabulary
+(token, df) takes in every stored chunk that it has not counted yet (the
+``counted`` table names those), and every stored chunk without a vector is
+embedded -- also chunks of earlier runs, or of a batch that stopped between its
+two writes (existing embeddings are left as they are, like
+``update_existing_embeddings=False``).
 """
 
 from __future__ import annotations
@@ -27,17 +30,23 @@ def _process(spark: SparkSession, batch: DataFrame, root: str, tag: str, length:
     files = route_files(with_filename(batch))
     docs, quarantine = to_text(files, converters)
     chunks = chunk_documents(files_as_documents(docs), length=length)
-    new = ST.write_chunks(chunks, root, tag)
+    known = ST.open_store(spark, root, tag, "quarantine").select("path")
+    ST.save_store(persist_step(quarantine.dropDuplicates(["path"]).join(known, "path", "left_anti")), root, tag, "quarantine")
+    ST.write_chunks(chunks, root, tag)
     if not embed:
         return
+    stored = ST.open_store(spark, root, tag, "chunks")
+    counted = ST.open_store(spark, root, tag, "counted").select("chunk_id")
+    fresh = persist_step(stored.join(counted, "chunk_id", "left_anti"))
     old = ST.open_store(spark, root, tag, "vocab").select("token", "df")
-    vocab = (old.unionByName(corpus_vocab(new)).groupBy("token").agg(F.sum("df").cast("long").alias("df")))
+    vocab = (old.unionByName(corpus_vocab(fresh)).groupBy("token").agg(F.sum("df").cast("long").alias("df")))
     vocab = persist_step(vocab)   # read and overwrite the same table safely
     ST.save_store(vocab, root, tag, "vocab", mode="overwrite")
-    n_docs = ST.open_store(spark, root, tag, "chunks").count()
-    have = ST.open_store(spark, root, tag, "embeddings").select("id")
-    emb = embed_text(new, id_col="chunk_id", dim=dim, vocab=vocab, n_docs=n_docs)
-    ST.save_store(emb.join(have, "id", "left_anti"), root, tag, "embeddings")
+    ST.save_store(fresh.select("chunk_id"), root, tag, "counted")
+    have = ST.open_store(spark, root, tag, "embeddings").select(F.col("id").alias("chunk_id"))
+    without = persist_step(stored.join(have, "chunk_id", "left_anti"))
+    emb = embed_text(without, id_col="chunk_id", dim=dim, vocab=vocab, n_docs=stored.count())
+    ST.save_store(emb, root, tag, "embeddings")
 
 
 def ingest_available(spark: SparkSession, source_dir: str, root: str, tag: str, checkpoint: str,

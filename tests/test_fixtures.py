@@ -38,7 +38,8 @@ def test_form_feed_pages(spark):
 
 
 def test_no_sentence_no_chunk(spark):
-    assert C.chunk_documents(docs(spark, "..."), length=250).count() == 0
+    assert C.chunk_documents(docs(spark, " \n "), length=250).count() == 0
+    assert [r.text for r in C.chunk_documents(docs(spark, "..."), length=250).collect()] == ["..."]   # nothing is dropped
 
 
 def vecs(spark, rows):
@@ -98,9 +99,9 @@ def test_seed_overlap_farthest_wins(spark):
 def test_unreached_node(spark):
     e = edges(spark, [(1, 2), (3, 4)])
     seeds = spark.createDataFrame([(0, 1, 1)], "keyword_id int, id long, seed int")
-    s = {r.id: (r.f0, r.f1) for r in H.propagate(e, seeds, iters=3).collect()}
+    s = {r.id: (r.f0, r.f1) for r in H.propagate(e, seeds).collect()}
     assert 3 not in s and 4 not in s          # no mass: 0/0 kept as 0
-    lab = {r.id: r.label for r in H.harden(H.propagate(e, seeds, iters=3)).collect()}
+    lab = {r.id: r.label for r in H.harden(H.propagate(e, seeds)).collect()}
     assert lab[1] == 1 and lab.get(3, 0) == 0
 
 
@@ -119,7 +120,7 @@ def test_propagation_matches_numpy(spark):
     Fm = np.zeros((n, 2))
     for k, v in seeds.items():
         Fm[k, v] = 1
-    for _ in range(6):
+    for _ in range(5000):
         Fn = W @ Fm
         s = Fn.sum(1, keepdims=True)
         Fn = np.divide(Fn, s, out=np.zeros_like(Fn), where=s > 0)
@@ -127,7 +128,11 @@ def test_propagation_matches_numpy(spark):
             Fn[k] = 0
             Fn[k, v] = 1
         Fm = Fn
-    got = {r.id: (r.f0, r.f1) for r in H.propagate(e, sdf, iters=6).collect()}
+    got = {r.id: (r.f0, r.f1) for r in H.propagate(e, sdf).collect()}
+    named = e.select(F.concat(F.lit("n"), "src").alias("src"), F.concat(F.lit("n"), "dst").alias("dst"), "w")
+    same = H.propagate(named, sdf.withColumn("id", F.concat(F.lit("n"), "id")))
+    assert {r.id: (round(r.f0, 9), round(r.f1, 9)) for r in same.collect()} == \
+        {f"n{i}": (round(a, 9), round(b, 9)) for i, (a, b) in got.items()}
     for i in range(n):
         f0, f1 = got.get(i, (0.0, 0.0))
         assert abs(f0 - Fm[i, 0]) < 1e-9 and abs(f1 - Fm[i, 1]) < 1e-9
@@ -241,3 +246,55 @@ def test_drop_broad_rules(spark):
 def test_diameter_double_sweep(spark):
     e = edges(spark, [(1, 2), (2, 3), (3, 4), (2, 5)])
     assert G.diameter(e, exact=False).first().diameter == 3
+
+
+def test_html_upper_case_entities_and_unquoted_values(spark):
+    h = ('<DIV CLASS=detail__header__column><H1>Caf&eacute; &#233;&#x1F600; &amp;lt; &nosuch;</H1></DIV><track src=x>'
+         '<A CLASS=detail__header__button HREF="/details/1?a=1&amp;b=2">x</A>'
+         "<TABLE><TR><TD>Organisatie<TD></TR><TR><TD>Organisatie</TD><TD> Org A </TD></TR><TR><TD>Opleiding</TD><TD>Opl</TD></TR></TABLE>")
+    r = HT.target_path(HT.page_records(page(spark, h), base="https://b")).first()
+    assert r.title == "Café_é\U0001F600_&lt;_&nosuch;" and r.download_url == "https://b/details/1?a=1&b=2"
+    assert (r.organisatie, r.opleiding, r.path) == ("Org A", "Opl", "Org_A/Opl/Café_é\U0001F600_&lt;_&nosuch;.pdf")
+    assert [x.href for x in HT.extract_links(page(spark, h)).collect()] == ["/details/1?a=1&b=2"]
+
+
+def test_html_empty_box_missing_part_and_no_path(spark):
+    assert HT.page_records(page(spark, '<div class="detail__header__column"></div><h1>Out</h1>')).first().title is None
+    one = '<h1>T</h1><table><tr><td>Organisatie</td><td>Org</td></tr></table>'
+    rec = HT.target_path(HT.page_records(page(spark, one)))
+    assert rec.first().path == "T.pdf"
+    none = HT.target_path(HT.page_records(page(spark, "<p>x</p>")))
+    have = spark.createDataFrame([("other.pdf",)], "path string")
+    assert HT.pending_downloads(none, have).count() == 0 and HT.pending_downloads(rec, have).count() == 1
+
+
+def test_html_records_need_no_exchange(spark):
+    plan = HT.page_records(page(spark, "<h1>T</h1>"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_sentences_lose_nothing(spark, sf):
+    text = "Pi is 3.14 at example.com, U.S.A. ...done \n...Hello there! What?! no end"
+    got = [r.sentence for r in C.split_sentences(docs(spark, text)).orderBy("sent_no").collect()]
+    assert got == ["Pi is 3.14 at example.com, U.S.A.", "...done \n...Hello there!", "What?!", "no end"]
+    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    squeeze = lambda c: F.regexp_replace(c, r"[\t\n\x0B\f\r ]+", "")
+    parts = C.chunk_documents(d).groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_no", "text"))),
+                                                                              lambda c: c["text"]), "").alias("all"))
+    bad = d.join(parts, "doc_id").filter(squeeze(F.col("all")) != squeeze(F.col("text")))
+    assert bad.count() == 0
+
+
+def test_nearest_is_exact_below_six_digits(spark):
+    v = lambda a: [math.cos(a), math.sin(a)]
+    emb = spark.createDataFrame([(9, v(0.0)), (2, v(2e-4)), (1, v(1e-3)), (3, v(1.0))], "id long, embedding array<double>")
+    near = {r.src: r.dst for r in S.knn_graph(emb, k=1).collect()}
+    assert near[9] == 2
+
+
+def test_components_of_a_long_path(spark):
+    e = spark.createDataFrame([(f"n{i:04}", f"n{i + 1:04}") for i in range(300)] + [("z1", "z2")], "src string, dst string")
+    c = G.components(e).groupBy("component").count().collect()
+    assert {(r.component, r["count"]) for r in c} == {("n0000", 301), ("z1", 2)}
+    d = G.diameter(spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(9)], "src string, dst string")).first()
+    assert (d.n_nodes, d.n_components, d.diameter) == (10, 1, 9)

@@ -13,7 +13,9 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 import __spark_entry__ as E  # noqa: E402
 from oracle_check import compare, duck  # noqa: E402
 
-NAMES = sorted(E.queries())
+from lexgraph.plans.registry import Q  # noqa: E402
+
+NAMES = sorted(Q)
 
 
 @pytest.fixture(scope="module")

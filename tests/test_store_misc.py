@@ -59,7 +59,7 @@ def test_spectral_matches_numpy(spark):
     C = rng.normal(size=(3, 5))
     X = np.vstack([c + 0.3 * rng.normal(size=(20, 5)) for c in C]) / 2.0
     e = spark.createDataFrame([(i, [float(v) for v in x]) for i, x in enumerate(X)], "id long, embedding array<double>")
-    got = {r.id: r.map for r in spectral_embedding(e, 2, gamma=1.0, iters=15).collect()}
+    got = {r.id: r.map for r in spectral_embedding(e, 2, gamma=1.0, tol=1e-6).collect()}
     A = np.exp(-((X[:, None, :] - X[None, :, :]) ** 2).sum(-1))
     np.fill_diagonal(A, 0)
     d = A.sum(1)
