@@ -17,7 +17,13 @@ import re
 import numpy as np
 
 # Fixed value: characters whose class (letter, digit, blank) every Unicode version agrees on.
-RARE = re.compile("[^\t\n\r -~\xa1-ɏ]| (?:\\s|\\Z)|\\S{1000}")
+RARE = re.compile("[^\t\n\r -~\xa1-ɏ]")
+LONG = 1000
+
+
+def splits_at_spaces(text: str) -> bool:
+    """Every space is followed by a character that is no blank (RARE ones aside)."""
+    return not ("  " in text or " \n" in text or " \t" in text or " \r" in text or text.endswith(" ") or RARE.search(text))
 
 
 class ByteTokens:
@@ -69,15 +75,20 @@ class ByteTokens:
         """Ids of each text as little-endian integers of ``self.dtype``."""
         if len(self.words) > self.max_words:
             self.words.clear()
-        cut = [None if RARE.search(t) else t.split(" ") for t in texts]
-        known = self.words
+        cut = [t.split(" ") if splits_at_spaces(t) else None for t in texts]
         new: set[str] = set()
         for words in cut:
             if words is not None:
-                new.update(w for w in words[1:] if w not in known)
-        if new:
-            self._learn(sorted(new))
-        return [self.ids(t) if words is None else self.ids(words[0]) + b"".join(map(known.__getitem__, words[1:]))
+                new.update(words)
+        new.difference_update(self.words)
+        short = [w for w in new if 0 < len(w) < LONG]
+        if short:
+            self._learn(short)
+        for w in new:
+            if len(w) >= LONG:
+                self.words[w] = self.ids(" " + w)
+        get = self.words.__getitem__
+        return [self.ids(t) if words is None else self.ids(words[0]) + b"".join(map(get, words[1:]))
                 for t, words in zip(texts, cut)]
 
 
