@@ -19,14 +19,20 @@ TABLE_RATE = 0.1
 ENOUGH = 0.004  # mean loss of recent batches at which training ends early
 
 
-def char_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def char_grams(words: list[str], at_once: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, starts): hashed n-grams of ``<word>``, one run per word."""
-    if not words:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    runs = [_char_grams(words[i:i + at_once]) for i in range(0, len(words), at_once)]
+    if not runs:
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
+    counts = np.concatenate([c for _, c in runs])
+    return np.concatenate([k for k, _ in runs]), np.cumsum(counts) - counts
+
+
+def _char_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     joined = "".join([f"<{w}>" for w in words])
-    code = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
+    code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     sizes = np.fromiter((len(w) + 2 for w in words), np.int64, len(words))
-    word = np.repeat(np.arange(len(words)), sizes)
+    word = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
     keys, owner = [], []
     for n in GRAMS:
         if len(code) < n:
@@ -36,16 +42,16 @@ def char_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
             h = (h ^ code[j:len(code) - n + 1 + j]) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
         inside = word[:len(h)] == word[n - 1:]
-        keys.append((h[inside] % np.uint64(BUCKETS)).astype(np.int64))
+        keys.append((h[inside] % np.uint64(BUCKETS)).astype(np.int32))
         owner.append(word[:len(h)][inside])
     keys, owner = np.concatenate(keys), np.concatenate(owner)
-    order = np.argsort(owner, kind="stable")
-    counts = np.bincount(owner, minlength=len(words))
-    return keys[order], np.concatenate([[0], np.cumsum(counts)[:-1]])
+    return keys[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(words))
 
 
 def sums_by(keys: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
     """Sum of the rows of ``values`` for each key below ``size``."""
+    if values.shape[1] <= 8:
+        return np.stack([np.bincount(keys, values[:, j], size) for j in range(values.shape[1])], axis=1).astype(np.float32)
     order = np.argsort(keys, kind="stable")
     sorted_keys = keys[order]
     begin = np.flatnonzero(np.append(True, sorted_keys[1:] != sorted_keys[:-1]))
@@ -78,14 +84,20 @@ class Network:
         self.scale = np.float32(4.0)  # of the character mean, which one n-gram among many moves little
 
     # ------------------------------------------------------------- inputs
-    def inputs(self, words: list[str]):
-        """Input vectors of distinct words, with what training needs to go back."""
-        ids = np.fromiter((self.words.get(w, 0) for w in words), np.int64, len(words))
-        grams, starts = char_grams(words)
-        counts = np.diff(np.append(starts, len(grams))).astype(np.float32)
-        mean = np.add.reduceat(self.p["char"][grams], starts, axis=0) / counts[:, None] * self.scale if len(words) else \
-            np.zeros((0, CHAR_DIM), np.float32)
-        return np.hstack([self.p["word"][ids], mean]).astype(np.float32), (ids, grams, starts, counts)
+    def _mean(self, grams: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(self.p["char"][grams], starts, axis=0) / counts[:, None].astype(np.float32) * self.scale
+
+    def rows(self, words: list[str], at_once: int = 20_000) -> np.ndarray:
+        """Projected input of each word."""
+        out = np.empty((len(words), self.p["bx"].size), np.float32)
+        for i in range(0, len(words), at_once):
+            part = words[i:i + at_once]
+            ids = np.fromiter((self.words.get(w, 0) for w in part), np.int64, len(part))
+            grams, starts = char_grams(part)
+            counts = np.diff(np.append(starts, len(grams)))
+            x = np.hstack([self.p["word"][ids], self._mean(grams, starts, counts)]).astype(np.float32)
+            out[i:i + len(part)] = self.projected(x)
+        return out
 
     def projected(self, x: np.ndarray) -> np.ndarray:
         return x @ self.p["wx"] + self.p["bx"]
@@ -157,7 +169,7 @@ class Network:
         loss = float(np.mean(weights * (np.logaddexp(0, logit) - labels * logit)))
         return g, d_rows @ self.p["wx"].T, loss
 
-    def fit(self, words: list[str], idx: np.ndarray, mask: np.ndarray, labels: np.ndarray, steps: int, batch: int = 256,
+    def fit(self, words: list[str], idx: np.ndarray, mask: np.ndarray, labels: np.ndarray, steps: int, batch: int = 128,
             rate: float = 0.01, seed: int = 3, hard: np.ndarray | None = None, log=None) -> None:
         """Adam on class-balanced batches of windows (``idx`` into ``words``;
         masked positions may hold any valid index); half of the clean windows
@@ -182,8 +194,7 @@ class Network:
             at = np.repeat(starts[used] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
             own = grams[at]
             begin = np.concatenate([[0], np.cumsum(counts)[:-1]])
-            mean = np.add.reduceat(self.p["char"][own], begin, axis=0) / counts[:, None].astype(np.float32) * self.scale
-            x = np.hstack([self.p["word"][ids_all[used]], mean]).astype(np.float32)
+            x = np.hstack([self.p["word"][ids_all[used]], self._mean(own, begin, counts)]).astype(np.float32)
             g, dx, loss = self.gradients(x, self.projected(x), local, mask[pick], labels[pick].astype(np.float32),
                                          np.ones(len(pick), np.float32))
             g["word"] = sums_by(ids_all[used], dx[:, :WORD_DIM], len(self.p["word"]))

@@ -38,7 +38,7 @@ SIZE, STRIDE = 64, 32
 FOLDS = 5
 MAX_TOXIC, MAX_CLEAN, MAX_WINDOWS = 1500, 2500, 24
 VOCABULARY = 20_000
-STEPS = (240, 160)
+STEPS = (240, 200)
 CACHE = 300_000
 WORD = re.compile(r"\w+")
 
@@ -66,10 +66,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     return [(r[0], r[2], r[3]) for r in rows]
 
 
-def _log_odds(present: list[np.ndarray], labels: np.ndarray, size: int) -> np.ndarray:
+def _log_odds(present, labels: np.ndarray, size: int) -> np.ndarray:
     """Of each entry: how much likelier a toxic text holds it, smoothed."""
     count = np.zeros((2, size))
-    for at, y in zip(present, labels):
+    for at, y in zip(present, labels, strict=True):
         seen = np.zeros(size, bool)
         seen[at] = True
         count[y] += seen
@@ -83,9 +83,8 @@ def train(rows: list[tuple[int, str, int]], steps=STEPS, log=None) -> dict:
     labels = np.array([r[2] for r in rows], np.int64)
     if len(set(labels.tolist())) < 2:
         return {"constant": float(labels.mean()) if len(labels) else 0.0}
-    texts = [words_of(r[1]) for r in rows]
     index: dict[str, int] = {}
-    tokens = [np.fromiter((index.setdefault(w, len(index)) for w in t), np.int64, len(t)) for t in texts]
+    tokens = [np.array([index.setdefault(w, len(index)) for w in words_of(r[1])], np.int32) for r in rows]
     words = list(index) or ["_"]
     holds = np.zeros(len(words), np.int64)
     for t in tokens:
@@ -98,12 +97,12 @@ def train(rows: list[tuple[int, str, int]], steps=STEPS, log=None) -> dict:
     known = np.zeros(len(words), np.int64)
     known[common] = np.arange(1, len(common) + 1)
     distinct = [np.unique(t) for t in tokens]
-    spelled = [np.concatenate([grams[runs[i]:runs[i + 1]] for i in d]) if len(d) else np.zeros(0, np.int64) for d in distinct]
+    spelled = (np.concatenate([grams[runs[i]:runs[i + 1]] for i in d]) if len(d) else d for d in distinct)
     net.p["char"][:, 0] = _log_odds(spelled, labels, BUCKETS)
-    net.p["word"][:, 0] = _log_odds([known[d] for d in distinct], labels, len(common) + 1)
+    net.p["word"][:, 0] = _log_odds((known[d] for d in distinct), labels, len(common) + 1)
     net.p["word"][0] = 0
     lengths = np.array([len(t) for t in tokens])
-    flat = np.concatenate(tokens) if len(tokens) else np.zeros(0, np.int64)
+    flat = np.concatenate(tokens) if len(tokens) else np.zeros(0, np.int32)
     start, length, text = windows(lengths, SIZE, STRIDE)
     calibrate = np.array([r[0] == 1 for r in rows])
     if len(set(labels[calibrate].tolist())) < 2 or len(set(labels[~calibrate].tolist())) < 2 or len(rows) < 200:
@@ -120,7 +119,7 @@ def train(rows: list[tuple[int, str, int]], steps=STEPS, log=None) -> dict:
     if len(set(y.tolist())) < 2:
         return {"constant": float(labels.mean())}
     net.fit(words, idx, mask, y, steps[0], log=log)
-    rows_x = net.projected(net.inputs(words)[0])
+    rows_x = net.rows(words)
 
     def logits(i, m):
         return np.concatenate([net.forward(rows_x, i[k:k + 2048], m[k:k + 2048]) for k in range(0, len(i), 2048)])
@@ -131,7 +130,7 @@ def train(rows: list[tuple[int, str, int]], steps=STEPS, log=None) -> dict:
     sure = (y == 0) | (found >= 0) | (found == top[text[use]])
     hard = np.flatnonzero((y[sure] == 0) & (found[sure] == top[text[use]][sure]))
     net.fit(words, idx[sure], mask[sure], y[sure], steps[1], rate=0.006, seed=5, hard=hard, log=log)
-    rows_x = net.projected(net.inputs(words)[0])
+    rows_x = net.rows(words)
     use = np.flatnonzero(calibrate[text])
     idx, mask = laid_out(flat, start[use], length[use], SIZE)
     top = np.full(len(rows), -np.inf, np.float32)
@@ -175,7 +174,7 @@ class Scorer:
             bigger = np.zeros((max(2 * len(self.rows), n + len(words)), self.rows.shape[1]), np.float32)
             bigger[:n] = self.rows[:n]
             self.rows = bigger
-        self.rows[n:n + len(words)] = self.net.projected(self.net.inputs(words)[0])
+        self.rows[n:n + len(words)] = self.net.rows(words)
         self.index.update(zip(words, range(n, n + len(words))))
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
