@@ -14,10 +14,10 @@ no shingle repeats.
 3. Banding: classes that agree on all rows of a band share a bucket.  No
    bucket is paired up in full.  Its leader -- the member whose buckets are the
    largest, which in a crowd of copies is their common origin -- is paired with
-   the others.  Pairs are verified exactly.  Where that leaves several
-   components in a bucket, the pairs across components follow: all of them in a
-   small bucket; a large one is first split by the further bands its members
-   share, level by level, and what is left at the last level is paired in full.
+   the others, and these pairs are verified exactly.  The members of all buckets
+   with one leader are its crowd.  Where a crowd holds several components, its
+   members that share a band are compared across components, block by block,
+   inside tasks of bounded size that return links only.
 4. Components of the verified links, by alternating large and small stars.
 
 Verification, like everything on classes, is a join; a hot leader is only a
@@ -43,8 +43,7 @@ from lexgraph.llm.common import chunks_of, read, stored
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, BAND_ROWS = 16, 4
-SMALL = 2_000  # pairs across components that a bucket emits without being split
-LEVELS = 4
+BLOCK = 256  # members of a crowd compared at once with as many others
 MAX_BROADCAST = 1_000_000
 WORD = re.compile(r"\w+")
 _GOLD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -225,60 +224,105 @@ def labelled(nodes: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def leaders(members: DataFrame) -> DataFrame:
-    """(key, leader): the member of each bucket whose buckets hold most others."""
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    weight = members.join(sizes, "key").groupBy("fp").agg(F.sum("n").alias("weight"))
+    """(key, leader) of (key, fp, n): the member of each bucket whose own
+    buckets, of ``n`` members each, are the largest together."""
+    weight = members.groupBy("fp").agg(F.sum("n").alias("weight"))
     return members.join(weight, "fp").groupBy("key").agg(F.max(F.struct("weight", "fp"))["fp"].alias("leader"))
 
 
+def common_items(items: list[np.ndarray], width: int = 8192) -> np.ndarray:
+    """How many items each two of the bags share, by products of 0/1 matrices
+    over the items that occur in several, a bounded number of columns at once."""
+    n = len(items)
+    out = np.zeros((n, n), np.float64)
+    every = np.concatenate(items)
+    row = np.repeat(np.arange(n), [len(x) for x in items])
+    _, column, times = np.unique(every, return_inverse=True, return_counts=True)
+    several = np.flatnonzero(times > 1)
+    number = np.full(len(times), -1)
+    number[several] = np.arange(len(several))
+    column = number[column]
+    row, column = row[column >= 0], column[column >= 0]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for lo in range(0, len(several), width):
+        a, b = np.searchsorted(column, (lo, lo + width))
+        part = np.zeros((n, min(width, len(several) - lo)), np.float32)
+        part[row[a:b], column[a:b] - lo] = 1
+        out += part @ part.T
+    return out
+
+
+def crowd_links(crowds: DataFrame, bands: DataFrame, bags: DataFrame, similarity: float, block: int) -> DataFrame:
+    """Verified links (u, v) between different components of each crowd.
+
+    ``crowds``: (crowd, fp, root).  A crowd with several components is dealt into
+    blocks of about ``block`` members; each pair of blocks is one group, whose
+    size is bounded whatever the crowd's.  Inside it, members of different
+    components that share a band are compared exactly, by one matrix of common
+    shingles; bags with repeats among them one by one.  Only links leave."""
+    parts = crowds.groupBy("crowd", "root").agg(F.count(F.lit(1)).alias("n"))
+    open_ = parts.groupBy("crowd").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    own = crowds.join(open_.select("crowd", blocks.alias("blocks")), "crowd") \
+        .withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    cells = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
+        .select("crowd", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "fp", "root")
+    rows = cells.join(bags, "fp").join(bands.select("fp", "bands"), "fp")
+
+    def compare(pdf):
+        import pandas as pd
+        names, own_block = pdf["fp"].tolist(), pdf["own"].to_numpy()
+        root = pd.factorize(pdf["root"])[0]
+        keys = np.stack(pdf["bands"].to_numpy())
+        items = [np.frombuffer(x, "<u8") for x in pdf["items"]]
+        counts = [np.frombuffer(x, "<u4") for x in pdf["counts"]]
+        apart = root[:, None] != root[None, :]
+        if pdf["a"].iat[0] != pdf["b"].iat[0]:
+            apart &= own_block[:, None] != own_block[None, :]
+        shared = np.zeros(apart.shape, bool)
+        for k in range(keys.shape[1]):
+            shared |= keys[:, k][:, None] == keys[:, k][None, :]
+        common = common_items(items)
+        size = np.array([len(x) for x in items], np.float64)
+        plain = np.array([bool((c == c[0]).all()) for c in counts])
+        # where no shingle repeats, or all of them alike, the measure is common / union
+        exact = common / (size[:, None] + size[None, :] - common)
+        both = plain[:, None] & plain[None, :]
+        near = np.where(both, exact >= similarity, True)
+        i, j = np.nonzero(np.triu(apart & shared & near, 1))
+        up, found = root.copy(), []
+        for x, y in zip(i.tolist(), j.tolist()):
+            if up[x] != up[y] and (both[x, y] or probability_jaccard(items[x], counts[x], items[y], counts[y]) >= similarity):
+                found.append((max(names[x], names[y]), min(names[x], names[y])))
+                up[up == up[y]] = up[x]
+        return pd.DataFrame(found, columns=["u", "v"])
+
+    return rows.groupBy("crowd", "a", "b").applyInPandas(compare, "u binary, v binary")
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY,
-                small: int = SMALL, levels: int = LEVELS) -> DataFrame:
+                block: int = BLOCK) -> DataFrame:
     """(id, t, class_id, group_id), one row per document row; ``t`` is the
     xxhash64 of the text."""
     rows = stored(sketches(docs, id_col, text_col))
     named = rows.filter(F.col("fp").isNotNull())
     classes = named.groupBy("fp").agg(F.min(F.struct("id", "t")).alias("of")).select("fp", "of.id", "of.t")
     reps = named.join(classes, ["fp", "id", "t"], "left_semi").dropDuplicates(["fp"])
-    bands = reps.select("fp", F.posexplode("bands").alias("level", "key"))
-    shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    # a bucket is told by its key; (band, band key) pairs of a member are kept to split buckets later
-    own = stored(bands.join(shared, "key").select("fp", F.col("level").alias("band"), F.col("key").alias("band_key")))
-    nodes = own.select("fp").distinct()
-    wanted = nodes.join(classes, "fp")
-    bags = stored(bags_of(docs, wanted, nodes.count(), id_col, text_col))
-    members = own.select("fp", F.col("band_key").alias("key"), F.col("band").alias("last"))
-    links, checked, found = None, None, None
-    for level in range(1, levels + 1):
-        star = members.join(leaders(members), "key").filter("fp <> leader") \
-            .select(F.greatest("fp", "leader").alias("u"), F.least("fp", "leader").alias("v")).distinct()
-        for pairs in (star, None):
-            if pairs is None:
-                state = stored(labelled(members, found))
-                parts = state.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-                open_ = parts.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("within"),
-                                                 F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-                cross = (F.col("n") * F.col("n") - F.col("within")) / 2
-                state = stored(state.join(open_.withColumn("cross", cross).select("key", "cross"), "key"))
-                now = state if level == levels else state.filter(F.col("cross") <= small)
-                other = now.select("key", F.col("fp").alias("fp2"), F.col("root").alias("root2"))
-                pairs = now.join(other, "key").filter((F.col("root") < F.col("root2"))) \
-                    .select(F.greatest("fp", "fp2").alias("u"), F.least("fp", "fp2").alias("v")).distinct()
-            pairs = stored(pairs if checked is None else pairs.join(checked, ["u", "v"], "left_anti"))
-            checked = pairs if checked is None else checked.unionByName(pairs)
-            new = stored(verified(pairs, bags, similarity))
-            links = new if links is None else links.unionByName(new)
-            found = components(links)
-        rest = state.filter(F.col("cross") > small).select("key", "fp", "last")
-        if level == levels or rest.isEmpty():
-            break
-        # split: members of a bucket that also share a further band
-        deeper = rest.join(own, "fp").filter(F.col("band") > F.col("last")) \
-            .select("fp", F.xxhash64("key", "band_key").alias("key"), F.col("band").alias("last"))
-        crowd = deeper.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-        members = stored(deeper.join(crowd, "key"))
-        if members.isEmpty():
-            break
-    groups = labelled(classes, found)
+    keys = reps.select("fp", F.explode("bands").alias("key"))
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    members = stored(keys.join(shared, "key"))
+    nodes = members.select("fp").distinct()
+    wanted = stored(nodes.join(reps.select("fp", "id", "t", "bands"), "fp"))
+    bags = stored(bags_of(docs, wanted, wanted.count(), id_col, text_col))
+    crowds = stored(members.select("key", "fp").join(leaders(members), "key").select(F.col("leader").alias("crowd"), "fp").distinct())
+    star = crowds.filter("crowd <> fp").select(F.greatest("fp", "crowd").alias("u"), F.least("fp", "crowd").alias("v")).distinct()
+    links = stored(verified(star, bags, similarity))
+    found = components(links)
+    more = stored(crowd_links(labelled(crowds, found), wanted, bags, similarity, block))
+    if not more.isEmpty():
+        found = components(links.unionByName(more))
+    groups = stored(labelled(classes, found))
     least = groups.groupBy("root").agg(F.min("id").alias("group_id"))
     table = groups.join(least, "root").select("fp", F.col("id").alias("class_id"), "group_id")
     out = rows.select("id", "t", "fp").join(table, "fp", "left")
