@@ -26,7 +26,9 @@ reaches the driver.
 
 Defined cases: a text of one to four words is one shingle; texts without a word
 (NULL and empty ones among them) are alone in their groups; equal measures need
-no tie-break, groups take their least id; repeated rows are members of one class;
+no tie-break, groups take their least id; rows with a NULL id are members like any
+other and go where their group holds an id, and of a group without any the least
+text hash stays; repeated rows are members of one class;
 an empty table gives an empty result; other columns may have any name.
 """
 
@@ -176,11 +178,16 @@ def verified(pairs: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
     return both.mapInArrow(run, "u binary, v binary")
 
 
+def same_rows(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+    """Join on (__id, __t) where a NULL id equals another."""
+    return left.alias("l").join(right.alias("r"), F.col("l.__id").eqNullSafe(F.col("r.__id")) & (F.col("l.__t") == F.col("r.__t")), how)
+
+
 def bags_of(docs: DataFrame, wanted: DataFrame, n_wanted: int, id_col: str, text_col: str) -> DataFrame:
     """(fp, items, counts) of the wanted classes, read from one row of each."""
     ids = wanted.select(F.col("id").alias("__id"), F.col("t").alias("__t"))
     rows = docs.select(F.col(id_col).alias("__id"), F.xxhash64(F.col(text_col)).alias("__t"), F.col(text_col).alias("text"))
-    rows = rows.join(F.broadcast(ids) if n_wanted <= MAX_BROADCAST else ids, ["__id", "__t"], "left_semi").select("text")
+    rows = same_rows(rows, F.broadcast(ids) if n_wanted <= MAX_BROADCAST else ids, "left_semi").select("text")
 
     def run(batches):
         import pyarrow as pa
@@ -301,14 +308,15 @@ def crowd_links(crowds: DataFrame, bands: DataFrame, bags: DataFrame, similarity
     return rows.groupBy("crowd", "a", "b").applyInPandas(compare, "u binary, v binary")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY,
-                block: int = BLOCK) -> DataFrame:
-    """(id, t, class_id, group_id), one row per document row; ``t`` is the
-    xxhash64 of the text."""
+def _grouped(docs: DataFrame, id_col: str, text_col: str, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """(id, t, fp, class_id, group_id, keep), one row per document row."""
     rows = stored(sketches(docs, id_col, text_col))
     named = rows.filter(F.col("fp").isNotNull())
-    classes = named.groupBy("fp").agg(F.min(F.struct("id", "t")).alias("of")).select("fp", "of.id", "of.t")
-    reps = named.join(classes, ["fp", "id", "t"], "left_semi").dropDuplicates(["fp"])
+    # proper ids before NULL ones; all rows of a class have the same bands
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "t")
+    reps = stored(named.groupBy("fp").agg(F.min(place).alias("of"), F.min_by("bands", place).alias("bands"))
+                  .select("fp", "of.id", "of.t", "bands"))
+    classes = reps.select("fp", "id", "t")
     keys = reps.select("fp", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = stored(keys.join(shared, "key"))
@@ -323,28 +331,45 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if not more.isEmpty():
         found = components(links.unionByName(more))
     groups = stored(labelled(classes, found))
-    least = groups.groupBy("root").agg(F.min("id").alias("group_id"))
-    table = groups.join(least, "root").select("fp", F.col("id").alias("class_id"), "group_id")
+    least = groups.groupBy("root").agg(F.min(place).alias("of")).select("root", F.col("of.id").alias("group_id"), F.col("of.t").alias("of_t"))
+    table = groups.join(least, "root").select("fp", F.col("id").alias("class_id"), "group_id", "of_t")
     out = rows.select("id", "t", "fp").join(table, "fp", "left")
-    return out.select(F.col("id").alias(id_col), "t", F.coalesce("class_id", "id").alias("class_id"),
-                      F.coalesce("group_id", "id").alias("group_id"))
+    keep = F.col("fp").isNull() | F.col("id").eqNullSafe(F.col("group_id")) & (F.col("id").isNotNull() | (F.col("t") == F.col("of_t")))
+    return out.select("id", "t", "fp", F.coalesce("class_id", "id").alias("class_id"),
+                      F.coalesce("group_id", "id").alias("group_id"), keep.alias("keep"))
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY,
+                block: int = BLOCK) -> DataFrame:
+    """(id, t, class_id, group_id, keep), one row per document row; ``t`` is the
+    xxhash64 of the text."""
+    g = _grouped(docs, id_col, text_col, similarity, block)
+    return g.select(F.col("id").alias(id_col), "t", "class_id", "group_id", "keep")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one document of each group, the one with the least id."""
-    groups = stored(near_groups(docs, id_col, text_col, **options))
-    lost = groups.filter(F.col(id_col) != F.col("group_id")).select(F.col(id_col).alias("__id"), F.col("t").alias("__t")).distinct()
+    groups = stored(_grouped(docs, id_col, text_col, **options))
+    lost = groups.filter(~F.col("keep")).select(F.col("id").alias("__id"), F.col("t").alias("__t")).distinct()
     n_lost = lost.count()
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), F.col(id_col).alias("__id"),
                         F.xxhash64(F.col(text_col)).alias("__t"))
-    kept = keyed.join(F.broadcast(lost) if n_lost <= MAX_BROADCAST else lost, ["__id", "__t"], "left_anti")
-    repeated = groups.filter(F.col(id_col).isNotNull()).groupBy(id_col).count().filter("count > 1")
-    if not repeated.isEmpty():  # repeated rows: one of each stays; rows without an id are told apart by nothing else
+    kept = same_rows(keyed, F.broadcast(lost) if n_lost <= MAX_BROADCAST else lost, "left_anti")
+    # repeated rows: one of each stays
+    repeated = groups.filter(F.col("id").isNotNull()).groupBy("id").count().filter("count > 1")
+    if not repeated.isEmpty():
         kept = kept.filter(F.col("__id").isNull()).unionByName(
             kept.filter(F.col("__id").isNotNull()).dropDuplicates(["__id", "__t"]))
+    # rows without an id are told apart by their text, and by nothing where that has no word
+    twins = groups.filter(F.col("keep") & F.col("id").isNull() & F.col("fp").isNotNull()).groupBy(F.col("t").alias("__t")).count() \
+        .filter("count > 1").select("__t")
+    if not twins.isEmpty():
+        bare = kept.filter(F.col("__id").isNull())
+        kept = kept.filter(F.col("__id").isNotNull()).unionByName(bare.join(twins, "__t", "left_anti").select(*kept.columns)) \
+            .unionByName(bare.join(twins, "__t", "left_semi").dropDuplicates(["__t"]).select(*kept.columns))
     return kept.select("whole.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = near_groups(read(spark, sf_dir, "documents"))
-    return g.select("doc_id", "class_id", "group_id", (F.col("doc_id") == F.col("group_id")).alias("keep"))
+    return g.select("doc_id", "class_id", "group_id", "keep")

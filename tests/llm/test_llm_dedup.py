@@ -216,6 +216,22 @@ def test_drop_near_duplicates(spark):
     assert sorted(r["fp"] for r in out.collect()) == ["a", "c", "d", "e"]
 
 
+def test_rows_without_id_beside_copies(spark):
+    base, near = star(3)
+    alone, other = "words that no proper id holds at all", "Words, that no proper id holds - at all!"
+    docs = [(None, base), (5, base), (6, base), (7, near[0]), (None, near[1]), (None, alone), (None, alone), (None, other),
+            (None, None), (None, None), (None, ""), (9, "something else entirely is said in here")]
+    out = spark.createDataFrame([(i, x, k) for k, (i, x) in enumerate(docs)], "doc_id long, text string, k int")
+    rows = N.near_groups(out).collect()
+    of_base = [r for r in rows if r["group_id"] == 5]
+    assert sorted((r["doc_id"] or 0) for r in of_base) == [0, 0, 5, 6, 7]
+    assert [r["doc_id"] for r in of_base if r["keep"]] == [5] and all(r["keep"] is not None for r in rows)
+    assert {r["class_id"] for r in of_base if r["doc_id"] in (5, 6)} == {5}
+    kept = [r["k"] for r in N.drop_near_duplicates(out).collect()]
+    assert sorted(k for k in kept if k not in (5, 6, 7)) == [1, 8, 9, 10, 11]
+    assert sum(k in (5, 6, 7) for k in kept) == 1
+
+
 def test_components(spark):
     edges = [(f"n{i:03}", f"n{i + 1:03}") for i in range(60)] + [("z1", "z2"), ("z2", "z3"), ("z3", "z1"), ("z1", "z1")]
     found = {r["node"]: r["root"] for r in N.components(spark.createDataFrame(edges, "u string, v string")).collect()}
