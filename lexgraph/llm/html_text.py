@@ -2,8 +2,8 @@
 
 Every page is cut into tags and texts and kept as a flat node list in document
 order (no recursion, so depth does not matter).  Elements that are never main
-text -- by tag, role, hidden state or name -- are left out first.  Then, for
-every node:
+text -- by tag, role or hidden state -- are left out first, then those whose
+name and place or density tell the same (``_drop_named``).  Then, for every node:
 
 * density = characters per tag, with its logarithm weight lowered by the links:
   ``C/T * log_b(C/LC * T/LT)``, ``b = ln(C/nLC * LC + LCbody/Cbody * C + e)``;
@@ -61,9 +61,14 @@ NOT_MAIN = frozenset(
     "paywall trending".split())
 COMMENTS = frozenset("comment comments commentlist disqus respond reply replies responses".split())
 ARTICLE_WORDS = frozenset("article entry post content story main".split())
+# Words that only say where or what box a named element is.
+BOX_WORDS = frozenset(
+    "area bar block body bottom box buttons button container fixed form group inner item items left link links list main "
+    "outer panel post posts article articles results right section site slot sticky thread top unit wrap wrapper".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""")
-ATTR = re.compile(r"""(?<![\w-])(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+ATTR = re.compile(r"""([^\s"'>/=][^\s"'>/=]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?|"[^"]*"|'[^']*'""")
 NAME = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+")
 RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 
@@ -83,26 +88,42 @@ def _named_out(names: str, known: frozenset) -> bool:
     return False
 
 
-def _left_out(tag: str, attrs: str, in_article: bool, by_name: bool) -> int:
-    """0: may be main text; 1: not, but an article inside may; 2: not."""
-    if tag in HARD:
-        return 2
+def _name_kind(names: str) -> int:
+    """0: no known word; 1: known and other words; 2: known words and words
+    for boxes only; 3: the same, and it holds comments."""
     kind = 0
+    for name in names.split():
+        if _named_out(name, NOT_MAIN):
+            words = {w.lower() for w in NAME.findall(name)}
+            sure = words <= NOT_MAIN | BOX_WORDS
+            kind = max(kind, 1 + sure + (sure and _named_out(name, COMMENTS)))
+    return kind
+
+
+def _left_out(tag: str, attrs: str, in_article: bool, by_name: bool) -> tuple[int, int]:
+    """(0: may be main text; 1: not, but an article inside may; 2: not) and
+    what the element's names tell (``_name_kind``)."""
+    if tag in HARD:
+        return 2, 0
+    kind = named = 0
     if tag in SOFT and not (tag == "header" and in_article):
         kind = 1
     if attrs and not attrs.isspace():
+        seen = set()
         for key, value in ATTR.findall(attrs):
             key, value = key.lower(), value.strip("\"'")
+            if not key or key in seen:  # the first of a repeated attribute holds
+                continue
+            seen.add(key)
             if key == "hidden" and value.lower() != "false" or key == "aria-hidden" and value.lower() == "true":
-                return 2
+                return 2, 0
             if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return 2
+                return 2, 0
             if key == "role" and value.lower() in ROLES and tag not in ("body", "main", "article"):
                 kind = max(kind, 1)
-            if by_name and key in ("class", "id") and tag not in ("html", "body", "main"):
-                if _named_out(value, COMMENTS if tag == "article" else NOT_MAIN):
-                    return 2
-    return kind
+            if by_name and key in ("class", "id") and tag not in ("html", "body", "main") and tag not in HEADINGS:
+                named = max(named, _name_kind(value))
+    return kind, named
 
 
 class Page:
@@ -111,6 +132,7 @@ class Page:
 
     def __init__(self, source: str, by_name: bool = True, drop_forms: bool = True):
         self.tag, self.parent, self.out, self.first, self.last = ["#root"], [-1], [0], [0], [0]
+        self.named = [0]
         self.events: list = []
         self.by_name, self.drop_forms = by_name, drop_forms
         self._stack = [0]
@@ -119,6 +141,8 @@ class Page:
         while len(self._stack) > 1:
             self._pop()
         self.last[0] = len(self.events)
+        if any(self.named):
+            self._drop_named()
 
     def _pop(self):
         n = self._stack.pop()
@@ -159,12 +183,13 @@ class Page:
         n = len(tags)
         tags.append(tag)
         self.parent.append(up)
-        kind = _left_out(tag, attrs, bool(live.get("article") or live.get("main")), self.by_name)
+        kind, named = _left_out(tag, attrs, bool(live.get("article") or live.get("main")), self.by_name)
         if tag == "form" and not self.drop_forms and kind == 1:
             kind = 0
         if self.out[up] == 2 or self.out[up] == 1 and tag not in ("article", "main"):
             kind = max(kind, self.out[up])
         self.out.append(kind)
+        self.named.append(named)
         self.first.append(len(self.events))
         self.last.append(len(self.events))
         self.events.append((n, None))
@@ -269,10 +294,61 @@ class Page:
                 p = parent[i]
                 total[p] += density[i]
                 has_child[p] = True
-        return body, chars, links, n_links, density, total
+        return body, chars, links, n_tags, n_links, density, total
+
+    def _drop_named(self):
+        """Leave out elements whose names tell that they are no main text.
+
+        The holder is the article with the most text beside links or, on a page
+        without one, the smallest element with more than half of it.  Names
+        never count on the holder and what encloses it.  Outside the holder
+        known names alone are enough, others must be less dense than the body;
+        inside, comments go, link blocks go, and boxes with known names go where
+        they are less dense than the holder."""
+        tags, parent, out, named = self.tag, self.parent, self.out, self.named
+        body, chars, links, n_tags, _, _, _ = self.densities()
+        n = len(tags)
+        plain = [c - x for c, x in zip(chars, links)]
+        # characters beside links per tag: the composite density's logarithm says little on the few words of a box
+        density = [c / max(t, 1) for c, t in zip(plain, n_tags)]
+        comment = [False] * n
+        for i in range(1, n):
+            comment[i] = named[i] == 3 or comment[parent[i]]
+        own = [i for i in range(n) if tags[i] in ("article", "main") and not out[i] and not comment[i]]
+        if own:
+            holder = max(own, key=lambda i: (plain[i], -i))
+        else:
+            said = sum(plain[i] for i in range(n) if named[i] == 3 and not comment[parent[i]])
+            rest = plain[body] - said
+            holder = -1
+            for i in range(n):  # children come after their parents, so the last that fits is the smallest
+                if i != body and tags[i] in BLOCK and tags[i] != "html" and not out[i] and not comment[i] and 2 * plain[i] > rest:
+                    holder = i
+        while not own and holder > 0 and tags[holder] in TEXT_PARTS:
+            holder = parent[holder]
+        around, x = set(), holder
+        while x >= 0:
+            around.add(x)
+            x = parent[x]
+        inside = [False] * n
+        for i in range(1, n):
+            inside[i] = inside[parent[i]] or i == holder and i != body
+            if out[parent[i]] == 2:
+                out[i] = 2
+            if not named[i] or out[i] or i in around or tags[i] not in BLOCK and tags[parent[i]] in TEXT_PARTS:
+                continue
+            if tags[i] == "article" and named[i] != 3:
+                continue
+            if inside[i]:
+                box = named[i] == 2 and tags[i] in ("div", "ul", "ol") and density[i] < density[holder]
+                gone = named[i] == 3 or box or 2 * links[i] >= chars[i] > 0
+            else:
+                gone = named[i] > 1 or density[i] < density[body]
+            if gone:
+                out[i] = 2
 
     def main_text(self) -> str:
-        body, chars, links, n_links, density, total = self.densities()
+        body, chars, links, _, n_links, density, total = self.densities()
         n, parent, tags = len(self.tag), self.parent, self.tag
         if not chars[body]:
             body = 0

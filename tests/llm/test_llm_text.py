@@ -26,6 +26,22 @@ def test_extraction(html, want):
     assert html_text.extract_text(html) == want
 
 
+@pytest.mark.parametrize("html, want", [
+    (f"<article><h1>T</h1><h2 id='search-algorithms'>Search</h2><p>{FILL}</p><section id='related-work'><h2>Work</h2><p>Also.</p>"
+     f"</section><p class=notice>Mind.</p><p>{FILL}</p><div class=share>Tell</div><div class='related-posts'><a href=a>one</a></div>"
+     f"<div id=comments><p>{FILL}</p></div></article>",
+     f"T\n\nSearch\n\n{FILL.strip()}\n\nWork\n\nAlso.\n\nMind.\n\n{FILL.strip()}"),
+    (f"<div class='sidebar-right'><article><p>{FILL}</p><p>{FILL}</p></article></div><p>Other text.</p>",
+     f"{FILL.strip()}\n\n{FILL.strip()}"),
+    (f"<div class='header-fixed'><div><h2>H</h2><p>{FILL}</p><p>{FILL}</p></div></div><p class=copyright>Other text.</p>",
+     f"H\n\n{FILL.strip()}\n\n{FILL.strip()}"),
+    (f"<article><p title='the hidden cost'>{FILL}</p><p><a href='/x?id=ad-1'>here</a> {FILL}</p></article>",
+     f"{FILL.strip()}\n\nhere {FILL.strip()}"),
+])
+def test_names_cut_no_article_text(html, want):
+    assert html_text.extract_text(html) == want
+
+
 def test_extraction_of_a_very_long_page():
     body = "".join(f"<p>paragraph {i} &lt;{i}&gt;</p>" for i in range(20_000))
     text = html_text.extract_text(f"<html><body><article>{body}</article></body></html>")
