@@ -67,6 +67,15 @@ def test_given_pages_match_their_articles(spark, sf):
         assert squeeze(r["text"]) == squeeze("".join(blocks)) and r["n_chars"] == len(r["text"])
 
 
+def test_given_pages_without_article_tags(spark, sf):
+    """Density, sums and threshold alone find the same text."""
+    import re
+    for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
+        plain = re.sub(r"<(/?)(?:article|main)(?=[\s>])", r"<\1div", r["html"])
+        assert not re.search("<(article|main)", plain)
+        assert html_text.extract_text(plain) == html_text.extract_text(r["html"])
+
+
 # ----------------------------------------------------------------- preferences
 def test_preference_pairs(spark):
     turns = [
