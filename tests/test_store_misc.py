@@ -3,6 +3,7 @@
 import os
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lexgraph.operators import embed as EM
@@ -97,3 +98,35 @@ def test_literal_propagation_matches_numpy(spark):
             Fn[k, v] = 1
         Fm = Fn
     assert max(abs(got[i][0] - Fm[i, 0]) + abs(got[i][1] - Fm[i, 1]) for i in range(n)) < 1e-9
+
+
+def test_literal_propagation_reaches_its_tolerance_or_raises(spark):
+    from lexgraph.operators.kwgraph import propagate_rows
+    rng = np.random.default_rng(5)
+    n = 30
+    W = np.zeros((n, n))
+    for i in range(n):
+        for j in rng.choice(n, 3, replace=False):
+            if i != j:
+                W[i, j] = W[j, i] = 0.1 * rng.random()
+    e = spark.createDataFrame([(f"n{i:02}", f"n{j:02}", float(W[i, j])) for i in range(n) for j in range(n) if W[i, j] > 0],
+                              "src string, dst string, w double")
+    seeds = {i: i // 3 % 2 for i in range(0, n, 3)}
+    sdf = spark.createDataFrame([(7, f"n{i:02}", v) for i, v in seeds.items()], "keyword_id int, id string, seed int")
+    with pytest.raises(RuntimeError):
+        propagate_rows(e, sdf, iters=2, tol=1e-9)
+    got = {r.id: r.f1 for r in propagate_rows(e, sdf, tol=1e-3).collect()}
+    K = np.exp(-20 * ((W[:, None, :] - W[None, :, :]) ** 2).sum(-1))
+    x = np.zeros((n, 2))
+    for i, v in seeds.items():
+        x[i, v] = 1
+    held = x[list(seeds)]
+    for _ in range(1000):
+        y = K @ x
+        y /= y.sum(1, keepdims=True)
+        y[list(seeds)] = held
+        x, d = y, np.abs(y - x).sum()
+        if d < 1e-3:
+            break
+    live = [i for i in range(n) if W[i].any()]
+    assert set(got) == {f"n{i:02}" for i in live} and max(abs(got[f"n{i:02}"] - x[i, 1]) for i in live) < 1e-9
