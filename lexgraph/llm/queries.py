@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexgraph.llm import (decontaminate, html_text, line_dedup, near_dedup, ngram_lm, one_bit_search, packing, preferences,
+from lexgraph.llm import (decontaminate, filter_audit, html_text, line_dedup, near_dedup, ngram_lm, one_bit_search, packing, preferences,
                           toxicity, trie_counts)
 
 QUERIES = {
@@ -16,10 +16,12 @@ QUERIES = {
     "op8_decontaminate": decontaminate.query,
     "op9_toxicity": toxicity.query,
     "op10_trie_counts": trie_counts.query,
+    "op13_filter_audit": filter_audit.query,
 }
 
 ORACLES = {
     "op5_line_dedup": line_dedup.SQL,
     "op7_preferences": preferences.SQL,
     "op8_decontaminate": decontaminate.SQL,
+    "op13_filter_audit": filter_audit.SQL,
 }
