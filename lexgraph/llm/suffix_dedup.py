@@ -14,15 +14,17 @@ all byte positions only where a repeat begins or ends:
    copies is one task.  Positions whose first rank is unique leave.  Of equal
    pairs all but the first have only repeated windows (marks).  Firsts that share
    their first rank with another pair stay.
-3. Those few come back with their bytes, are sorted once more, and all their byte
-   positions are ranked by doubling (8, 16, 32, 64, ... bytes, the last step overlapping)
-   inside the sorted ranges; windows that become unique leave in between.
+3. Those few get their bytes and grow: windows that begin far before the
+   position share 3/10 ``min_bytes`` more bytes to its left, the others to its
+   right.  Spark sorts these longer strings, again by ranges; whoever is alone leaves,
+   and all byte positions of the others are ranked by doubling (8, 16, 32, 64, ...
+   bytes, the last step overlapping) inside the ranges.
 4. What a range's first and last groups cannot decide alone (their windows may be
    in the neighbouring range) is decided by an aggregate over the windows of these.
 5. Marks return to their documents, which are cut in their rows.
 
-Ranks of step 2 are 64-bit hashes of the strings (both must agree), those of step
-3 are exact.
+Ranks up to step 3 are 64-bit hashes of the strings (in step 2 both must agree),
+those of the doubling are exact.
 
 Defined cases: a NULL text is empty; texts shorter than a window lose nothing;
 rows that share an id (NULL ids too, which come before all others) count as one
@@ -45,7 +47,6 @@ from lexgraph.llm.common import chunks_of, read, stored
 
 MIN_BYTES = 100
 SEGMENT = 1 << 20          # bytes of text that are hashed at once
-BROADCAST_BYTES = 64 << 20  # places of step 3 that go to the texts instead of the other way round
 RANK_ROWS = 4096           # owned positions that are ranked by doubling at once
 
 _ODD = 0x9E3779B97F4A7C15
@@ -115,9 +116,10 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def owned_positions(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(h, g, id, start, n): the owned positions; their ``n`` windows start at ``start``."""
+    """(h, g, id, start, na): the owned positions, ``na >> 16`` bytes after ``start``,
+    where the first of their ``na & 65535`` windows starts."""
     schema = T.StructType([T.StructField("h", T.LongType()), T.StructField("g", T.LongType()), T.StructField("id", docs.schema[id_col].dataType),
-                           T.StructField("start", T.LongType()), T.StructField("n", T.IntegerType())])
+                           T.StructField("start", T.LongType()), T.StructField("na", T.IntegerType())])
 
     def run(batches):
         import pyarrow as pa
@@ -138,7 +140,7 @@ def owned_positions(docs: DataFrame, size: int, id_col: str = "doc_id", text_col
                 start = s - begin[k] + np.array([q[1] for q in piece])[k]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(x[own[s]].view(np.int64)), pa.array(hashes.of(c, s, e + size).view(np.int64)),
-                     ids.take(pa.array(np.array([q[0] for q in piece])[k])), pa.array(start), pa.array((e - s + 1).astype(np.int32))], names=schema.names)
+                     ids.take(pa.array(np.array([q[0] for q in piece])[k])), pa.array(start), pa.array((own[s] - s << 16 | e - s + 1).astype(np.int32))], names=schema.names)
 
     return _texts(docs, id_col, text_col).mapInArrow(run, schema)
 
@@ -152,10 +154,10 @@ def _differs(a) -> np.ndarray:
 
 
 def rank_pairs(owned: DataFrame) -> DataFrame:
-    """(id, start, n, h, g, marked) of sorted pairs: marked ones have an equal pair
+    """(id, start, na, h, g, marked) of sorted pairs: marked ones have an equal pair
     before them; the others are the firsts of pairs whose ``h`` others may have too."""
     by = ["h", "g", "id", "start"]
-    schema = T.StructType([owned.schema[c] for c in ("id", "start", "n", "h", "g")] + [T.StructField("marked", T.BooleanType())])
+    schema = T.StructType([owned.schema[c] for c in ("id", "start", "na", "h", "g")] + [T.StructField("marked", T.BooleanType())])
 
     def run(batches):
         import pyarrow as pa
@@ -173,40 +175,82 @@ def rank_pairs(owned: DataFrame) -> DataFrame:
             stays = new & ((pairs > 1) | (group == 0) | (group == group[-1]))
             keep = np.flatnonzero(marked | stays)
             rows = b.take(pa.array(keep))
-            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("id", "start", "n", "h", "g")), pa.array(marked[keep])], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("id", "start", "na", "h", "g")), pa.array(marked[keep])], names=schema.names)
 
     return owned.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(run, schema)
 
 
-def bytes_of(docs: DataFrame, firsts: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """(h, id, start, n, data): the bytes that the windows of these positions cover."""
-    per = firsts.groupBy("id").agg(F.collect_list(F.struct("start", "n", "h", "g")).alias("places")).withColumnRenamed("id", "at_id")
-    if firsts.count() * 48 <= BROADCAST_BYTES:
-        per = F.broadcast(per)  # its size is checked; beyond it, texts meet their places in a shuffle
-    else:
-        per = per.hint("shuffle_hash")
+def _with_places(docs: DataFrame, places: DataFrame, how: str, id_col: str, text_col: str) -> DataFrame:
+    """(id, text, places): texts with the places of their id, which are the build side;
+    a document has at most as many as it is long."""
+    fields = [c for c in places.columns if c != "id"]
+    per = places.repartition("id").groupBy("id").agg(F.collect_list(F.struct(*fields)).alias("places")).withColumnRenamed("id", "at_id")
     texts = _texts(docs, id_col, text_col)
-    schema = T.StructType([firsts.schema[c] for c in ("h", "id", "start", "n")] + [T.StructField("data", T.BinaryType())])
+    return texts.join(per.hint("shuffle_hash"), texts["id"].eqNullSafe(per["at_id"]), how).select("id", "text", "places")
+
+
+def _located(b, size: int, hashes: Hashes, covered, check):
+    """Of a batch of (text, places): (bytes, offsets of the texts, places, their texts,
+    their starts in the bytes), without places that another text of the id has.
+    ``covered(places)`` gives the bytes a place covers, ``check(places, hashes)`` the true ones."""
+    texts, lists = b.column("text"), b.column("places")
+    off = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, texts.offset * 4).astype(np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[off[0]:off[-1]]
+    off = off - off[0]
+    places = {f.name: lists.flatten().field(f.name).to_numpy(zero_copy_only=False) for f in lists.type.value_type}
+    row = np.repeat(np.arange(len(texts)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    at = off[row] + places["start"]
+    order = np.argsort(at, kind="stable")
+    order = order[(at + covered(places) <= off[1:][row])[order]]
+    places, row, at = {k: v[order] for k, v in places.items()}, row[order], at[order]
+    true = np.zeros(len(at), bool)
+    for lo in range(0, len(data), SEGMENT):
+        x, y = np.searchsorted(at, [lo, lo + SEGMENT])
+        if x < y:
+            c, part = hashes.prefixes(data[lo:lo + SEGMENT + 4 * size]), {k: v[x:y] for k, v in places.items()}
+            true[x:y] = check(part, hashes.of(c, at[x:y] - lo, at[x:y] - lo + covered(part)))
+    return data, off, {k: v[true] for k, v in places.items()}, row[true], at[true]
+
+
+def sides_of(docs: DataFrame, firsts: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
+    """(h, id, start, n, data): for each of the ``firsts``, the windows that begin at
+    least half way before the owned position, and the others: the rank ``h`` of
+    the string common to them, and the bytes ``data`` that they cover."""
+    schema = T.StructType([T.StructField("h", T.LongType()), firsts.schema["id"], T.StructField("start", T.LongType()),
+                           T.StructField("n", T.IntegerType()), T.StructField("data", T.BinaryType())])
+    h = 2 * size // 5
+    half = (size - h + 1) // 2
 
     def run(batches):
         import pyarrow as pa
-        hashes = Hashes(4 * size)
-        for b in chunks_of(batches, 1024, "text", 4 << 20):
-            rows = []
-            for i, text, places in zip(range(b.num_rows), b.column("text").to_pylist(), b.column("places").to_pylist(), strict=True):
-                data = text or b""
-                for p in places:
-                    part = data[p["start"]:p["start"] + p["n"] - 1 + size]
-                    c = hashes.prefixes(np.frombuffer(part, np.uint8))
-                    # another row of this id may have another text
-                    if len(part) == p["n"] - 1 + size and int(hashes.of(c, [0], [len(part)]).view(np.int64)[0]) == p["g"]:
-                        rows.append((p["h"], i, p["start"], p["n"], part))
-            if rows:
-                h, i, start, n, part = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), b.column("id").take(pa.array(i)), pa.array(start, pa.int64()),
-                                                  pa.array(n, pa.int32()), pa.array(part, pa.binary())], names=schema.names)
-
-    return texts.join(per, texts["id"].eqNullSafe(per["at_id"])).select("id", "text", "places").mapInArrow(run, schema)
+        hashes = Hashes(SEGMENT + 4 * size)
+        for b in chunks_of(batches, 4096, "text", 4 << 20):
+            data, _, p, row, at = _located(b, size, hashes, lambda p: (p["na"] & 65535) - 1 + size,
+                                           lambda p, x: x.view(np.int64) == p["g"])
+            n, a = (p["na"] & 65535).astype(np.int64), (p["na"] >> 16).astype(np.int64)
+            for lo in range(0, len(data), SEGMENT):
+                x, y = np.searchsorted(at, [lo, lo + SEGMENT])
+                if x == y:
+                    continue
+                c = hashes.prefixes(data[lo:lo + SEGMENT + 4 * size])
+                anchor = at[x:y] - lo + a[x:y]
+                far = np.clip(a[x:y] - half + 1, 0, n[x:y])  # windows 0 .. far - 1 begin at least half way before
+                for side, first, count, begin, end in ((0, np.zeros_like(far), far, anchor - half, anchor + h),
+                                                       (1, far, n[x:y] - far, anchor, anchor + size - half + 1)):
+                    k = np.flatnonzero(count > 0)
+                    if not len(k):
+                        continue
+                    s, e = at[x:y][k] + first[k], at[x:y][k] + first[k] + count[k] - 1 + size
+                    key = hashes.of(c, begin[k], end[k]) ^ np.uint64(side)
+                    size_of = e - s
+                    ends = np.cumsum(size_of)
+                    flat = np.arange(ends[-1]) - np.repeat(ends - size_of, size_of) + np.repeat(s, size_of)
+                    spans = pa.Array.from_buffers(pa.binary(), len(k), [None, pa.py_buffer(np.r_[0, ends].astype(np.int32)), pa.py_buffer(data[flat])])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(key.view(np.int64)), b.column("id").take(pa.array(row[x:y][k])), pa.array(p["start"][x:y][k] + first[k]),
+                         pa.array(count[k].astype(np.int32)), spans], names=schema.names)
+
+    return _with_places(docs, firsts.select("id", "start", "na", "g"), "inner", id_col, text_col).mapInArrow(run, schema)
 
 
 def doubled_ranks(data: np.ndarray, windows: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -329,8 +373,8 @@ def repeated_places(docs: DataFrame, size: int = MIN_BYTES, id_col: str = "doc_i
     if size < 16:
         raise ValueError("min_bytes: at least 16")
     ranked = stored(rank_pairs(owned_positions(docs, size, id_col, text_col)))
-    marks = ranked.filter("marked").select("id", "start", "n", F.shiftrightunsigned("g", 33).cast("int").alias("v"))
-    spans = stored(bytes_of(docs, ranked.filter("NOT marked"), size, id_col, text_col))
+    marks = ranked.filter("marked").select("id", "start", F.col("na").bitwiseAND(65535).alias("n"), F.shiftrightunsigned("g", 33).cast("int").alias("v"))
+    spans = stored(sides_of(docs, ranked.filter("NOT marked"), size, id_col, text_col))
     windows = stored(rank_windows(spans, size))
     ends = windows.filter(F.col("w").isNotNull())
     first = ends.groupBy("w", "w2").agg(F.min(F.struct("id", "start")).alias("first"), F.count(F.lit(1)).alias("times")) \
@@ -339,54 +383,47 @@ def repeated_places(docs: DataFrame, size: int = MIN_BYTES, id_col: str = "doc_i
     return marks.unionByName(windows.filter(F.col("w").isNull()).select(*marks.columns)).unionByName(late.select(*marks.columns))
 
 
-def _cut(data: bytes, places, size: int, hashes: Hashes) -> tuple[bytes, int, int]:
-    """(bytes that stay, number removed, maximal removed runs)."""
-    edge = np.zeros(len(data) + 1, np.int64)
-    start = np.array([p["start"] for p in places], np.int64)
-    end = start + np.array([p["n"] for p in places], np.int64) - 1 + size
-    check = np.array([p["v"] for p in places], np.int64)
-    order = np.argsort(start, kind="stable")
-    start, end, check = start[order], end[order], check[order]
-    buf = np.frombuffer(data, np.uint8)
-    for at in range(0, len(data), SEGMENT):
-        lo, hi = np.searchsorted(start, [at, at + SEGMENT])
-        if lo == hi:
-            continue
-        c = hashes.prefixes(buf[at:at + SEGMENT + 2 * size])
-        s, e = start[lo:hi], end[lo:hi]
-        inside = e <= len(data)
-        s, e, v = s[inside], e[inside], check[lo:hi][inside]
-        # another row of this id may have another text
-        true = (hashes.of(c, s - at, e - at) >> np.uint64(33)).astype(np.int64) == v
-        np.add.at(edge, s[true], 1)
-        np.add.at(edge, e[true], -1)
-    gone = np.cumsum(edge[:-1]) > 0
-    runs = int((gone & ~np.r_[False, gone[:-1]]).sum())
-    return buf[~gone].tobytes(), int(gone.sum()), runs
+def _runs(off: np.ndarray, row: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, start, end) of the maximal runs of intervals sorted by start."""
+    if not len(row):
+        return row, start, end
+    reach = np.maximum.accumulate(end)  # texts lie one behind the other, so an earlier text never reaches into a later one
+    new = np.flatnonzero(np.r_[True, (start[1:] > reach[:-1]) | (row[1:] != row[:-1])])
+    return row[new], start[new], reach[np.r_[new[1:] - 1, len(row) - 1]]
 
 
 def cut_documents(docs: DataFrame, size: int = MIN_BYTES, id_col: str = "doc_id", text_col: str = "text", with_bytes: bool = False) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256[, kept]): every document without its repeats."""
     marks = repeated_places(docs, size, id_col, text_col)
-    # one exchange of the bare rows; a document's places are at most its length
-    per = marks.repartition("id").groupBy("id").agg(F.collect_list(F.struct("start", "n", "v")).alias("places")).withColumnRenamed("id", "at_id")
-    texts = _texts(docs, id_col, text_col)
-    joined = texts.join(per.hint("shuffle_hash"), texts["id"].eqNullSafe(per["at_id"]), "left").select("id", "text", "places")
+    joined = _with_places(docs, marks.select("id", "start", "n", "v"), "left", id_col, text_col)
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *T.StructType.fromDDL(
         "n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_bytes).fields])
 
     def run(batches):
         import pyarrow as pa
         hashes = Hashes(SEGMENT + 4 * size)
-        for b in chunks_of(batches, 1024, "text", 8 << 20):
-            rows = []
-            for text, places in zip(b.column("text").to_pylist(), b.column("places").to_pylist(), strict=True):
-                data = text or b""
-                kept, removed, spans = _cut(data, places, size, hashes) if places else (data, 0, 0)
-                rows.append((len(data), removed, spans, hashlib.sha256(kept).hexdigest(), kept))
-            cols = list(zip(*rows))
-            arrays = [b.column("id"), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays + [pa.array(cols[4], pa.binary())] * with_bytes, names=schema.names)
+        for b in chunks_of(batches, 4096, "text", 8 << 20):
+            data, off, p, row, at = _located(b, size, hashes, lambda p: p["n"].astype(np.int64) - 1 + size,
+                                             lambda p, x: (x >> np.uint64(33)).astype(np.int64) == p["v"])
+            row, start, end = _runs(off, row, at, at + p["n"].astype(np.int64) - 1 + size)
+            removed = np.bincount(row, end - start, len(off) - 1).astype(np.int64)
+            spans = np.bincount(row, minlength=len(off) - 1)
+            first = np.r_[0, np.cumsum(spans)]
+            view, digests, kept = memoryview(data), [], []
+            for i in range(len(off) - 1):
+                pieces, at_ = [], off[i]
+                for k in range(first[i], first[i + 1]):
+                    pieces.append(view[at_:start[k]])
+                    at_ = end[k]
+                pieces.append(view[at_:off[i + 1]])
+                digest = hashlib.sha256()
+                for piece in pieces:
+                    digest.update(piece)
+                digests.append(digest.hexdigest())
+                if with_bytes:
+                    kept.append(b"".join(pieces))
+            arrays = [b.column("id"), pa.array(np.diff(off)), pa.array(removed), pa.array(spans.astype(np.int64)), pa.array(digests, pa.string())]
+            yield pa.RecordBatch.from_arrays(arrays + [pa.array(kept, pa.binary())] * with_bytes, names=schema.names)
 
     return joined.mapInArrow(run, schema)
 

@@ -102,9 +102,8 @@ def passages(seed):
     return docs
 
 
-@pytest.mark.parametrize("seed,broadcast,rows", [(1, 64 << 20, 4096), (2, 0, 64)])
-def test_cuts_equal_brute_force(spark, monkeypatch, seed, broadcast, rows):
-    monkeypatch.setattr(sd, "BROADCAST_BYTES", broadcast)
+@pytest.mark.parametrize("seed,rows", [(1, 4096), (2, 64)])
+def test_cuts_equal_brute_force(spark, monkeypatch, seed, rows):
     monkeypatch.setattr(sd, "RANK_ROWS", rows)
     docs = passages(seed)
     d = spark.createDataFrame([(*x, 1, 2) for x in docs], "doc_id long, text string, h long, start long").repartition(5)
@@ -118,13 +117,14 @@ def test_long_texts_in_segments(spark, monkeypatch):
     docs = [(1, half + "".join(rng.choice(list("abcdefgh"), 500))), (2, "zz" + half[100:] + "yy"), (3, half[2500:])]
     d = spark.createDataFrame(docs, "doc_id long, text string")
     want = brute_cut(docs, 100)
-    # one segment is enough for these texts; shorter ones must give the same
     assert sorted((tuple(r) for r in sd.cut_documents(d).collect()), key=str) == want
-    hashes = sd.Hashes(4096)
-    data = docs[1][1].encode()
-    piece = list(sd._pieces([data], 100))
-    assert sum(len(p[2]) for x in piece for p in x) == len(data)
-    assert sd._cut(data, [], 100, hashes)[0] == data
+    pieces = [p for x in sd._pieces([docs[0][1].encode() * 700], 100) for p in x]  # longer than a segment
+    assert [p[1] for p in pieces] == [0, sd.SEGMENT, 2 * sd.SEGMENT] and all(len(p[2]) <= sd.SEGMENT + 99 for p in pieces)
+    long = spark.createDataFrame([(1, docs[0][1] * 700), (2, "x" + docs[0][1])], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"]) for r in sd.cut_documents(long).collect()}
+    assert got == {1: (2_450_000, 2_446_500, 1), 2: (3501, 3500, 1)}
+    kept = sd.cut_documents(d, with_bytes=True).select("kept", "kept_sha256").collect()
+    assert all(hashlib.sha256(r["kept"]).hexdigest() == r["kept_sha256"] for r in kept)
 
 
 def test_doubling_ranks_windows(spark):
