@@ -8,10 +8,12 @@ a carry word of twice the weight until two of each weight are left, and only
 those are read bit by bit.  One array of 32 counts for each (part, quality, toxic)
 is all that leaves a task; every figure of every order is a difference of such counts.
 
-Filter E (identical to a smaller id's text) is a minimum per 128-bit text hash
-with partial aggregates, joined back to rows of some 40 bytes; texts do not
-travel.  A text that a third of all rows hold makes one large key of that join,
-which is a plain sort-merge join that adaptive execution splits.
+Filter E (identical to a smaller id's text) needs the smallest id of each text.
+Texts do not travel: rows of some 50 bytes are first counted per text hash (128
+bits), part and label, with the smallest id and how many rows have it, so that a
+text that a third of all rows hold is a few rows before it is shuffled; then
+the smallest id of the text decides which counts fail.  A word that many
+documents share enters the adders once for each bit of that number.
 
 Defined cases: a NULL text is empty, and equal to other empty ones; a NULL part
 counts as the empty string; a NULL id is neither smaller nor larger than another,
@@ -28,10 +30,10 @@ from itertools import permutations
 from math import factorial
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexgraph.llm.common import UPPER, read, stored
+from lexgraph.llm.common import UPPER, read
 
 LETTERS = "ABCDE"
 SUBSETS = 1 << len(LETTERS)
@@ -56,28 +58,39 @@ def survival_word(mask: Column) -> Column:
 
 def words_of(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              part_col: str = "lang") -> DataFrame:
-    """(part, good, toxic, word): one row per document."""
+    """(part, good, toxic, word, n): survival words and how many documents have them."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     mask = sum((F.when(f, 1 << i).otherwise(0) for i, f in enumerate(_fails_text(F.col("t")))), F.lit(0))
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(part_col).cast("string"), F.lit("")).alias("part"), text.alias("t")) \
         .select("id", "part", F.xxhash64("t").alias("h1"), F.xxhash64(F.lit("text"), "t").alias("h2"), mask.alias("mask"))
-    rows = stored(rows)  # some 40 bytes a document, read twice
-    first = rows.groupBy("h1", "h2").agg(F.min("id").alias("first"))
     marks = labels.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")) \
         .agg(F.max((F.col("quality") == 1).cast("int")).alias("good"), F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
-    copies = F.when(F.col("id") > F.col("first"), 1 << 4).otherwise(0)
-    known = rows.join(first, ["h1", "h2"]).select("id", "part", (F.col("mask") + copies).alias("mask"))
     none = F.lit(0)
-    return known.join(marks, "id", "left").select("part", F.coalesce("good", none).alias("good"),
-                                                  F.coalesce("toxic", none).alias("toxic"), survival_word(F.col("mask")).alias("word"))
-
-
-def positional_counts(words: np.ndarray) -> np.ndarray:
-    """How many of the 32-bit ``words`` have each bit set, by carry-save adders."""
+    known = rows.join(marks, "id", "left").withColumns({"good": F.coalesce("good", none), "toxic": F.coalesce("toxic", none)})
+    text_of, kind = ["h1", "h2"], ["mask", "part", "good", "toxic"]
+    per_id = known.groupBy(*text_of, *kind, "id").agg(F.count(F.lit(1)).alias("c"))  # repeated rows
+    counted = per_id.groupBy(*text_of, *kind).agg(
+        F.sum("c").alias("n"), F.min("id").alias("least"), F.coalesce(F.min_by("c", "id"), none).alias("of_least"),
+        F.sum(F.when(F.col("id").isNull(), F.col("c")).otherwise(0)).alias("of_none"))
+    first = F.min("least").over(Window.partitionBy(*text_of))  # at most a row per part and label in each
+    passing = F.col("of_none") + F.when(F.col("least") == F.col("first"), F.col("of_least")).otherwise(0)
+    both = F.array(F.struct(F.col("mask").alias("mask"), passing.alias("n")),
+                   F.struct((F.col("mask") + (1 << 4)).alias("mask"), (F.col("n") - passing).alias("n")))
+    return counted.withColumn("first", first).select("part", "good", "toxic", F.explode(both).alias("x")).filter("x.n > 0") \
+        .select("part", "good", "toxic", survival_word(F.col("x.mask")).alias("word"), "x.n") \
+        .groupBy("part", "good", "toxic", "word").agg(F.sum("n").alias("n"))
+
+
+def positional_counts(words: np.ndarray, times: np.ndarray | None = None) -> np.ndarray:
+    """How often the 32-bit ``words`` have each bit set, by carry-save adders; a word
+    that counts ``times`` enters at the weight of each bit of that number."""
     counts = np.zeros(SUBSETS, np.int64)
-    weight, now = 1, words.astype(np.uint32, copy=False)
-    while len(now):
-        carried = []
+    words = words.astype(np.uint32, copy=False)
+    times = np.ones(len(words), np.int64) if times is None else times
+    weight, now = 1, words[:0]
+    while len(now) or (times >= weight).any():
+        now = np.concatenate([now, words[times & weight > 0]])
+        carried = [words[:0]]
         while len(now) >= 3:
             k = len(now) // 3
             a, b, c = now[:k], now[k:2 * k], now[2 * k:3 * k]
@@ -85,7 +98,7 @@ def positional_counts(words: np.ndarray) -> np.ndarray:
             now = np.concatenate([a ^ b ^ c, now[3 * k:]])
         for word in now:
             counts += weight * ((int(word) >> np.arange(SUBSETS)) & 1)
-        weight, now = 2 * weight, np.concatenate(carried) if carried else now[:0]
+        weight, now = 2 * weight, np.concatenate(carried)
     return counts
 
 
@@ -102,7 +115,8 @@ def survivors(words: DataFrame) -> DataFrame:
             word = b.column("word").to_numpy().astype(np.uint32)
             order = np.argsort(key, kind="stable")
             keys, starts = np.unique(key[order], return_index=True)
-            counts = [positional_counts(x) for x in np.split(word[order], starts[1:])]
+            times = b.column("n").to_numpy()[order]
+            counts = [positional_counts(x, n) for x, n in zip(np.split(word[order], starts[1:]), np.split(times, starts[1:]), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [parts.dictionary.take(pa.array(keys // 4)).cast(pa.string()), pa.array(keys % 4 // 2, pa.int32()), pa.array(keys % 2, pa.int32()),
                  pa.array([c.tolist() for c in counts], pa.list_(pa.int64()))], names=["part", "good", "toxic", "kept"])

@@ -14,6 +14,8 @@ def test_positional_counts_equal_bit_sums():
     for n in (0, 1, 2, 3, 4, 7, 100, 4097):
         words = rng.integers(0, 1 << 32, n, dtype=np.uint32)
         assert fa.positional_counts(words).tolist() == [int(((words >> b) & 1).sum()) for b in range(32)]
+        times = rng.integers(1, 300, n)
+        assert fa.positional_counts(words, times).tolist() == [int((times * ((words >> b) & 1)).sum()) for b in range(32)]
 
 
 def both(spark, tmp_path, docs, labels):
