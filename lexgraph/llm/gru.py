@@ -1,7 +1,8 @@
 """A bidirectional gated recurrent network with attention pooling, in numpy.
 
 Input of a position: the embedding of its word (when the word is known from
-training) beside the mean embedding of the word's character n-grams.  Two gated
+training), the mean embedding of the word's character n-grams, and the word's
+evidence, a number that training does not change (its log odds).  Two gated
 recurrent layers read the window in both directions, attention weighs the
 positions, and one logit comes out.  Training is plain back-propagation with
 Adam on windows; the same code runs on the driver (training on a bounded
@@ -68,7 +69,7 @@ def _sigmoid(x):
 class Network:
     def __init__(self, vocabulary: list[str], seed: int = 7):
         rng = np.random.default_rng(seed)
-        d, h = WORD_DIM + CHAR_DIM, HIDDEN
+        d, h = WORD_DIM + CHAR_DIM + 1, HIDDEN
         self.words = {w: i + 1 for i, w in enumerate(vocabulary)}  # 0: a word not in the vocabulary
         small = lambda *s: (rng.standard_normal(s) * 0.1).astype(np.float32)
         self.p = {
@@ -81,21 +82,24 @@ class Network:
             "bias": np.zeros(1, np.float32),
         }
         self.p["word"][0] = 0
+        self.evidence = np.zeros(len(vocabulary) + 1, np.float32)
         self.scale = np.float32(4.0)  # of the character mean, which one n-gram among many moves little
 
     # ------------------------------------------------------------- inputs
-    def _mean(self, grams: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(self.p["char"][grams], starts, axis=0) / counts[:, None].astype(np.float32) * self.scale
+    def inputs(self, ids: np.ndarray, evidence: np.ndarray, grams: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Word embedding, mean n-gram embedding and evidence of each word."""
+        mean = np.add.reduceat(self.p["char"][grams], starts, axis=0) / counts[:, None].astype(np.float32) * self.scale
+        return np.hstack([self.p["word"][ids], mean, evidence[:, None]]).astype(np.float32)
 
-    def rows(self, words: list[str], at_once: int = 20_000) -> np.ndarray:
-        """Projected input of each word."""
+    def rows(self, words: list[str], evidence: np.ndarray | None = None, at_once: int = 20_000) -> np.ndarray:
+        """Projected input of each word; ``evidence`` replaces the network's own."""
         out = np.empty((len(words), self.p["bx"].size), np.float32)
         for i in range(0, len(words), at_once):
             part = words[i:i + at_once]
             ids = np.fromiter((self.words.get(w, 0) for w in part), np.int64, len(part))
             grams, starts = char_grams(part)
             counts = np.diff(np.append(starts, len(grams)))
-            x = np.hstack([self.p["word"][ids], self._mean(grams, starts, counts)]).astype(np.float32)
+            x = self.inputs(ids, self.evidence[ids] if evidence is None else evidence[i:i + len(part)], grams, starts, counts)
             out[i:i + len(part)] = self.projected(x)
         return out
 
@@ -170,13 +174,15 @@ class Network:
         return g, d_rows @ self.p["wx"].T, loss
 
     def fit(self, words: list[str], idx: np.ndarray, mask: np.ndarray, labels: np.ndarray, steps: int, batch: int = 128,
-            rate: float = 0.01, seed: int = 3, hard: np.ndarray | None = None, log=None) -> None:
+            rate: float = 0.01, seed: int = 3, hard: np.ndarray | None = None,
+            evidence: np.ndarray | None = None, log=None) -> None:
         """Adam on class-balanced batches of windows (``idx`` into ``words``;
-        masked positions may hold any valid index); half of the clean windows
+        masked positions may hold any valid index, ``evidence`` is of each of ``words``); half of the clean windows
         of a batch come from ``hard`` when given.  The tables, which can learn
         single windows by heart, move slowly."""
         rng = np.random.default_rng(seed)
         ids_all = np.fromiter((self.words.get(w, 0) for w in words), np.int64, len(words))
+        evidence_all = self.evidence[ids_all] if evidence is None else evidence
         grams, starts = char_grams(words)
         ends = np.append(starts[1:], len(grams))
         first = {k: np.zeros_like(v) for k, v in self.p.items()}
@@ -194,12 +200,12 @@ class Network:
             at = np.repeat(starts[used] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
             own = grams[at]
             begin = np.concatenate([[0], np.cumsum(counts)[:-1]])
-            x = np.hstack([self.p["word"][ids_all[used]], self._mean(own, begin, counts)]).astype(np.float32)
+            x = self.inputs(ids_all[used], evidence_all[used], own, begin, counts)
             g, dx, loss = self.gradients(x, self.projected(x), local, mask[pick], labels[pick].astype(np.float32),
                                          np.ones(len(pick), np.float32))
             g["word"] = sums_by(ids_all[used], dx[:, :WORD_DIM], len(self.p["word"]))
             g["word"][0] = 0
-            spread = dx[:, WORD_DIM:] / counts[:, None].astype(np.float32) * self.scale
+            spread = dx[:, WORD_DIM:WORD_DIM + CHAR_DIM] / counts[:, None].astype(np.float32) * self.scale
             g["char"] = sums_by(own, np.repeat(spread, counts, axis=0), BUCKETS)
             norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
             shrink = np.float32(min(1.0, 5.0 / (norm + 1e-9)))

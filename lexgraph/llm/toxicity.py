@@ -7,16 +7,17 @@ text, calibrated, is its score.
 
 Training uses a bounded sample: at most ``MAX_TOXIC`` and ``MAX_CLEAN`` labelled
 rows, chosen by a hash of the id among those whose crc32(id as text) mod 5 is
-not 0, and at most ``MAX_WINDOWS`` windows of each, evenly spread.  The character
-and word tables start from the log odds of their n-grams in that sample; a
-second pass of training leaves out windows of toxic texts that the first pass
+not 0, and at most ``MAX_WINDOWS`` windows of each, evenly spread.  A word's
+evidence is its log odds over the sample's texts, for a text of the sample over those
+of the other folds alone; a second pass of training leaves out windows of toxic texts that the first pass
 finds clean, since a label marks a text and not each of its windows, and
 prefers the highest windows of clean texts, which decide their scores.  The
 network (about a megabyte) goes to the tasks with the function that uses it;
 texts are scored where they lie, without a shuffle.
 
-Defined cases: a NULL or empty text has one empty window and gets the score of
-that; rows without a label are scored like others; several labels of one id
+Defined cases: a text without a word (NULL, empty, blanks or punctuation only) holds
+no evidence and gets the share of toxic labels, at most ``NO_WORDS``, so it is never
+predicted toxic; several texts of one labelled id count with the least of them; rows without a label are scored like others; several labels of one id
 count as toxic if one is; without labels of both kinds there is nothing to
 learn and every score is the share of toxic labels, below one half if there are
 none; repeated rows are scored each; other columns are kept (``reject_toxic``)
@@ -32,13 +33,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexgraph.llm.common import chunks_of, read
-from lexgraph.llm.gru import BUCKETS, Network, char_grams, laid_out, windows
+from lexgraph.llm.gru import Network, laid_out, windows
 
 SIZE, STRIDE = 64, 32
 FOLDS = 5
 MAX_TOXIC, MAX_CLEAN, MAX_WINDOWS = 1500, 2500, 24
 VOCABULARY = 20_000
 STEPS = (240, 200)
+NO_WORDS = 0.25
 CACHE = 300_000
 WORD = re.compile(r"\w+")
 
@@ -60,24 +62,40 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     chosen = marked.filter("__toxic = 1").orderBy(*order).limit(max_toxic) \
         .unionByName(marked.filter("__toxic = 0").orderBy(*order).limit(max_clean))
     joined = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col)  # at most max_toxic + max_clean ids
-    rows = joined.select(fold(id_col).alias("fold"), F.col(id_col), F.col(text_col), "__toxic") \
-        .dropDuplicates([id_col]).collect()
+    rows = joined.groupBy(fold(id_col).alias("fold"), F.col(id_col), "__toxic").agg(F.min(text_col).alias("text")) \
+        .select("fold", id_col, "text", "__toxic").collect()
     rows.sort(key=lambda r: str(r[1]))
     return [(r[0], r[2], r[3]) for r in rows]
 
 
 def _log_odds(present, labels: np.ndarray, size: int) -> np.ndarray:
-    """Of each entry: how much likelier a toxic text holds it, smoothed."""
+    """Of each entry: how much likelier a toxic text holds it, smoothed; 0 for entry 0 (unknown words)."""
     count = np.zeros((2, size))
     for at, y in zip(present, labels, strict=True):
-        seen = np.zeros(size, bool)
-        seen[at] = True
-        count[y] += seen
+        count[y, at] += 1
     n = np.bincount(labels, minlength=2)
     odds = np.log((count[1] + 3 * n[1] / n.sum()) / (n[1] + 3)) - np.log((count[0] + 3 * n[0] / n.sum()) / (n[0] + 3))
+    odds[0] = 0
     return np.clip(odds, -3, 6).astype(np.float32)
 
 
+def _by_fold(tokens, words, folds, known, odds):
+    """Words told apart by the fold of the text: (tokens, words, their evidence)."""
+    parts, spelled, evidence, size = [None] * len(tokens), [], [], 0
+    for k in range(FOLDS):
+        mine = [i for i in range(len(tokens)) if folds[i] == k]
+        if not mine:
+            continue
+        flat = np.concatenate([tokens[i] for i in mine])
+        used, local = np.unique(flat, return_inverse=True)
+        for i, part in zip(mine, np.split(local, np.cumsum([len(tokens[i]) for i in mine])[:-1]), strict=True):
+            parts[i] = (part + size).astype(np.int32)
+        spelled += [words[w] for w in used]
+        evidence.append(odds[k][known[used]])
+        size += len(used)
+    return parts, spelled or ["_"], np.concatenate(evidence) if size else np.zeros(1, np.float32)
+
+
 def train(rows: list[tuple[int, str, int]], steps=STEPS, log=None) -> dict:
     """{"network", "a", "b"}, or {"constant"} when the labels are of one kind."""
     labels = np.array([r[2] for r in rows], np.int64)
@@ -92,20 +110,19 @@ def train(rows: list[tuple[int, str, int]], steps=STEPS, log=None) -> dict:
     common = np.argsort(-holds, kind="stable")[:VOCABULARY]
     common = common[holds[common] >= 3]
     net = Network([words[i] for i in common])
-    grams, starts = char_grams(words)
-    runs = np.append(starts, len(grams))
     known = np.zeros(len(words), np.int64)
     known[common] = np.arange(1, len(common) + 1)
-    distinct = [np.unique(t) for t in tokens]
-    spelled = (np.concatenate([grams[runs[i]:runs[i + 1]] for i in d]) if len(d) else d for d in distinct)
-    net.p["char"][:, 0] = _log_odds(spelled, labels, BUCKETS)
-    net.p["word"][:, 0] = _log_odds((known[d] for d in distinct), labels, len(common) + 1)
-    net.p["word"][0] = 0
+    own_fold = np.array([r[0] for r in rows])
+    held = [np.unique(known[t]) for t in tokens]
+    net.evidence = _log_odds(held, labels, len(common) + 1)
+    # a text's words are judged by the other folds alone, as a new text's will be
+    tokens, words, evidence = _by_fold(tokens, words, own_fold, known, [
+        _log_odds([h for h, f in zip(held, own_fold, strict=True) if f != k], labels[own_fold != k], len(common) + 1) for k in range(FOLDS)])
     lengths = np.array([len(t) for t in tokens])
     flat = np.concatenate(tokens) if len(tokens) else np.zeros(0, np.int32)
     start, length, text = windows(lengths, SIZE, STRIDE)
     calibrate = np.array([r[0] == 1 for r in rows])
-    if len(set(labels[calibrate].tolist())) < 2 or len(set(labels[~calibrate].tolist())) < 2 or len(rows) < 200:
+    if len(set(labels[calibrate].tolist())) < 2 or len(set(labels[~calibrate].tolist())) < 2:  # nothing to hold out
         calibrate = np.ones(len(rows), bool)
         learn = np.ones(len(rows), bool)
     else:
@@ -118,8 +135,8 @@ def train(rows: list[tuple[int, str, int]], steps=STEPS, log=None) -> dict:
     y = labels[text[use]]
     if len(set(y.tolist())) < 2:
         return {"constant": float(labels.mean())}
-    net.fit(words, idx, mask, y, steps[0], log=log)
-    rows_x = net.rows(words)
+    net.fit(words, idx, mask, y, steps[0], evidence=evidence, log=log)
+    rows_x = net.rows(words, evidence)
 
     def logits(i, m):
         return np.concatenate([net.forward(rows_x, i[k:k + 2048], m[k:k + 2048]) for k in range(0, len(i), 2048)])
@@ -129,14 +146,15 @@ def train(rows: list[tuple[int, str, int]], steps=STEPS, log=None) -> dict:
     np.maximum.at(top, text[use], found)
     sure = (y == 0) | (found >= 0) | (found == top[text[use]])
     hard = np.flatnonzero((y[sure] == 0) & (found[sure] == top[text[use]][sure]))
-    net.fit(words, idx[sure], mask[sure], y[sure], steps[1], rate=0.006, seed=5, hard=hard, log=log)
-    rows_x = net.rows(words)
+    net.fit(words, idx[sure], mask[sure], y[sure], steps[1], rate=0.006, seed=5, hard=hard, evidence=evidence, log=log)
+    rows_x = net.rows(words, evidence)
     use = np.flatnonzero(calibrate[text])
     idx, mask = laid_out(flat, start[use], length[use], SIZE)
     top = np.full(len(rows), -np.inf, np.float32)
     np.maximum.at(top, text[use], logits(idx, mask))
+    calibrate &= lengths > 0
     a, b = _calibration(top[calibrate].astype(np.float64), labels[calibrate].astype(np.float64))
-    return {"network": net, "a": a, "b": b}
+    return {"network": net, "a": a, "b": b, "no_words": min(float(labels.mean()), NO_WORDS)}
 
 
 def _calibration(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -195,7 +213,7 @@ class Scorer:
             idx, mask = laid_out(flat, start[k:k + 4096], length[k:k + 4096], SIZE)
             np.maximum.at(top, text[k:k + 4096], self.net.forward(self.rows, idx, mask))
         z = self.model["a"] * top.astype(np.float64) + self.model["b"]
-        return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+        return np.where(lengths > 0, 1 / (1 + np.exp(-np.clip(z, -40, 40))), self.model["no_words"])
 
 
 def score(docs: DataFrame, model: dict, text_col: str = "text", score_col: str = "score") -> DataFrame:
@@ -229,8 +247,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without those predicted toxic."""
-    scored = score(docs, trained(docs, labels, id_col=id_col, text_col=text_col), text_col, "__score")
-    return scored.filter(F.col("__score") < 0.5).select(*docs.columns)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), F.col(text_col).alias("text"))
+    scored = score(rows, trained(docs, labels, id_col=id_col, text_col=text_col))
+    return scored.filter(F.col("score") < 0.5).select("whole.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

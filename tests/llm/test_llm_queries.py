@@ -34,7 +34,7 @@ def test_stages_on_planted_cases(spark, tmp_path):
     rows += [(400, rows[50][1], "en", "s0", 1, "x"),                                             # exact copy
              (401, rows[51][1].replace("d51w30", "other"), "en", "s0", 1, "x"),                  # near copy
              (402, words("pre", 40) + " " + item + " " + words("post", 40), "en", "s1", 1, "x"),  # benchmark passage
-             (403, None, None, None, None, None), (404, "", "en", "s0", 0, "x")]
+             (403, None, None, None, None, None), (404, "", "en", "s0", 0, "x"), (405, " ", "en", "s0", 0, "x"), (406, "!!", "en", "s0", 0, "x")]
     toxic = [(1000 + i, words(f"t{i}a", 20) + " " + " ".join(f"vile{j}z" for j in range(4)) + " " + words(f"t{i}b", 20), "en", "s2", 1, "x")
              for i in range(120)]
     schema = "doc_id long, text string, lang string, source string, n_chars long, key string"
@@ -53,6 +53,7 @@ def test_stages_on_planted_cases(spark, tmp_path):
         seen[name] = {r["doc_id"]: r for r in docs.collect()}
     clean = {r[0] for r in rows}
     kept = set(seen["toxicity"])
+    assert {403, 404, 405, 406} <= kept
     assert len(kept & clean) >= 0.98 * len(clean) and len(kept - clean) <= 0.05 * len(toxic)
     held = [i for i in range(12) if i in kept]
     with_line = [i for i in held if line in (seen["line dedup"][i]["text"] or "")]
