@@ -11,11 +11,15 @@ deletion -> clean.
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexgraph.functions.rand import order_key
-from lexgraph.functions.text import WS, tokens, word_count
+from lexgraph.functions.text import WS, strip_ws, tokens, word_count
+from lexgraph.operators.hotjoin import SHARE, hot_join
+from lexgraph.session import persist_step
 
 # Fixed values.
 TOKEN_LIMIT = 3988            # prompt budget in tokens, before the header
@@ -25,6 +29,9 @@ AVOID_JOINER = ", "           # between avoided keywords in a prompt
 # too vague or too broad to keep (the examples the cleanup rules name)
 BROAD_WORDS = ("things", "stuff", "technology")
 
+NEAR = 0.6                    # token-set similarity from which two keywords are one
+PART_WORDS = 3                # a part of a split keyword has at most so many words
+
 PROMPT = ("Keywords for the theme of the texts below. Topic: {topic}. At most {l1} keywords, "
           "each at most {l2} words, separated by commas. Avoid: <{avoid}>. Texts: ```{texts}```")
 
@@ -78,29 +85,83 @@ def render_prompts(selected: DataFrame, topic: str, l1: int = 10, l2: int = 3,
     return texts.select("set_id", F.concat(F.lit(pre), F.col("texts"), F.lit(post)).alias("prompt"))
 
 
-def topic_keywords(selected: DataFrame, l1: int = 10, l2: int = 3, avoid: DataFrame | None = None) -> DataFrame:
-    """(set_id, rank, keyword, score): the built-in completer.
+def _grams(t, longest: int):
+    """All runs of 1..longest tokens of the array ``t``, joined by spaces."""
+    def of(n):
+        runs = F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda i: F.array_join(F.slice(t, i, n), " "))
+        return F.when(F.size(t) >= n, runs).otherwise(F.array().cast("array<string>"))
+    return F.flatten(F.array(*[of(n) for n in range(1, longest + 1)]))
 
-    n-grams of 1..l2 tokens inside each text; score = count in the set x
-    ln((S+1)/(sets holding it + 1)); the l1 best per set (score desc, then
-    keyword asc), avoided keywords removed first.
-    """
+
+def keyword_scores(selected: DataFrame, l2: int = 3) -> DataFrame:
+    """(set_id, keyword, score): every n-gram of 1..l2 tokens of the texts of a set;
+    score = count in the set x ln((S+1)/(sets holding it + 1))."""
     t = selected.select("set_id", tokens("text").alias("t"))
-    grams = None
-    for n in range(1, l2 + 1):
-        starts = F.when(F.size("t") >= n, F.sequence(F.lit(1), F.size("t") - n + 1)).otherwise(F.array().cast("array<int>"))
-        g = t.select("set_id", F.explode(F.transform(starts, lambda i: F.array_join(F.slice("t", i, n), " "))).alias("keyword"))
-        grams = g if grams is None else grams.unionByName(g)
-    tf = grams.groupBy("set_id", "keyword").agg(F.count(F.lit(1)).alias("tf"))
-    if avoid is not None:
-        tf = tf.join(avoid.select("keyword"), "keyword", "left_anti")
+    tf = t.select("set_id", F.explode(_grams(F.col("t"), l2)).alias("keyword")).groupBy("set_id", "keyword").agg(F.count(F.lit(1)).alias("tf"))
     n_sets = selected.select("set_id").distinct().count()
     df = tf.groupBy("keyword").agg(F.count(F.lit(1)).alias("df"))
-    s = tf.join(df, "keyword").withColumn(
-        "score", F.col("tf") * F.log((F.lit(float(n_sets)) + 1.0) / (F.col("df") + 1.0)))
-    w = Window.partitionBy("set_id").orderBy(F.round("score", 6).desc(), F.col("keyword"))
-    return (s.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= l1)
-            .select("set_id", "rank", "keyword", "score"))
+    return tf.join(df, "keyword").select("set_id", "keyword", (
+        F.col("tf") * F.log((F.lit(float(n_sets)) + 1.0) / (F.col("df") + 1.0))).alias("score"))
+
+
+def _best(scored: DataFrame, most) -> DataFrame:
+    w = Window.partitionBy("set_id").orderBy(F.col("score").desc(), F.col("keyword"))
+    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)
+
+
+def topic_keywords(selected: DataFrame, l1: int = 10, l2: int = 3, avoid: DataFrame | None = None) -> DataFrame:
+    """(set_id, rank, keyword, score): the built-in completer; the l1 best
+    n-grams per set (score desc, then keyword asc), avoided keywords left out."""
+    s = keyword_scores(selected, l2)
+    if avoid is not None:
+        s = s.join(avoid.select("keyword"), "keyword", "left_anti")
+    return _best(s, l1).select("set_id", "rank", "keyword", "score")
+
+
+def on_topic(keywords: DataFrame, topic: str, chunks: DataFrame, min_cos: float, dim: int = 64) -> DataFrame:
+    """(keyword): those whose vector, in the corpus' space, has a cosine of at least
+    ``min_cos`` to that of ``topic``."""
+    from lexgraph.functions.vector import cosine
+    from lexgraph.operators.embed import corpus_vocab, embed_text
+    spark = keywords.sparkSession
+    vocab, n = persist_step(corpus_vocab(chunks)), chunks.count()
+    own = embed_text(keywords.select("keyword").distinct(), "keyword", "keyword", dim, vocab=vocab, n_docs=n)
+    wanted = embed_text(spark.createDataFrame([(topic,)], "topic string"), "topic", "topic", dim, vocab=vocab, n_docs=n)
+    v = wanted.first()["embedding"]        # one vector of ``dim`` numbers
+    return own.filter(cosine(F.col("embedding"), F.array(*[F.lit(x) for x in v])) >= min_cos).select(F.col("id").alias("keyword"))
+
+
+def keyword_rounds(scored: DataFrame, l1: int = 10, avoid: DataFrame | None = None) -> DataFrame:
+    """(set_id, rank, keyword, score, round): up to l1 keywords per set, none in two sets.
+
+    ``scored``: (set_id, keyword, score).  In each round every set that is short
+    proposes its best keywords not yet avoided, as many as it lacks; a keyword
+    that several propose goes to the highest score (then the least set_id), and all
+    given keywords join the avoid table, which is written between rounds.  The
+    rounds end when nothing is proposed: each set has l1 keywords or none is left.
+    """
+    scored = persist_step(scored.select("set_id", "keyword", "score"))
+    given, turn = None, 0
+    banned = None if avoid is None else avoid.select("keyword")
+    while True:
+        turn += 1
+        left = scored if banned is None else scored.join(banned, "keyword", "left_anti")
+        lack = F.lit(int(l1))
+        if given is not None:
+            held = given.groupBy("set_id").agg(F.count(F.lit(1)).alias("held"))
+            left = left.join(held, "set_id", "left")
+            lack = lack - F.coalesce("held", F.lit(0))
+        proposed = _best(left, lack)
+        won = proposed.groupBy("keyword").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("set_id").alias("set_id"))).alias("w")) \
+            .select("w.set_id", "keyword", (-F.col("w.s")).alias("score"), F.lit(turn).alias("round"))
+        new = persist_step(won)
+        if new.isEmpty():
+            break
+        given = new if given is None else persist_step(given.unionByName(new))
+        banned = given.select("keyword") if avoid is None else given.select("keyword").unionByName(avoid.select("keyword"))
+    given = new if given is None else given
+    w = Window.partitionBy("set_id").orderBy(F.col("score").desc(), F.col("keyword"))
+    return given.withColumn("rank", F.row_number().over(w)).select("set_id", "rank", "keyword", "score", "round")
 
 
 def complete(prompts: DataFrame, completer) -> DataFrame:
@@ -144,28 +205,136 @@ def flag_pattern(df: DataFrame, pattern: str, col: str = "answer") -> DataFrame:
 
 
 def _norm_key(col):
-    return F.array_join(F.array_sort(F.array_distinct(tokens(col))), " ")
-
-
-def dedup_keywords(kw: DataFrame) -> DataFrame:
-    """Merge keywords with the same set of tokens; the representative is the
-    most frequent spelling, then the smallest."""
-    c = kw.groupBy("keyword").agg(F.count(F.lit(1)).alias("n")).withColumn("k", _norm_key("keyword"))
-    w = Window.partitionBy("k").orderBy(F.col("n").desc(), F.col("keyword"))
-    return c.filter(F.col("k") != "").withColumn("r", F.row_number().over(w)).filter("r = 1").select("keyword")
-
-
-def split_keywords(kw: DataFrame) -> DataFrame:
-    """Split a multi-word keyword into its words when every word already is a
-    keyword of the list; the parts are not re-added (they exist), so such a
-    compound leaves the list.  Other keywords stay; then distinct."""
-    k = kw.select("keyword", F.array_distinct(tokens("keyword")).alias("t"))
-    single = k.filter(F.size("t") == 1).select(F.col("t")[0].alias("w")).distinct()
-    multi = k.filter(F.size("t") > 1).withColumn("n", F.size("t"))
-    parts = multi.select("keyword", "n", F.explode("t").alias("w"))
-    covered = (parts.join(single, "w").groupBy("keyword", "n").agg(F.count(F.lit(1)).alias("h"))
-               .filter(F.col("h") == F.col("n")).select("keyword"))
-    return kw.select("keyword").join(covered, "keyword", "left_anti").distinct()
+    """The sorted distinct tokens; a keyword without any is its own key."""
+    key = F.array_join(F.array_sort(F.array_distinct(tokens(col))), " ")
+    return F.when(key != "", key).otherwise(F.concat(F.lit("\n"), strip_ws(col)))
+
+
+def near_pairs(sets: DataFrame, threshold: float = NEAR, wide: int = 24) -> DataFrame:
+    """(a, b), a < b: keys whose token sets have a Jaccard similarity of at least
+    ``threshold`` (above one half).  ``sets``: (k, t array<string> of distinct tokens), one row per set.
+
+    Prefix filter: tokens are ordered by rising frequency.  Two such sets that
+    differ share at least two tokens, and of the first s - ceil(threshold s) + 2 tokens of
+    each they share two, so a pair of prefix tokens is the join key: a frequent
+    token alone brings no two sets together.  Sets of more than ``wide`` tokens
+    would have many such pairs and are joined by one token of a prefix one shorter,
+    which is rare among that many.  Sizes are checked in the join, the overlap
+    of what is left is counted.
+    """
+    if not 0.5 < threshold <= 1:
+        raise ValueError("threshold: above 0.5, at most 1")
+    share = Fraction(threshold).limit_denominator(1000)
+    up = lambda n: F.floor((n * share.numerator + share.denominator - 1) / share.denominator).cast("int")
+    sets = persist_step(sets.select("k", "t", F.size("t").alias("s")).filter("s > 1"))
+    tok = sets.select("k", F.explode("t").alias("token"))
+    df = persist_step(tok.groupBy("token").agg(F.count(F.lit(1)).alias("df")))
+    n = sets.count()
+    ranked = hot_join(tok, df, "token", hot=df.filter(F.col("df") > SHARE * n).select("token"))
+    prefix = ranked.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("r")) \
+        .join(sets, "k").withColumn("p", F.slice(F.transform("r", lambda x: x["token"]), 1, F.col("s") - up(F.col("s")) + 2))
+    pairs = F.flatten(F.transform("p", lambda x, i: F.transform(F.slice("p", i + 2, F.size("p")), lambda y: F.xxhash64(F.least(x, y), F.greatest(x, y)))))
+    ones = F.transform(F.slice("p", 1, F.size("p") - 1), lambda x: F.xxhash64(x))
+    none = F.array().cast("array<bigint>")
+    keys = prefix.select("k", "t", "s", F.concat(
+        F.when(F.col("s") <= wide, F.transform(pairs, lambda h: F.struct(F.lit(2).alias("by"), h.alias("h")))).otherwise(F.array()),
+        F.when(F.col("s") >= up(F.lit(wide + 1)), F.transform(ones, lambda h: F.struct(F.lit(1).alias("by"), h.alias("h")))).otherwise(F.array())).alias("x")) \
+        if n else prefix.select("k", "t", "s", F.transform(none, lambda h: F.struct(F.lit(2).alias("by"), h.alias("h"))).alias("x"))
+    rows = persist_step(keys.select("k", "t", "s", F.explode("x").alias("x")).select("k", "t", "s", "x.by", "x.h"))
+    a, b = (rows.select(F.col("k").alias(side), F.col("t").alias(f"t{side}"), F.col("s").alias(f"s{side}"), "by", "h") for side in "ab")
+    near = a.join(b, ["by", "h"]).filter((F.col("a") < F.col("b")) & (F.least("sa", "sb") >= up(F.greatest("sa", "sb"))))
+    both = F.size(F.array_intersect("ta", "tb"))
+    fits = both * share.denominator >= (F.col("sa") + F.col("sb") - both) * share.numerator
+    return near.filter(fits).select("a", "b").distinct()
+
+
+def _leaders(links: DataFrame, rank: DataFrame) -> DataFrame:
+    """(k): the keys that give way.  In order of rank a key leads unless it is
+    linked to a better one that leads; each round decides all whose better
+    neighbours are decided, so rounds are few and every decision is that of the
+    one-by-one order.  ``rank``: (k, r), r unique and least first."""
+    r = lambda c: rank.select(F.col("k").alias(c), F.col("r").alias(f"r{c}"))
+    ends = links.join(r("a"), "a").join(r("b"), "b")
+    first = F.col("ra") < F.col("rb")
+    edges = persist_step(ends.select(F.when(first, F.col("b")).otherwise(F.col("a")).alias("worse"),
+                                     F.when(first, F.col("a")).otherwise(F.col("b")).alias("better")))
+    gone = None
+    while not edges.isEmpty():
+        lead = edges.select("better").distinct().join(edges.select(F.col("worse").alias("better")), "better", "left_anti")
+        out = persist_step(edges.join(lead, "better", "left_semi").select("worse").distinct())
+        gone = out if gone is None else gone.unionByName(out)
+        edges = persist_step(edges.join(out, "worse", "left_anti").join(out.withColumnRenamed("worse", "better"), "better", "left_anti"))
+    return links.select(F.col("a").alias("k")).limit(0) if gone is None else gone.withColumnRenamed("worse", "k")
+
+
+def dedup_keywords(kw: DataFrame, threshold: float = NEAR) -> DataFrame:
+    """Merge keywords that are the same or nearly the same.
+
+    Keywords with one set of tokens become their most frequent spelling (then the
+    smallest).  Of keywords whose token sets have a Jaccard similarity of at least
+    ``threshold`` the more frequent stays, then the one of fewer tokens, then the
+    smallest key; one that is near only to keywords that went stays.
+    """
+    c = kw.filter(F.col("keyword").isNotNull()).groupBy("keyword").agg(F.count(F.lit(1)).alias("n")).withColumn("k", _norm_key("keyword"))
+    best = F.min(F.struct((-F.col("n")).alias("n"), F.col("keyword").alias("keyword")))
+    one = persist_step(c.groupBy("k").agg(best.alias("best"), F.sum("n").alias("n")).select("k", "best.keyword", "n"))
+    sets = one.filter(~F.col("k").startswith("\n")).select("k", F.split("k", " ").alias("t"))
+    size = F.size(F.split("k", " "))
+    gone = _leaders(near_pairs(sets, threshold), one.select("k", F.struct((-F.col("n")).alias("n"), size.alias("s"), F.col("k").alias("k2")).alias("r")))
+    return one.join(gone, "k", "left_anti").select("keyword")
+
+
+def phrase_counts(phrases: DataFrame, chunks: DataFrame, longest: int) -> DataFrame:
+    """(phrase, df): chunks that hold each phrase (1..longest tokens) in a row."""
+    t = chunks.select(tokens("text").alias("t"))
+    held = t.select(F.explode(F.array_distinct(_grams(F.col("t"), longest))).alias("phrase")).groupBy("phrase").agg(F.count(F.lit(1)).alias("df"))
+    return held.join(phrases.select("phrase").distinct(), "phrase", "left_semi")
+
+
+def split_keywords(kw: DataFrame, chunks: DataFrame, ratio: int = 4, min_df: int = 2, longest: int = PART_WORDS,
+                   stop=BROAD_WORDS) -> DataFrame:
+    """Split a keyword into parts that stand on their own.
+
+    A part is a run of at most ``longest`` tokens that at least ``min_df`` chunks hold,
+    and at least ``ratio`` times as many as hold the whole keyword; words of ``stop`` are no
+    parts.  Of all ways to cut the whole keyword into two or more parts (paths
+    through the lattice of its token positions, by dynamic programming) the one of
+    fewest parts counts, then of the most frequent parts, then the smallest.  The
+    parts take the place of the keyword, without those whose tokens are a keyword
+    of the list already; a keyword that cannot be cut stays.  Distinct.
+    """
+    k = persist_step(kw.filter(F.col("keyword").isNotNull()).select("keyword").distinct().withColumn("t", tokens("keyword")))
+    many = k.filter(F.size("t") > 1).select("keyword", "t", F.size("t").alias("n"))
+    place = F.flatten(F.transform(F.sequence(F.lit(1), F.col("n")), lambda j: F.transform(
+        F.array(*[F.lit(x) for x in range(1, longest + 1)]),
+        lambda x: F.struct(j.alias("j"), x.alias("l"), F.when(x <= j, F.array_join(F.slice("t", F.greatest(j - x + 1, F.lit(1)), x), " ")).alias("phrase")))))
+    edges = persist_step(many.select("keyword", "n", F.explode(place).alias("e")).select("keyword", "n", "e.j", "e.l", "e.phrase"))
+    counts = persist_step(phrase_counts(edges.filter(F.col("phrase").isNotNull()), chunks, longest))
+    known = hot_join(edges, counts, "phrase")
+    lattice = known.groupBy("keyword", "n").agg(
+        F.max(F.when((F.col("l") == F.col("n")) & (F.col("j") == F.col("n")), F.col("df"))).alias("whole"),
+        F.array_sort(F.collect_list(F.struct("j", "l", "phrase", "df"))).alias("e"))
+    least = F.greatest(F.lit(min_df).cast("long"), F.coalesce("whole", F.lit(0).cast("long")) * ratio)
+    path = "struct<parts:int,freq:bigint,seg:array<string>>"
+    nothing = F.lit(None).cast(path)
+
+    def step(acc, j):
+        """``acc``: the best paths to the last ``longest`` positions, newest first."""
+        ways = []
+        for x in range(1, longest + 1):
+            e, before = F.get("e", (j - 1) * longest + (x - 1)), F.get(acc, F.lit(x - 1))
+            ok = (e["df"] >= F.col("least")) & (F.col("n") != x) & ~e["phrase"].isin(list(stop)) & before.isNotNull()
+            ways.append(F.when(ok, F.struct((before["parts"] + 1).alias("parts"), (before["freq"] - e["df"]).alias("freq"),
+                                            F.concat(before["seg"], F.array(e["phrase"])).alias("seg")).cast(path)).otherwise(nothing))
+        return F.slice(F.concat(F.array(F.least(*ways)), acc), 1, longest)
+
+    start = F.concat(F.array(F.struct(F.lit(0).alias("parts"), F.lit(0).cast("long").alias("freq"), F.array().cast("array<string>").alias("seg")).cast(path)),
+                     F.array(*[nothing] * (longest - 1)))
+    cut = lattice.withColumn("least", least).select("keyword", F.get(F.aggregate(F.sequence(F.lit(1), F.col("n")), start, step), F.lit(0))["seg"].alias("seg"))
+    cut = persist_step(cut.filter(F.col("seg").isNotNull()))
+    kept = persist_step(k.join(cut, "keyword", "left_anti").select("keyword", _norm_key("keyword").alias("k")))
+    parts = cut.select(F.explode("seg").alias("keyword")).distinct().withColumn("k", _norm_key("keyword")).join(kept, "k", "left_anti")
+    return kept.select("keyword").unionByName(parts.select("keyword"))
 
 
 def drop_broad(kw: DataFrame, chunks: DataFrame, max_df: float = 0.5, stop=BROAD_WORDS) -> DataFrame:
@@ -202,4 +371,4 @@ def drop_broad(kw: DataFrame, chunks: DataFrame, max_df: float = 0.5, stop=BROAD
 
 def cleanup_keywords(kw: DataFrame, chunks: DataFrame, max_df: float = 0.5, strict: bool = False) -> DataFrame:
     """dedup -> splitting -> deletion -> clean, in that fixed order."""
-    return clean_keywords(drop_broad(split_keywords(dedup_keywords(kw)), chunks, max_df), strict=strict)
+    return clean_keywords(drop_broad(split_keywords(dedup_keywords(kw), chunks), chunks, max_df), strict=strict)

@@ -54,6 +54,10 @@ def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(c.strip() for c in ctes)
 
 
+def recursive(*ctes: str) -> str:
+    return "WITH RECURSIVE " + with_(*ctes)[5:]
+
+
 SQL: dict[str, str] = {}
 
 SQL["chunk_documents"] = with_(chunks_cte()) + "\nSELECT * FROM chunks"
@@ -299,7 +303,7 @@ SQL["sample_members"] = with_(VEC_CTE, ASSIGN_CTE, sample_ctes("assign")) + "\nS
 # ---------------------------------------------------------------- keywords
 def _kw_consts():
     from lexgraph.operators.keywords import PROMPT, token_budget
-    head = PROMPT.replace("{topic}", "energy poverty").replace("{l1}", "10").replace("{l2}", "3").replace("{avoid}", "")
+    head = PROMPT.replace("{topic}", "public transport").replace("{l1}", "10").replace("{l2}", "3").replace("{avoid}", "")
     pre, post = head.split("{texts}")
     return token_budget(pre + post), pre, post
 
@@ -344,7 +348,7 @@ _df AS (SELECT keyword, count(*) AS df FROM _tf GROUP BY keyword),
 _ns AS (SELECT count(DISTINCT set_id) AS s FROM selected),
 topic AS (SELECT set_id, rank, keyword, score FROM (
   SELECT t.set_id, t.keyword, t.tf * ln((_ns.s + 1.0) / (d.df + 1.0)) AS score,
-         CAST(row_number() OVER (PARTITION BY t.set_id ORDER BY round(t.tf * ln((_ns.s + 1.0) / (d.df + 1.0)), 6) DESC, t.keyword) AS INTEGER) AS rank
+         CAST(row_number() OVER (PARTITION BY t.set_id ORDER BY t.tf * ln((_ns.s + 1.0) / (d.df + 1.0)) DESC, t.keyword) AS INTEGER) AS rank
   FROM _tf t JOIN _df d USING (keyword), _ns) WHERE rank <= 10)"""
 
 SQL["cluster_bundles"] = kw_chain() + "\nSELECT set_id, pos, id, text FROM bundles"
@@ -355,6 +359,24 @@ SELECT set_id, {"'" + _pre.replace("'", "''") + "'"} || string_agg(text, ' * ' O
 FROM selected GROUP BY set_id"""
 SQL["topic_keywords"] = with_(kw_chain()[5:], TOPIC_CTE) + "\nSELECT set_id, rank, keyword, round(score, 6) AS score FROM topic"
 
+# rounds of proposals: every state row carries the round that gave it (0: open)
+ROUNDS_CTE = """
+_avoid AS (SELECT DISTINCT keyword FROM topic WHERE rank = 1),
+_sc AS (SELECT t.set_id, t.keyword, t.tf * ln((_ns.s + 1.0) / (d.df + 1.0)) AS score FROM _tf t JOIN _df d USING (keyword), _ns
+        WHERE t.keyword NOT IN (SELECT keyword FROM _avoid)),
+_rd AS (
+  SELECT 0 AS turn, set_id, keyword, score, 0 AS g, true AS moved FROM _sc
+  UNION ALL
+  SELECT turn + 1, set_id, keyword, score, CASE WHEN win THEN turn + 1 ELSE g END, any_win FROM (
+    SELECT *, max(win) OVER () AS any_win, max(CASE WHEN win OR g > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY keyword) AS gone FROM (
+      SELECT *, prop AND row_number() OVER (PARTITION BY keyword, prop ORDER BY score DESC, set_id) = 1 AS win FROM (
+        SELECT *, g = 0 AND row_number() OVER (PARTITION BY set_id, g = 0 ORDER BY score DESC, keyword) <= 10 - held AS prop FROM (
+          SELECT *, count(*) FILTER (g > 0) OVER (PARTITION BY set_id) AS held FROM _rd WHERE moved))))
+  WHERE (g > 0 OR win OR gone = 0)),
+rounds AS (SELECT set_id, CAST(row_number() OVER (PARTITION BY set_id ORDER BY score DESC, keyword) AS INTEGER) AS rank, keyword, score, g AS round
+  FROM _rd WHERE turn = (SELECT max(turn) FROM _rd) AND g > 0)"""
+SQL["keyword_rounds"] = recursive(kw_chain()[5:], TOPIC_CTE, ROUNDS_CTE) + "\nSELECT set_id, rank, keyword, round(score, 6) AS score, round FROM rounds"
+
 PARSED = """
 parsed AS (SELECT DISTINCT unnest(string_split(text, ',')) AS keyword FROM conversations WHERE role = 'assistant')"""
 SQL["parse_keywords"] = with_(PARSED) + "\nSELECT keyword FROM parsed"
@@ -363,19 +385,49 @@ SQL["clean_keywords"] = with_(PARSED) + f"\nSELECT regexp_replace(lower(keyword)
 
 TOK = "regexp_extract_all(lower(keyword), '[\\p{L}\\p{N}]+')"
 DEDUP_CTE = f"""
-dedup AS (SELECT keyword FROM (
-  SELECT keyword, row_number() OVER (PARTITION BY k ORDER BY n DESC, keyword) AS r FROM (
-    SELECT keyword, count(*) AS n, array_to_string(list_sort(list_distinct({TOK})), ' ') AS k FROM parsed GROUP BY keyword)
-  WHERE k <> '') WHERE r = 1)"""
+_nk AS (SELECT keyword, count(*) AS n, array_to_string(list_sort(list_distinct({TOK})), ' ') AS key FROM parsed WHERE keyword IS NOT NULL GROUP BY keyword),
+_one AS (SELECT k, arg_min(keyword, (-n, keyword)) AS keyword, sum(n) AS n FROM (
+  SELECT keyword, n, CASE WHEN key <> '' THEN key ELSE chr(10) || regexp_replace(keyword, '^{WS}+|{WS}+$', '', 'g') END AS k FROM _nk) GROUP BY k),
+_st AS (SELECT k, unnest(string_split(k, ' ')) AS w, len(string_split(k, ' ')) AS s FROM _one WHERE NOT starts_with(k, chr(10))),
+_near AS (SELECT a.k AS a, b.k AS b FROM _st a JOIN _st b ON a.w = b.w AND a.k <> b.k
+          GROUP BY a.k, b.k, a.s, b.s HAVING 5 * count(*) >= 3 * (a.s + b.s - count(*))),
+_rk AS (SELECT k, row_number() OVER (ORDER BY n DESC, len(string_split(k, ' ')), k) AS r
+        FROM _one WHERE k IN (SELECT a FROM _near)),
+_nb AS (SELECT x.r, list(y.r) AS nb FROM _near JOIN _rk x ON x.k = a JOIN _rk y ON y.k = b GROUP BY x.r),
+_walk AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS kept
+  UNION ALL
+  SELECT r, CASE WHEN list_has_any(kept, nb) THEN kept ELSE list_append(kept, r) END FROM _walk JOIN _nb ON r = i + 1),
+_lead AS (SELECT unnest(kept) AS r FROM _walk WHERE i = (SELECT max(i) FROM _walk)),
+dedup AS (SELECT keyword FROM _one WHERE k NOT IN (SELECT k FROM _rk) OR k IN (SELECT k FROM _rk JOIN _lead USING (r)))"""
 
 
 def split_cte(src: str, name: str) -> str:
+    way = "CASE WHEN e.d{0} IS NOT NULL AND w.b{1} IS NOT NULL THEN {{'p': w.b{1}.p + 1, 'f': w.b{1}.f - e.d{0}, 's': list_append(w.b{1}.s, e.p{0})}} END"
+    ways = ", ".join(way.format(x, x - 1) for x in (1, 2, 3))
     return f"""
-{name}_k AS (SELECT keyword, list_distinct({TOK}) AS t FROM {src}),
-{name}_single AS (SELECT DISTINCT t[1] AS w FROM {name}_k WHERE len(t) = 1),
-{name}_cov AS (SELECT keyword FROM (SELECT keyword, len(t) AS n, unnest(t) AS w FROM {name}_k WHERE len(t) > 1) p
-               JOIN {name}_single USING (w) GROUP BY keyword, n HAVING count(*) = n),
-{name} AS (SELECT DISTINCT keyword FROM {src} WHERE keyword NOT IN (SELECT keyword FROM {name}_cov))"""
+{name}_k AS (SELECT DISTINCT keyword, {TOK} AS t FROM {src} WHERE keyword IS NOT NULL),
+{name}_g AS (SELECT phrase, count(*) AS df FROM (
+  SELECT DISTINCT chunk_id, unnest(list_transform(range(1, len(t) - n + 2), lambda i: array_to_string(t[i : i + n - 1], ' '))) AS phrase
+  FROM (SELECT chunk_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS t FROM chunks), (VALUES (1), (2), (3)) AS ns(n) WHERE len(t) >= n)
+  GROUP BY phrase),
+{name}_e AS (SELECT keyword, len(t) AS n, j, l, array_to_string(t[j - l + 1 : j], ' ') AS phrase
+  FROM (SELECT keyword, t, unnest(range(1, len(t) + 1)) AS j FROM {name}_k WHERE len(t) > 1), (VALUES (1), (2), (3)) AS ls(l) WHERE l <= j),
+{name}_d AS (SELECT e.*, df, max(CASE WHEN l = n THEN df END) OVER (PARTITION BY keyword) AS whole FROM {name}_e e LEFT JOIN {name}_g USING (phrase)),
+{name}_w AS (SELECT keyword, n, j, {', '.join(f"max(CASE WHEN l = {x} AND ok THEN df END) AS d{x}, max(CASE WHEN l = {x} AND ok THEN phrase END) AS p{x}" for x in (1, 2, 3))}
+  FROM (SELECT *, df >= greatest(2, 4 * coalesce(whole, 0)) AND l <> n AND phrase NOT IN ('things', 'stuff', 'technology') AS ok FROM {name}_d)
+  GROUP BY keyword, n, j),
+{name}_r AS (
+  SELECT DISTINCT keyword, 0::BIGINT AS j, {{'p': 0::BIGINT, 'f': 0::BIGINT, 's': []::VARCHAR[]}} AS b0,
+         CAST(NULL AS STRUCT(p BIGINT, f BIGINT, s VARCHAR[])) AS b1, CAST(NULL AS STRUCT(p BIGINT, f BIGINT, s VARCHAR[])) AS b2 FROM {name}_w
+  UNION ALL
+  SELECT w.keyword, e.j, list_sort(list_filter([{ways}], lambda x: x IS NOT NULL))[1], w.b0, w.b1
+  FROM {name}_r w JOIN {name}_w e ON e.keyword = w.keyword AND e.j = w.j + 1),
+{name}_cut AS (SELECT r.keyword, r.b0.s AS seg FROM {name}_r r JOIN (SELECT DISTINCT keyword, n FROM {name}_w) x ON x.keyword = r.keyword AND x.n = r.j
+  WHERE r.b0 IS NOT NULL),
+{name}_kept AS (SELECT keyword, array_to_string(list_sort(list_distinct(t)), ' ') AS k FROM {name}_k WHERE keyword NOT IN (SELECT keyword FROM {name}_cut)),
+{name} AS (SELECT keyword FROM {name}_kept UNION ALL
+  SELECT keyword FROM (SELECT DISTINCT unnest(seg) AS keyword FROM {name}_cut)
+  WHERE array_to_string(list_sort(list_distinct({TOK})), ' ') NOT IN (SELECT k FROM {name}_kept))"""
 
 
 def broad_cte(src: str, name: str) -> str:
@@ -390,10 +442,10 @@ def broad_cte(src: str, name: str) -> str:
   SELECT keyword FROM {name}_df WHERE df > 0.5 * (SELECT count(*) FROM chunks)))"""
 
 
-SQL["dedup_keywords"] = with_(PARSED, DEDUP_CTE) + "\nSELECT keyword FROM dedup"
-SQL["split_keywords"] = with_(PARSED, split_cte("parsed", "splitted")) + "\nSELECT keyword FROM splitted"
+SQL["dedup_keywords"] = recursive(PARSED, DEDUP_CTE) + "\nSELECT keyword FROM dedup"
+SQL["split_keywords"] = recursive(chunks_cte(), PARSED, split_cte("parsed", "splitted")) + "\nSELECT keyword FROM splitted"
 SQL["drop_broad"] = with_(chunks_cte(), PARSED, broad_cte("parsed", "kept")) + "\nSELECT keyword FROM kept"
-SQL["cleanup_keywords"] = with_(chunks_cte(), PARSED, DEDUP_CTE, split_cte("dedup", "splitted"), broad_cte("splitted", "kept")) + f"""
+SQL["cleanup_keywords"] = recursive(chunks_cte(), PARSED, DEDUP_CTE, split_cte("dedup", "splitted"), broad_cte("splitted", "kept")) + f"""
 SELECT regexp_replace(lower(keyword), '^{WS}+', '') AS keyword FROM kept"""
 SQL["flag_pattern"] = """
 SELECT conv_id, turn, regexp_matches(text, '[Tt]he [a-z]+tion') AS flagged FROM conversations WHERE role = 'assistant'"""

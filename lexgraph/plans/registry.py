@@ -257,7 +257,7 @@ def q_extract_clusters(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ keywords
-TOPIC = "energy poverty"
+TOPIC = "public transport"
 
 
 def source_members(spark, sf_dir, blocks=5, seed=42):
@@ -317,6 +317,15 @@ def q_topic_keywords(spark, sf_dir):
     return KW.topic_keywords(_selected(spark, sf_dir), 10, 3).withColumn("score", r6("score"))
 
 
+@register("keyword_rounds")
+def q_keyword_rounds(spark, sf_dir):
+    """Rounds of proposals; the best keyword of each set is on the avoid list."""
+    from lexgraph.session import persist_step
+    scored = persist_step(KW.keyword_scores(_selected(spark, sf_dir), 3))
+    avoid = KW._best(scored, 1).select("keyword").distinct()
+    return KW.keyword_rounds(scored, 10, avoid=avoid).withColumn("score", r6("score"))
+
+
 def _parsed(spark, sf_dir):
     conv = T.table(spark, sf_dir, "conversations").filter(F.col("role") == "assistant")
     return KW.parse_keywords(conv, col="text")
@@ -344,7 +353,7 @@ def q_dedup_keywords(spark, sf_dir):
 
 @register("split_keywords")
 def q_split_keywords(spark, sf_dir):
-    return KW.split_keywords(_parsed(spark, sf_dir))
+    return KW.split_keywords(_parsed(spark, sf_dir), chunks_of(spark, sf_dir, persist=True))
 
 
 @register("drop_broad")
