@@ -4,22 +4,26 @@ Every text is cut into lines inside its row.  Lines long enough to count are
 represented by a 128-bit hash of their key; texts never travel with them.
 
 1. ``occurrences``: one row per long line: document, position, hash.
-2. The rows are range-partitioned by (hash, document descending) and sorted by
-   (hash, document, position) inside a partition.  The range covers the
+2. ``sorted_runs``: the rows are range-partitioned by (hash, document descending)
+   and sorted by (hash, document, position) inside a range.  The ranges cut the
    document too, so a hash that a third of all documents hold spreads over many
-   partitions.
-3. Runs are streamed: first the positions of a hash in a document (no exchange,
-   the range already clusters them), then (documents, largest document) per
-   hash, a partial aggregate before the only exchange by hash.
-4. Hashes in enough documents join back; losing positions are gathered per
-   document and packed as a keep bitmap (one bit a
-   line, the first line highest in the first byte, 1: it stays; a document that
-   loses nothing has a NULL bitmap).
+   of them.  Streaming a range gives, without another exchange, one run per
+   hash and document with its positions.  Runs are written with the number of
+   their range.
+3. The first run of a hash in the order is that of its largest document.  Each
+   range tells of its hashes how many documents it holds and the largest; only
+   these sums (one row per range and hash, so a few per hash) meet by hash,
+   which carries counts and winners across the borders of ranges.
+4. What was found returns to the runs by (range, hash): no key of that join has more
+   rows than one range.  Losing positions are gathered per document and packed
+   as a keep bitmap (one bit a line, the first line highest in the first byte,
+   1: it stays; a document that loses nothing has a NULL bitmap).
 
 A document is told by its id and a hash of its text, so repeated rows share
 one decision and rows with one id but other texts are not mixed.
 
-Defined cases: a NULL or empty text is one empty line; a document with a NULL
+Defined cases: rows with one id and different texts count as documents of their own, a NULL id
+as one, too; a NULL or empty text is one empty line; a document with a NULL
 id loses nothing; among rows with the largest id all keep the line; repeated
 rows count as one document; an empty table gives an empty result; other
 columns are passed by (``drop_repeated_lines``) or left out, whatever their names.
@@ -56,17 +60,24 @@ def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return keyed.select("__id", "__t", "pos", F.xxhash64("k").alias("h1"), F.xxhash64(F.lit("line"), "k").alias("h2"))
 
 
+def sorted_runs(occ: DataFrame) -> DataFrame:
+    """(range, h1, h2, __id, __t, at): positions of each hash in each document, by sorted ranges."""
+    by = [F.col("h1"), F.col("h2"), F.col("__id").desc(), F.col("__t")]
+    return occ.repartitionByRange(*by).sortWithinPartitions(*by, "pos") \
+        .groupBy("h1", "h2", "__id", "__t").agg(F.collect_set("pos").alias("at")).withColumn("range", F.spark_partition_id())
+
+
 def dropped_positions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                       min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """(__id, __t, dropped array<int>) of the documents that lose lines."""
-    # the hashes are written once: choosing the ranges and the two uses of the runs read them, not the texts
-    occ = stored(occurrences(docs, id_col, text_col, min_chars))
-    by = [F.col("h1"), F.col("h2"), F.col("__id").desc(), F.col("__t")]
-    runs = occ.repartitionByRange(*by).sortWithinPartitions(*by, "pos") \
-        .groupBy("h1", "h2", "__id", "__t").agg(F.collect_set("pos").alias("at"))
-    frequent = runs.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("__id").alias("winner")) \
-        .filter(F.col("n") >= min_docs).select("h1", "h2", "winner")
-    lost = runs.join(frequent, ["h1", "h2"]).filter(F.col("__id") < F.col("winner"))
+    # the hashes are written once: choosing the ranges and dealing them out read them, not the texts
+    runs = stored(sorted_runs(stored(occurrences(docs, id_col, text_col, min_chars))))
+    key = ["h1", "h2"]
+    held = stored(runs.groupBy("range", *key).agg(F.count(F.lit(1)).alias("n"), F.max("__id").alias("largest")))
+    frequent = held.groupBy(*key).agg(F.sum("n").alias("n"), F.max("largest").alias("winner")) \
+        .filter(F.col("n") >= min_docs).select(*key, "winner")
+    known = held.select("range", *key).join(frequent, key)
+    lost = runs.join(known, ["range", *key]).filter(F.col("__id") < F.col("winner"))
     return lost.groupBy("__id", "__t").agg(F.flatten(F.collect_list("at")).alias("dropped"))
 
 
@@ -123,7 +134,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = keep_bitmaps(read(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_lines", "n_dropped", "kept_sha256")
+    return out.withColumn("keep_bitmap", F.hex("keep_bitmap"))
 
 
 SQL = """
@@ -140,8 +151,15 @@ frequent AS (
   GROUP BY k HAVING count(DISTINCT doc_id) >= 5),
 marked AS (
   SELECT keyed.doc_id, pos, line, coalesce(keyed.doc_id < winner, false) AS lost
-  FROM keyed LEFT JOIN frequent USING (k))
-SELECT doc_id, count(*) AS n_lines, count(*) FILTER (lost) AS n_dropped,
-       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT lost), '')) AS kept_sha256
-FROM marked GROUP BY doc_id
+  FROM keyed LEFT JOIN frequent USING (k)),
+per AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (lost) AS n_dropped,
+         sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT lost), '')) AS kept_sha256,
+         rpad(string_agg(CASE WHEN lost THEN '0' ELSE '1' END, '' ORDER BY pos), (8 * ((count(*) + 7) // 8))::INT, '0') AS bits
+  FROM marked GROUP BY doc_id)
+SELECT doc_id, n_lines, n_dropped, kept_sha256,
+       CASE WHEN n_dropped > 0 THEN array_to_string(list_transform(range(0, length(bits) // 4), lambda i:
+         substr('0123456789ABCDEF', 1 + 8 * substr(bits, 4 * i + 1, 1)::INT + 4 * substr(bits, 4 * i + 2, 1)::INT
+                                      + 2 * substr(bits, 4 * i + 3, 1)::INT + substr(bits, 4 * i + 4, 1)::INT, 1)), '') END AS keep_bitmap
+FROM per
 """
