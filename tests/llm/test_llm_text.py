@@ -100,6 +100,26 @@ def test_preference_pairs(spark):
     assert preferences.format_pairs(df.limit(0)).count() == 0
 
 
+def test_swapped_answers_share_their_prompt(spark):
+    c = [(0, 0, "user", "q"), (0, 1, "assistant", "a"), (0, 2, "user", "more"), (0, 3, "assistant", "b"), (0, 4, "user", "thanks"),
+         (1, 0, "user", "other"), (1, 1, "assistant", "c"), (2, 0, "user", "alone"), (3, 0, "user", "x"), (3, 1, "assistant", "y"),
+         (None, 0, "user", "n"), (4, None, "assistant", "z"), (5, 0, "assistant", "same"), (7, 0, "user", None)]
+    d = spark.createDataFrame([(*x, 1) for x in c], "conv_id long, turn int, role string, text string, pair_id int")
+    out = preferences.format_pairs(preferences.answers_swapped(d))
+    got = {}
+    for r in out.collect():
+        got.setdefault(r["pair_id"], {}).setdefault(r["part"], []).append((r["turn"], r["rendered"].split("\n")[1][:-7], r["train"]))
+    assert sorted(got[0]["prompt"]) == [(0, "q", 0), (1, "a", 0), (2, "more", 0)]
+    assert sorted(got[0]["chosen"]) == [(3, "b", 1), (4, "thanks", 0)] and got[0]["rejected"] == [(3, "c", 1)]
+    assert sorted(got[1]["prompt"]) == [(0, "other", 0)] and got[1]["rejected"] == [(1, "b", 1)]
+    assert got[2] == {"chosen": [(0, "alone", 0)]} and set(got[3]) == {"chosen"}  # 2 has no answer
+    assert set(got[5]) == {"chosen"} and set(got) == {0, 1, 2, 3, 4, 5, 7}
+    sizes = {r["pair_id"]: r for r in preferences.paired(out).collect()}
+    assert (sizes[0]["n_prompt_turns"], sizes[0]["n_chosen_turns"], sizes[0]["n_rejected_turns"]) == (3, 2, 1)
+    assert sizes[0]["chosen_trained_chars"] == len("<|assistant|>\nb<|end|>\n") and sizes[2]["rejected_chars"] == 0
+    assert preferences.answers_swapped(d.limit(0)).count() == 0
+
+
 # ----------------------------------------------------------------- token counts
 def test_trie_counts_match_a_plain_forward_pass():
     scores = {"▁": -3.0, "▁a": -2.0, "a": -2.5, "b": -2.5, "ab": -3.0, "ba": -3.0, "▁ab": -4.5, "bab": -4.0, "é": -1.0}
