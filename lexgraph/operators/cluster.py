@@ -1,6 +1,6 @@
 """Clustering and member sampling.
 
-* ``kmeans``: MLlib KMeans (k-means|| start), best of ``n_init`` seeds by cost.
+* ``kmeans`` (``operators.kmeans``): ++ seeding, best of ``n_init`` starts, to the fixed point.
 * ``assign_clusters``: nearest centre per point (block kernel, k = 1).
 * ``sample_members``: ``blocks`` random members per cluster, with replacement
   when the cluster has at most ``blocks`` members, else without; empty
@@ -15,29 +15,11 @@ from pyspark.sql import functions as F
 
 from lexgraph.functions.rand import draw_index, order_key
 from lexgraph.operators.blocks import block_topk
+from lexgraph.operators.hotjoin import hot_join
+from lexgraph.operators.kmeans import kmeans
 from lexgraph.operators.search import nearest_to_center
 
 
-def kmeans(emb: DataFrame, k: int, n_init: int = 5, seed: int = 0, max_iter: int = 20,
-           id_col: str = "id", vec_col: str = "embedding"):
-    """(assignments (id, cluster), centers (cluster, center array<double>), cost)."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-    x = emb.select(F.col(id_col).alias("id"), array_to_vector(F.col(vec_col).cast("array<double>")).alias("features"))
-    best = None
-    for i in range(max(1, n_init)):
-        m = KMeans(k=k, seed=seed + i, maxIter=max_iter, initMode="k-means||").fit(x)
-        cost = m.summary.trainingCost
-        if best is None or cost < best[1]:
-            best = (m, cost)
-    model, cost = best
-    spark = emb.sparkSession
-    centers = spark.createDataFrame([(i, [float(v) for v in c]) for i, c in enumerate(model.clusterCenters())],
-                                    "cluster int, center array<double>")
-    assign = model.transform(x).select("id", F.col("prediction").cast("int").alias("cluster"))
-    return assign, centers, cost
-
-
 def assign_clusters(emb: DataFrame, centers: DataFrame, id_col: str = "id", vec_col: str = "embedding") -> DataFrame:
     """(id, cluster, dist): nearest centre, ties to the lower cluster number."""
     r = block_topk(emb, centers, 1, metric="l2", largest=False, q_id=id_col, c_id="cluster",
@@ -59,7 +41,7 @@ def sample_members(assign: DataFrame, blocks: int = 5, seed: int = 0) -> DataFra
     replacement.
     """
     sizes = cluster_sizes(assign)
-    a = assign.join(F.broadcast(sizes), "cluster")   # one row per cluster: k rows
+    a = hot_join(assign, sizes, "cluster")
     key = order_key(seed, F.col("id"))
     w = Window.partitionBy("cluster").orderBy(key, F.col("id"))
     big = (a.filter(F.col("n") > blocks).withColumn("rank", F.row_number().over(w))
@@ -73,7 +55,7 @@ def sample_members(assign: DataFrame, blocks: int = 5, seed: int = 0) -> DataFra
 
 
 def extract_clusters(emb: DataFrame, k: int = 20, blocks: int = 5, seed: int = 0, n_init: int = 5,
-                     algos=("kmeans",), spectral_dims: int = 5) -> DataFrame:
+                     algos=("kmeans", "spectral"), spectral_dims: int = 5) -> DataFrame:
     """``cluster_members`` (algo, cluster, kind, rank, id) for each algorithm."""
     out = None
     for algo in algos:

