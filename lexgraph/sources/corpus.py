@@ -31,16 +31,30 @@ def route_files(df: DataFrame, path_col: str = "path") -> DataFrame:
     return df.withColumn("file_type", F.try_element_at(m, ext))
 
 
+# a code span, a bare address, or text up to the next of these
+_MARKDOWN_PIECES = r"(?s)`+[^`]*`+|https?://[^\s)>\]]+|.+?(?=`+[^`]*`+|https?://|\z)"
+
+
+def _without_emphasis(c):
+    """Paired marks go where a word border is outside and no blank inside; the
+    signs of ``snake_case`` and ``2*3*4`` are no such marks.  Widest marks first."""
+    for mark in (r"\*\*\*", r"___", r"\*\*", r"__", r"\*", r"_"):
+        c = F.regexp_replace(c, rf"(?<![\w*_]){mark}(?=[^\s*_])((?:[^\n]|\n(?!\n))*?[^\s*_]){mark}(?![\w*_])", "$1")
+    return c
+
+
 def strip_markdown(col):
-    """Markdown marks removed: headings, emphasis, inline code, links/images
-    to their text, list bullets, block quotes."""
+    """Markdown marks removed: headings, emphasis, code marks, links/images
+    to their text, list bullets, block quotes.  What is inside code and addresses stays."""
     c = F.col(col) if isinstance(col, str) else col
     c = F.regexp_replace(c, r"!?\[([^\]]*)\]\([^)]*\)", "$1")
-    c = F.regexp_replace(c, r"(?m)^\s{0,3}#{1,6}\s*", "")
+    c = F.regexp_replace(c, r"(?m)^\s{0,3}#{1,6}\s+", "")
     c = F.regexp_replace(c, r"(?m)^\s{0,3}>\s?", "")
-    c = F.regexp_replace(c, r"(?m)^\s*[-*+]\s+", "")
-    c = F.regexp_replace(c, r"(\*\*|__|\*|_|`+)", "")
-    return c
+    c = F.regexp_replace(c, r"(?m)^[ \t]*[-*+][ \t]+", "")
+    pieces = F.regexp_extract_all(c, F.lit(_MARKDOWN_PIECES), 0)
+    plain = F.transform(pieces, lambda p: F.when(p.startswith("`"), F.regexp_replace(p, "^`+|`+$", ""))
+                        .when(p.rlike("^https?://"), p).otherwise(_without_emphasis(p)))
+    return F.array_join(plain, "")
 
 
 def to_text(df: DataFrame, converters: dict | None = None) -> tuple[DataFrame, DataFrame]:

@@ -3,14 +3,15 @@ chunks (J2).
 
 ``readStream.format("binaryFile")`` lists the folder; the file source's
 checkpoint remembers which files were seen, so a rerun reads only new ones.
-Each micro-batch routes, decodes and chunks its files, then upserts chunks by
-``chunk_id`` -- so a retried batch appends nothing twice.  Files that give no
-text are kept in the ``quarantine`` table.  With ``embed`` the vocabulary
-(token, df) takes in every stored chunk that it has not counted yet (the
-``counted`` table names those), and every stored chunk without a vector is
-embedded -- also chunks of earlier runs, or of a batch that stopped between its
-two writes (existing embeddings are left as they are, like
-``update_existing_embeddings=False``).
+Each micro-batch routes, decodes and chunks its files.  All it writes -- new
+chunks, files that give no text (``quarantine``), and with ``embed`` the document
+frequencies of what was not counted yet, the names of those chunks, and the
+vectors of all chunks without one -- is one epoch of the store: it counts when
+its manifest is written, last.  A batch that stops anywhere before leaves nothing
+that counts, and its rerun writes the same; a batch that is repeated after
+its manifest writes nothing.  Vectors carry the epoch of the vocabulary that they
+were made with; existing vectors are left as they are, like
+``update_existing_embeddings=False``.
 """
 
 from __future__ import annotations
@@ -26,27 +27,29 @@ from lexgraph.sources.corpus import BINARY_SCHEMA, files_as_documents, route_fil
 
 
 def _process(spark: SparkSession, batch: DataFrame, root: str, tag: str, length: int, embed: bool, dim: int,
-             converters: dict | None):
+             converters: dict | None, source: str, number: int):
+    epoch = ST.Epoch(spark, root, tag, source, number)
+    if epoch.done:
+        return
     files = route_files(with_filename(batch))
     docs, quarantine = to_text(files, converters)
-    chunks = chunk_documents(files_as_documents(docs), length=length)
+    fresh = ST.new_chunks(chunk_documents(files_as_documents(docs), length=length), root, tag)
     known = ST.open_store(spark, root, tag, "quarantine").select("path")
-    ST.save_store(persist_step(quarantine.dropDuplicates(["path"]).join(known, "path", "left_anti")), root, tag, "quarantine")
-    ST.write_chunks(chunks, root, tag)
-    if not embed:
-        return
-    stored = ST.open_store(spark, root, tag, "chunks")
-    counted = ST.open_store(spark, root, tag, "counted").select("chunk_id")
-    fresh = persist_step(stored.join(counted, "chunk_id", "left_anti"))
-    old = ST.open_store(spark, root, tag, "vocab").select("token", "df")
-    vocab = (old.unionByName(corpus_vocab(fresh)).groupBy("token").agg(F.sum("df").cast("long").alias("df")))
-    vocab = persist_step(vocab)   # read and overwrite the same table safely
-    ST.save_store(vocab, root, tag, "vocab", mode="overwrite")
-    ST.save_store(fresh.select("chunk_id"), root, tag, "counted")
-    have = ST.open_store(spark, root, tag, "embeddings").select(F.col("id").alias("chunk_id"))
-    without = persist_step(stored.join(have, "chunk_id", "left_anti"))
-    emb = embed_text(without, id_col="chunk_id", dim=dim, vocab=vocab, n_docs=stored.count())
-    ST.save_store(emb, root, tag, "embeddings")
+    epoch.write(quarantine.dropDuplicates(["path"]).join(known, "path", "left_anti"), "quarantine")
+    epoch.write(fresh, "chunks")
+    if embed:
+        stored = ST.open_store(spark, root, tag, "chunks").drop("tag").unionByName(fresh.select(*[c.split()[0] for c in ST.SCHEMAS["chunks"].split(", ")]))
+        counted = ST.open_store(spark, root, tag, "counted").select("chunk_id")
+        uncounted = persist_step(stored.join(counted, "chunk_id", "left_anti"))
+        more = persist_step(corpus_vocab(uncounted))
+        epoch.write(more, "vocab")
+        epoch.write(uncounted, "counted")
+        vocab = ST.vocabulary(spark, root, tag).unionByName(more).groupBy("token").agg(F.sum("df").cast("long").alias("df"))
+        have = ST.open_store(spark, root, tag, "embeddings").select(F.col("id").alias("chunk_id"))
+        without = stored.join(have, "chunk_id", "left_anti")
+        emb = embed_text(without, id_col="chunk_id", dim=dim, vocab=vocab, n_docs=stored.count())
+        epoch.write(emb.withColumn("vocab_epoch", F.lit(epoch.number).cast("long")), "embeddings")
+    epoch.commit()
 
 
 def ingest_available(spark: SparkSession, source_dir: str, root: str, tag: str, checkpoint: str,
@@ -57,7 +60,7 @@ def ingest_available(spark: SparkSession, source_dir: str, root: str, tag: str,
               .option("recursiveFileLookup", "false").option("pathGlobFilter", glob).load(source_dir))
 
     def batch(df, epoch_id):
-        _process(spark, df, root, tag, length, embed, dim, converters)
+        _process(spark, df, root, tag, length, embed, dim, converters, checkpoint, epoch_id)
 
     q = (stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
