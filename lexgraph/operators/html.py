@@ -1,9 +1,11 @@
 """Tabular extraction from fetched HTML pages (the parsing half of a scraper).
 
-Regex-based so it tolerates unclosed tags; every pattern is RE2-compatible
-(no look-around, no back-references) and blind to the case of tags.  All facts
-of a page lie in its row: anchors and table rows are arrays, and a whole page
-record is one narrow projection without an exchange.
+One pass over a page reads its markup as a browser does: comments, scripts and
+styles go, a ``>`` inside a quoted value ends no tag, attributes are read name by
+name.  What is left is cut into arrays: anchors, rows and cells (whose end tags
+may be left out), and the opening and closing of boxes, which a fold follows by
+their depth.  All facts of a page lie in its row, and a whole page record is one
+narrow projection without an exchange.
 """
 
 from __future__ import annotations
@@ -23,10 +25,15 @@ DOWNLOAD_CLASS = "detail__header__button"
 HEADER_CLASS = "detail__header__column"
 TABLE_LABELS = ("Organisatie", "Opleiding")
 
-ANCHOR_RE = r"(?i)<a(\s[^>]*)?>"
-ATTR_RE = r"""(?i)\s{name}\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)"""
-ROW_RE, CELL_RE = r"(?is)<tr\b[^>]*>(.*?)</tr>", r"(?is)<td\b[^>]*>(.*?)</td>"
-H1_RE = r"(?is)<h1\b[^>]*>(.*?)</h1>"
+# the rest of a tag after its name: quoted values whole
+_REST = r"""(?:[^>"']+|"[^"]*"|'[^']*')*+>"""
+_TAG = r"(?:<{name}\b" + _REST + r"|<{name}\b[^>]*>)"  # the second: a quote that nobody closes
+_MARKUP = (r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\z)|(</?[a-z]" + _REST + ")")
+_ATTRIBUTE = r"""(?s)([^\s=>"'/][^\s=>/]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>][^\s>]*))?"""
+
+
+def _tag(name: str) -> str:
+    return _TAG.replace("{name}", name)
 
 
 def _c(c):
@@ -60,19 +67,25 @@ def unescape(col):
 
 def text_of(col):
     """Text content of an HTML fragment: tags removed, entities decoded."""
-    return unescape(F.regexp_replace(_c(col), r"<[^>]*>", ""))
+    return unescape(F.regexp_replace(_c(col), r"(?i)</?[a-z]" + _REST + r"|<[^>]*>", ""))
+
+
+def markup(col):
+    """The page without comments, scripts and styles; tags stay as they are."""
+    return F.regexp_replace(_c(col), _MARKUP, "$2")
 
 
 def attr(tag, name: str):
-    """Attribute value of a tag string, NULL when absent."""
-    raw = F.regexp_extract(_c(tag), ATTR_RE.format(name=name), 1)
-    val = F.regexp_replace(raw, r"""^["']|["']$""", "")
-    return F.when(_c(tag).rlike(ATTR_RE.format(name=name)), unescape(val))
+    """Value of the first attribute of that name of a tag, NULL when absent."""
+    inside = F.regexp_replace(_c(tag), r"(?s)^<[^\s/>]+|/?>$", "")
+    names = F.transform(F.regexp_extract_all(inside, F.lit(_ATTRIBUTE), 1), F.lower)
+    value = F.get(F.regexp_extract_all(inside, F.lit(_ATTRIBUTE), 2), F.array_position(names, name).cast("int") - 1)
+    return F.when(F.array_contains(names, name), unescape(F.regexp_replace(value, r"""(?s)^(["'])(.*)\1$""", "$2")))
 
 
 def anchors(html_col: str = "html"):
     """Array of (href, class) of a page's anchors, in page order."""
-    tags = F.regexp_extract_all(F.col(html_col), F.lit(ANCHOR_RE), 0)
+    tags = F.regexp_extract_all(markup(html_col), F.lit("(?i)" + _tag("a")), 0)
     return F.transform(tags, lambda t: F.struct(attr(t, "href").alias("href"), attr(t, "class").alias("class")))
 
 
@@ -104,20 +117,40 @@ def download_link(html_col: str = "html", cls: str = DOWNLOAD_CLASS, base: str =
 
 
 def page_title(html_col: str = "html", container: str = HEADER_CLASS):
-    """h1 text inside the header container -- NULL when that holds none -- or
-    the first h1 of a page without such a container; spaces -> _."""
-    h = F.col(html_col)
-    box = r"""(?is)<div\b[^>]*class\s*=\s*["']?[^"'>]*""" + container + r"""[^>]*>(.*?)</div>"""
-    place = F.when(h.rlike(box), F.regexp_extract(h, box, 1)).otherwise(h)
-    raw = F.when(place.rlike(H1_RE), F.regexp_extract(place, H1_RE, 1))
+    """h1 text inside the first box of the header class -- NULL when that holds
+    none -- or the first h1 of a page without such a box; spaces -> _.
+
+    Boxes nest: the fold counts how deep in the header box an event lies."""
+    head = r"<h1\b[^>]*>.*?(?:</h1\s*>|(?=<(?:h[1-6]|div|p|table|ul|ol|section|article)\b)|\z)"
+    events = F.regexp_extract_all(markup(html_col), F.lit(f"(?is){_tag('div')}|</div\\s*>|{head}"), 0)
+    state = "struct<depth:int,met:boolean,inside:string,first:string>"
+
+    def follow(acc, e):
+        opens, closes, h1 = e.rlike("(?i)^<div"), e.rlike("(?i)^</div"), e.rlike("(?i)^<h1")
+        within = acc["depth"] > 0
+        starts = opens & ~acc["met"] & F.array_contains(F.split(F.coalesce(attr(e, "class"), F.lit("")), r"\s+"), container)
+        depth = acc["depth"] + F.when(starts | (opens & within), 1).when(closes & within, -1).otherwise(0)
+        return F.struct(depth.alias("depth"), (acc["met"] | starts).alias("met"),
+                        F.coalesce(acc["inside"], F.when(h1 & within, e)).alias("inside"), F.coalesce(acc["first"], F.when(h1, e)).alias("first")).cast(state)
+
+    none = F.lit(None).cast("string")
+    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("met"), none.alias("inside"), none.alias("first")).cast(state)
+    raw = F.aggregate(events, start, follow, lambda acc: F.when(acc["met"], acc["inside"]).otherwise(acc["first"]))
     return F.replace(text_of(raw), F.lit(" "), F.lit("_"))
 
 
 def table_rows(html_col: str = "html"):
     """Array of (label, value), the first two cells of each table row that has
-    as many, as stripped text."""
-    rows = F.transform(F.regexp_extract_all(F.col(html_col), F.lit(ROW_RE), 1), lambda r: F.regexp_extract_all(r, F.lit(CELL_RE), 1))
-    return F.transform(F.filter(rows, lambda c: F.size(c) >= 2),
+    as many, as stripped text.  A row ends at the next row, its end tag or the end
+    of its table; a cell at the next cell, its end tag or the end of the row."""
+    parts = F.split(markup(html_col), "(?i)" + _tag("tr"), -1)
+    inner = F.transform(F.slice(parts, 2, F.size(parts)), lambda r: F.regexp_extract(r, r"(?is)^(.*?)(?:</?(?:tr|table|tbody|thead|tfoot)\b|\z)", 1))
+
+    def cells(row):
+        cut = F.split(row, "(?i)" + _tag("td"), -1)
+        return F.transform(F.slice(cut, 2, F.size(cut)), lambda c: F.regexp_extract(c, r"(?is)^(.*?)(?:</?t[dh]\b|\z)", 1))
+
+    return F.transform(F.filter(F.transform(inner, cells), lambda c: F.size(c) >= 2),
                        lambda c: F.struct(strip_ws(text_of(c[0])).alias("label"), strip_ws(text_of(c[1])).alias("value")))
 
 

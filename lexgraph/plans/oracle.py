@@ -497,8 +497,9 @@ def attr_sql(tag: str, name: str) -> str:
 
 
 ANCHORS_CTE = f"""
+_clean AS (SELECT page_id, regexp_replace(html, '(?is)<!--.*?-->|<script\\b[^>]*>.*?</script\\s*>|<style\\b[^>]*>.*?</style\\s*>', '', 'g') AS html FROM pages),
 _tags AS (SELECT page_id, unnest(regexp_extract_all(html, '(?i)<a(\\s[^>]*)?>', 0)) AS tag,
-                 unnest(range(len(regexp_extract_all(html, '(?i)<a(\\s[^>]*)?>', 0)))) AS pos FROM pages),
+                 unnest(range(len(regexp_extract_all(html, '(?i)<a(\\s[^>]*)?>', 0)))) AS pos FROM _clean),
 anchors AS (SELECT page_id, CAST(pos AS INTEGER) AS pos, {attr_sql('tag', 'href')} AS href, {attr_sql('tag', 'class')} AS class FROM _tags),
 links AS (SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS INTEGER) AS pos, href, class
           FROM anchors WHERE href IS NOT NULL)"""

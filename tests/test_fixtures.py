@@ -301,3 +301,28 @@ def test_components_of_a_long_path(spark):
     assert {(r.component, r["count"]) for r in c} == {("n0000", 301), ("z1", 2)}
     d = G.diameter(spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(9)], "src string, dst string")).first()
     assert (d.n_nodes, d.n_components, d.diameter) == (10, 1, 9)
+
+
+def test_markup_that_is_no_markup(spark):
+    h = """<!-- <a href="/hidden">x</a> --><script>var s = '<a href="/script">';</script><style>a > b {}</style>
+    <a title="a > b" href="/one">1</a><a data-x="href=/bad" href='/ok'>2</a><A HREF=/three CLASS=x>3</A><a name="n">4</a>
+    <a alt='<!-- no' href="/four">5</a><!-- end"""
+    assert [r.href for r in HT.extract_links(page(spark, h)).collect()] == ["/one", "/ok", "/three", "/four"]
+    assert [r["class"] for r in HT.extract_links(page(spark, h)).collect()] == [None, None, "x", None]
+
+
+def test_header_box_by_depth(spark):
+    title = lambda h: page(spark, h).select(HT.page_title().alias("t")).first().t
+    box = '<div class="a detail__header__column b"><div><div>x</div></div><h1>In <b>side</b></h1></div><h1>Out</h1>'
+    assert title("<h1>Before</h1>" + box) == "In_side"
+    assert title('<div class="detail__header__column"><div>y</div></div><div><h1>Out</h1></div>') is None
+    assert title('<div class="detail__header__column-wide"><h1>Other class</h1></div>') == "Other_class"
+    assert title('<!-- <div class="detail__header__column"> --><h1>A &amp; B') == "A_&_B"
+    assert title("<p>none</p>") is None and title("") is None and title(None) is None
+
+
+def test_table_without_end_tags(spark):
+    h = ("<table><tr><th>head<td title='a > b'>Organisatie<td> Uni &amp; Co <tr><td>Opleiding</td><td>First</td></tr>"
+         "<tr><td>Opleiding<td>Last<td>third</table><p>after <tr><td>only one")
+    r = HT.table_attributes(page(spark, h)).first()
+    assert (r.organisatie, r.opleiding) == ("Uni & Co", "Last")
