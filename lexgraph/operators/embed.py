@@ -4,11 +4,12 @@ value(bucket) = sum over token occurrences in the bucket of ln((N+1)/(df+1)),
 then L2-normalised.  ``df`` and ``N`` always come from the corpus, so queries
 and keywords are embedded in the corpus' space (unseen token: df = 0).
 
-Plan: explode tokens -> join the vocabulary (token, df) -> one groupBy per chunk.  The
-vocabulary is an aggregate with map-side combine; AQE turns the join into a
-broadcast only when the runtime size of the vocabulary is below the
-broadcast threshold, and otherwise keeps a shuffle join whose skewed token
-partitions ("the") AQE splits.
+Plan: tokens are counted in their row.  The ``HEAD`` commonest words of the
+vocabulary, nearly all occurrences of a text, go to the tasks (a top list, so its
+size is fixed) and are summed into the row's vector there.  Only the other words
+of a row, each once with its count, become rows of a join with the vocabulary; none
+of these holds more than one ``HEAD``-th of all occurrences, so the join has no hot
+key.  Their sums meet the row's vector in one aggregation by id.
 """
 
 from __future__ import annotations
@@ -21,6 +22,9 @@ from pyspark.sql import types as T
 
 from lexgraph.functions.rand import hash_bucket
 from lexgraph.functions.text import tokens
+from lexgraph.session import persist_step
+
+HEAD = 1 << 16  # words whose values go to the tasks
 
 
 def _toks(text_col: str, max_seq_len: int | None):
@@ -56,32 +60,62 @@ def embed_text(df: DataFrame, id_col: str = "chunk_id", text_col: str = "text",
         n_docs = corpus.count()
     # bucket and idf once per distinct token (vocabulary side), not per occurrence
     lnN = F.lit(float(n_docs)) + 1.0
-    vw = vocab.select("token", hash_bucket("token", dim).alias("vb"), F.log(lnN / (F.col("df") + 1.0)).alias("idf"))
-    occ = df.select(F.col(id_col).alias("id"), F.explode_outer(_toks(text_col, max_seq_len)).alias("token"))
-    w = (occ.join(vw, "token", "left")
-         .select("id",
-                 F.coalesce(F.col("vb"), hash_bucket("token", dim), F.lit(0)).alias("b"),
-                 F.when(F.col("token").isNull(), F.lit(0.0))
-                  .otherwise(F.coalesce(F.col("idf"), F.log(lnN / F.lit(1.0)))).alias("x")))
-    # one aggregation per chunk: the scatter sums repeated buckets (np.add.at);
-    # the partial collect runs map-side, where all tokens of a chunk already are
-    m = w.groupBy("id").agg(F.collect_list("b").alias("bs"), F.collect_list("x").alias("xs"))
-    return m.select("id", _scatter_unit(dim)(F.col("bs"), F.col("xs")).alias("embedding"))
+    vw = persist_step(vocab.select("token", "df", hash_bucket("token", dim).alias("vb"), F.log(lnN / (F.col("df") + 1.0)).alias("idf")))
+    top = vw.orderBy(F.desc("df"), "token").limit(HEAD).toArrow()  # HEAD rows at most
+    shipped = df.sparkSession.sparkContext.broadcast((dict(zip(top["token"].to_pylist(), range(top.num_rows), strict=True)),
+                                                      top["vb"].to_numpy().astype(np.int64), top["idf"].to_numpy()))
+    counted = persist_step(df.select(F.col(id_col).alias("id"), _head_and_tail(shipped, dim)(F.coalesce(
+        _toks(text_col, max_seq_len), F.array().cast("array<string>"))).alias("s")).select("id", "s.*"))
+    rare = counted.select("id", F.explode(F.arrays_zip("tail", "tf")).alias("t")).select("id", F.col("t.tail").alias("token"), "t.tf")
+    met = rare.join(vw.drop("df"), "token", "left") \
+        .select("id", F.coalesce("vb", hash_bucket("token", dim)).alias("b"), (F.col("tf") * F.coalesce("idf", F.log(lnN))).alias("x"))
+    rows = counted.select("id", "head", F.lit(None).cast("int").alias("b"), F.lit(None).cast("double").alias("x")) \
+        .unionByName(met.select("id", F.lit(None).cast("array<double>").alias("head"), "b", "x"))
+    m = rows.groupBy("id").agg(F.first("head", ignorenulls=True).alias("head"), F.collect_list("b").alias("bs"), F.collect_list("x").alias("xs"))
+    return m.select("id", _scatter_unit(dim)(F.col("head"), F.col("bs"), F.col("xs")).alias("embedding"))
+
+
+def _head_and_tail(shipped, dim: int):
+    """tokens -> (summed values of the common words by bucket, other words, their counts)."""
+    kind = T.StructType([T.StructField("head", T.ArrayType(T.DoubleType())), T.StructField("tail", T.ArrayType(T.StringType())),
+                         T.StructField("tf", T.ArrayType(T.IntegerType()))])
+
+    @F.arrow_udf(kind)
+    def split(tokens: pa.Array) -> pa.Array:
+        place, bucket, idf = shipped.value
+        n = len(tokens)
+        row = np.repeat(np.arange(n), tokens.value_lengths().to_numpy(zero_copy_only=False))
+        flat = tokens.flatten().dictionary_encode()
+        words = flat.dictionary
+        known = np.fromiter((place.get(w, -1) for w in words.to_pylist()), np.int64, len(words))
+        code = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        at = known[code] if len(code) else code
+        M = np.zeros((n, dim))
+        common = at >= 0
+        np.add.at(M, (row[common], bucket[at[common]]), idf[at[common]])
+        key, tf = np.unique(row[~common] * max(len(words), 1) + code[~common], return_counts=True)
+        per = np.bincount(key // max(len(words), 1), minlength=n)
+        ends = pa.array(np.r_[0, np.cumsum(per)].astype(np.int32))
+        tail = words.take(pa.array(key % max(len(words), 1)))
+        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * dim), pa.array(M.ravel())),
+                                           pa.ListArray.from_arrays(ends, tail), pa.ListArray.from_arrays(ends, pa.array(tf.astype(np.int32)))],
+                                          names=["head", "tail", "tf"])
+    return split
 
 
 def _scatter_unit(dim: int):
-    """(bucket list, value list) -> unit-length dense array<double>.
+    """(vector, bucket list, value list) -> the vector with the values added, of unit length.
 
     One numpy scatter per Arrow batch; Spark has no scatter-into-array
     expression (a map lookup per position would scan the list ``dim`` times)."""
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
-    def scatter(bs: pa.Array, xs: pa.Array) -> pa.Array:
+    def scatter(head: pa.Array, bs: pa.Array, xs: pa.Array) -> pa.Array:
         n = len(bs)
         lens = bs.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
         b = bs.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
         x = xs.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
         rows = np.repeat(np.arange(n), lens)
-        M = np.zeros((n, dim))
+        M = head.flatten().to_numpy(zero_copy_only=False).reshape(n, dim).copy()
         np.add.at(M, (rows, b), x)
         nrm = np.sqrt(np.einsum("ij,ij->i", M, M))
         M = np.divide(M, nrm[:, None], out=np.zeros_like(M), where=nrm[:, None] > 0)

@@ -30,6 +30,7 @@ AVOID_JOINER = ", "           # between avoided keywords in a prompt
 BROAD_WORDS = ("things", "stuff", "technology")
 
 NEAR = 0.6                    # token-set similarity from which two keywords are one
+SALTS = 32                    # parts of a key that half of all rows hold
 PART_WORDS = 3                # a part of a split keyword has at most so many words
 
 PROMPT = ("Keywords for the theme of the texts below. Topic: {topic}. At most {l1} keywords, "
@@ -47,22 +48,29 @@ def cluster_bundles(members: DataFrame, chunks: DataFrame, id_col: str = "chunk_
     return m.join(t, "id").select("set_id", "pos", "id", "text")
 
 
-def token_count(col) -> "F.Column":
-    """Tokens of a text (word count; a tokenizer hook can replace it)."""
-    return word_count(col)
+def token_count(col, counter=None) -> "F.Column":
+    """Tokens of a text: words, or what ``counter`` (hook K3: a function
+    ``pandas.Series[str] -> pandas.Series[int]``) counts."""
+    if counter is None:
+        return word_count(col)
+    from lexgraph.functions.hooks import token_counter_udf
+    return token_counter_udf(counter)(F.col(col) if isinstance(col, str) else col)
 
 
-def token_budget(header: str, limit: int = TOKEN_LIMIT, spark=None) -> int:
+def token_budget(header: str, limit: int = TOKEN_LIMIT, counter=None) -> int:
     """Budget left for texts once the prompt header is counted."""
-    return limit - len([w for w in header.split() if w])
+    if counter is None:
+        return limit - len([w for w in header.split() if w])
+    import pandas as pd
+    return limit - int(counter(pd.Series([header])).iloc[0])
 
 
-def select_chunks(bundles: DataFrame, max_tokens: int, seed: int = 0) -> DataFrame:
+def select_chunks(bundles: DataFrame, max_tokens: int, seed: int = 0, counter=None) -> DataFrame:
     """Shuffle each bundle (seeded) and keep texts while the running token
     total stays within ``max_tokens``; the first text past it ends the set."""
     key = order_key(seed, F.concat_ws(":", F.col("set_id"), F.col("pos").cast("string")))
     w = Window.partitionBy("set_id").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
-    b = bundles.withColumn("tokens", token_count("text")).withColumn("order", F.row_number().over(
+    b = bundles.withColumn("tokens", token_count("text", counter)).withColumn("order", F.row_number().over(
         Window.partitionBy("set_id").orderBy(key)))
     b = b.withColumn("running", F.sum("tokens").over(w))
     return b.filter(F.col("running") <= F.lit(int(max_tokens))).select("set_id", "order", "id", "text", "tokens")
@@ -346,7 +354,8 @@ def drop_broad(kw: DataFrame, chunks: DataFrame, max_df: float = 0.5, stop=BROAD
     (distinct tokens per chunk) / max_df of them -- so single-token keywords
     read df from the aggregated vocabulary, keywords with any non-broad token
     are kept without counting, and only keywords made of broad tokens are
-    counted exactly, on chunk postings restricted to the broad tokens."""
+    counted exactly: chunks with the same broad tokens are counted once, and meet
+    the keywords' token sets by their first token."""
     from lexgraph.operators.embed import corpus_vocab
     n = chunks.count()
     thr = F.lit(float(max_df) * n)
@@ -360,11 +369,18 @@ def drop_broad(kw: DataFrame, chunks: DataFrame, max_df: float = 0.5, stop=BROAD
     cand = nb.filter(F.col("nb") == F.col("m")).select("keyword", "m")
     single = cand.filter(F.col("m") == 1).select("keyword")      # df(keyword) = df(token) > thr
     multi = kt.join(cand.filter(F.col("m") > 1).select("keyword"), "keyword", "left_semi")
-    ct = (chunks.select("chunk_id", F.explode(F.array_distinct(tokens("text"))).alias("token"))
-          .join(broad_tok, "token", "left_semi"))
-    j = multi.join(ct, "token").groupBy("keyword", "m", "chunk_id").agg(F.count(F.lit(1)).alias("h"))
-    multi_broad = (j.filter(F.col("h") == F.col("m")).groupBy("keyword").agg(F.count(F.lit(1)).alias("df"))
-                   .filter(F.col("df") > thr).select("keyword"))
+    # a chunk is reduced to its broad tokens in its row, and chunks with the same ones
+    # are one row; these meet the keywords' token sets by their first token, which
+    # half of all chunks hold, hence the salt
+    broad_tokens = [r["token"] for r in broad_tok.collect()]  # at most (distinct tokens per chunk) / max_df
+    asked = multi.groupBy("keyword").agg(F.array_sort(F.collect_list("token")).alias("t"))
+    sets = asked.select("t").distinct().select("t", F.get("t", F.lit(0)).alias("first"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    broad_array = F.array(*[F.lit(t) for t in broad_tokens]).cast("array<string>")
+    held = chunks.select(F.array_sort(F.array_intersect(tokens("text"), broad_array)).alias("own")).groupBy("own").agg(F.count(F.lit(1)).alias("n"))
+    hit = held.select("n", "own", F.pmod(F.xxhash64("own"), F.lit(SALTS)).cast("int").alias("salt"), F.explode("own").alias("first")) \
+        .join(sets, ["first", "salt"]).filter(F.size(F.array_except("t", "own")) == 0)
+    often = hit.groupBy("t").agg(F.sum("n").alias("df")).filter(F.col("df") > thr).select("t")
+    multi_broad = asked.join(often, "t").select("keyword")
     broad = single.unionByName(multi_broad)
     return k.select("keyword").join(broad, "keyword", "left_anti")
 

@@ -36,10 +36,15 @@ def kw_text_similarity(kw: DataFrame, emb: DataFrame, **kwargs) -> DataFrame:
     return r.select(F.col("qid").alias("keyword_id"), F.col("cid").alias("id"), "score")
 
 
+def _none(kw: DataFrame, emb: DataFrame) -> DataFrame:
+    kinds = kw.schema["keyword_id"].dataType.simpleString(), emb.schema["id"].dataType.simpleString()
+    return kw.sparkSession.createDataFrame([], "keyword_id {}, rank int, id {}, score double".format(*kinds))
+
+
 def closest(kw: DataFrame, emb: DataFrame, n1: int = 1, **kwargs) -> DataFrame:
     """The n1 most similar texts per keyword: (keyword_id, rank, id, score)."""
     if n1 <= 0:
-        return kw.sparkSession.createDataFrame([], "keyword_id int, rank int, id long, score double")
+        return _none(kw, emb)
     r = block_topk(kw, emb, n1, largest=True, q_id="keyword_id", c_id="id", **kwargs)
     return r.select(F.col("qid").alias("keyword_id"), "rank", F.col("cid").alias("id"), "score")
 
@@ -47,7 +52,7 @@ def closest(kw: DataFrame, emb: DataFrame, n1: int = 1, **kwargs) -> DataFrame:
 def farthest(kw: DataFrame, emb: DataFrame, n2: int = 1, **kwargs) -> DataFrame:
     """The n2 least similar texts per keyword (n2 = 0 gives no rows)."""
     if n2 <= 0:
-        return kw.sparkSession.createDataFrame([], "keyword_id int, rank int, id long, score double")
+        return _none(kw, emb)
     r = block_topk(kw, emb, n2, largest=False, q_id="keyword_id", c_id="id", **kwargs)
     return r.select(F.col("qid").alias("keyword_id"), "rank", F.col("cid").alias("id"), "score")
 
