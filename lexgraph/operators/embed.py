@@ -52,7 +52,10 @@ def embed_text(df: DataFrame, id_col: str = "chunk_id", text_col: str = "text",
     if embedder is not None:
         from lexgraph.functions.hooks import embedder_udf
         return df.select(F.col(id_col).alias("id"), embedder_udf(embedder, dim)(F.col(text_col)).alias("embedding"))
-    corpus = df if corpus is None else corpus
+    if corpus is None:
+        if vocab is None or n_docs is None:  # read up to three times: its words, its size, its vectors
+            df = persist_step(df.select(*dict.fromkeys([id_col, text_col])))
+        corpus = df
     ctext = corpus_text_col or text_col
     if vocab is None:
         vocab = corpus_vocab(corpus, text_col=ctext, max_seq_len=max_seq_len)

@@ -83,9 +83,10 @@ def attr(tag, name: str):
     return F.when(F.array_contains(names, name), unescape(F.regexp_replace(value, r"""(?s)^(["'])(.*)\1$""", "$2")))
 
 
-def anchors(html_col: str = "html"):
-    """Array of (href, class) of a page's anchors, in page order."""
-    tags = F.regexp_extract_all(markup(html_col), F.lit("(?i)" + _tag("a")), 0)
+def anchors(html_col: str = "html", clean: bool = False):
+    """Array of (href, class) of a page's anchors, in page order; ``clean``: the
+    column went through ``markup`` already (here and below)."""
+    tags = F.regexp_extract_all(_c(html_col) if clean else markup(html_col), F.lit("(?i)" + _tag("a")), 0)
     return F.transform(tags, lambda t: F.struct(attr(t, "href").alias("href"), attr(t, "class").alias("class")))
 
 
@@ -111,18 +112,18 @@ def next_page(pages: DataFrame, cls: str = PAGINATION_CLASS) -> DataFrame:
     return row.select("page_id", F.when(~_of_class(DISABLED_CLASS)(F.col("a")), F.col("a.href")).alias("next_href"))
 
 
-def download_link(html_col: str = "html", cls: str = DOWNLOAD_CLASS, base: str = ""):
+def download_link(html_col: str = "html", cls: str = DOWNLOAD_CLASS, base: str = "", clean: bool = False):
     """Absolute address of the first anchor of ``cls``, NULL when there is none or it has no href."""
-    return F.concat(F.lit(base), F.get(F.filter(anchors(html_col), _of_class(cls)), F.lit(0))["href"])
+    return F.concat(F.lit(base), F.get(F.filter(anchors(html_col, clean), _of_class(cls)), F.lit(0))["href"])
 
 
-def page_title(html_col: str = "html", container: str = HEADER_CLASS):
+def page_title(html_col: str = "html", container: str = HEADER_CLASS, clean: bool = False):
     """h1 text inside the first box of the header class -- NULL when that holds
     none -- or the first h1 of a page without such a box; spaces -> _.
 
     Boxes nest: the fold counts how deep in the header box an event lies."""
     head = r"<h1\b[^>]*>.*?(?:</h1\s*>|(?=<(?:h[1-6]|div|p|table|ul|ol|section|article)\b)|\z)"
-    events = F.regexp_extract_all(markup(html_col), F.lit(f"(?is){_tag('div')}|</div\\s*>|{head}"), 0)
+    events = F.regexp_extract_all(_c(html_col) if clean else markup(html_col), F.lit(f"(?is){_tag('div')}|</div\\s*>|{head}"), 0)
     state = "struct<depth:int,met:boolean,inside:string,first:string>"
 
     def follow(acc, e):
@@ -139,11 +140,11 @@ def page_title(html_col: str = "html", container: str = HEADER_CLASS):
     return F.replace(text_of(raw), F.lit(" "), F.lit("_"))
 
 
-def table_rows(html_col: str = "html"):
+def table_rows(html_col: str = "html", clean: bool = False):
     """Array of (label, value), the first two cells of each table row that has
     as many, as stripped text.  A row ends at the next row, its end tag or the end
     of its table; a cell at the next cell, its end tag or the end of the row."""
-    parts = F.split(markup(html_col), "(?i)" + _tag("tr"), -1)
+    parts = F.split(_c(html_col) if clean else markup(html_col), "(?i)" + _tag("tr"), -1)
     inner = F.transform(F.slice(parts, 2, F.size(parts)), lambda r: F.regexp_extract(r, r"(?is)^(.*?)(?:</?(?:tr|table|tbody|thead|tfoot)\b|\z)", 1))
 
     def cells(row):
@@ -154,9 +155,9 @@ def table_rows(html_col: str = "html"):
                        lambda c: F.struct(strip_ws(text_of(c[0])).alias("label"), strip_ws(text_of(c[1])).alias("value")))
 
 
-def attributes(labels=TABLE_LABELS, html_col: str = "html"):
+def attributes(labels=TABLE_LABELS, html_col: str = "html", clean: bool = False):
     """One column per label: the value of the last row that carries it."""
-    rows = table_rows(html_col)
+    rows = table_rows(html_col, clean)
 
     def last(label):
         return F.try_element_at(F.filter(rows, lambda r: r["label"] == label), F.lit(-1))["value"].alias(label.lower())
@@ -171,7 +172,8 @@ def table_attributes(pages: DataFrame, labels=TABLE_LABELS) -> DataFrame:
 
 def page_records(pages: DataFrame, base: str = "", labels=TABLE_LABELS) -> DataFrame:
     """(page_id, download_url, title, organisatie, opleiding)."""
-    return pages.select("page_id", download_link(base=base).alias("download_url"), page_title().alias("title"), *attributes(labels))
+    m = pages.select("page_id", markup("html").alias("html"))
+    return m.select("page_id", download_link(base=base, clean=True).alias("download_url"), page_title(clean=True).alias("title"), *attributes(labels, clean=True))
 
 
 def target_path(records: DataFrame) -> DataFrame:
