@@ -39,3 +39,22 @@ def test_runs_that_are_no_phrase_stay_in_their_task():
     assert sum(b.num_rows for b in KW._held_runs(Wanted, (1 << 16) - 1, 3)([batch])) == 0
     Wanted.value = ~Wanted.value
     assert sum(b.num_rows for b in KW._held_runs(Wanted, (1 << 16) - 1, 3)([batch])) == 500 * (40 + 39 + 38)
+
+
+def test_blocks_that_meet_one_block_stay_small(spark, monkeypatch):
+    """Before, 16 blocks held the rows whatever their number (up to 65,536 vectors each in a Python worker)."""
+    from lexgraph.operators import blocks as B
+    sizes, pack = [], B._pack
+    monkeypatch.setattr(B, "_grid", lambda spark: 16)
+    monkeypatch.setattr(B, "_pack", lambda df, i, v, n: sizes.append(n) or pack(df, i, v, n))
+    X = np.random.default_rng(2).normal(size=(1000, 3))
+    emb = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(X)], "id long, embedding array<double>")
+    cent = emb.filter("id < 5")
+    got = {r.qid: r.cid for r in B.block_topk(emb, cent, 1, metric="l2", largest=False, block_rows=10).collect()}
+    near = {r.cid for r in B.block_topk(cent.filter("id = 0"), emb, 7, metric="l2", largest=False, block_rows=10).collect()}
+    assert sizes == [100, 1, 1, 100]
+    assert got == {i: int(np.argmin(((X[:5] - x) ** 2).sum(1))) for i, x in enumerate(X)}
+    assert near == set(np.argsort(((X - X[0]) ** 2).sum(1))[:7].tolist())
+    sizes.clear()
+    B.block_topk(emb, emb, 1, block_rows=10)
+    assert sizes == [16, 16]
