@@ -58,3 +58,19 @@ def test_blocks_that_meet_one_block_stay_small(spark, monkeypatch):
     sizes.clear()
     B.block_topk(emb, emb, 1, block_rows=10)
     assert sizes == [16, 16]
+
+
+def test_neighbours_that_cannot_enter_a_list_are_not_sent():
+    """Before, every member of a gathered list sent its best whatever its list held already."""
+    from lexgraph.operators.descent import _compare
+    X = np.random.default_rng(5).normal(size=(30, 4))
+    unit = X / np.linalg.norm(X, axis=1)[:, None]
+    S = unit @ unit.T
+    np.fill_diagonal(S, -np.inf)
+    worst = np.sort(S, axis=1)[:, -3]          # lists that hold the three best
+    cols = {"ms": list(range(30)), "xs": X.tolist(), "norms": np.linalg.norm(X, axis=1).tolist()}
+    for least, sent in ((worst, 3), (np.full(30, -np.inf), 8)):
+        batch = pa.RecordBatch.from_pydict({k: [v] for k, v in (cols | {"worsts": least.tolist()}).items()})
+        out = pa.Table.from_batches(list(_compare(8)([batch]))).to_pydict()
+        assert Counter(out["src"]) == dict.fromkeys(range(30), sent)
+        assert all(abs(S[a, b] - s) < 1e-12 for a, b, s in zip(out["src"], out["dst"], out["sim"]))
